@@ -31,7 +31,8 @@ def generate(
     """
     if partitions:
         prompts = prompts.repartition(partitions)
-    answered = T.StructType(prompts.schema.fields).add("answer", "string").add("error", "string")
+    answered = T.StructType(list(prompts.schema.fields))
+    answered = answered.add("answer", "string").add("error", "string")
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -81,7 +82,7 @@ def _metadata(text: str | None) -> dict:
 
 def parse_yaml_metadata(answers: DataFrame, text: str = "answer") -> DataFrame:
     """Adds the METADATA struct ``metadata`` parsed from generated YAML."""
-    parsed = T.StructType(answers.schema.fields).add("metadata", schema("METADATA"))
+    parsed = T.StructType(list(answers.schema.fields)).add("metadata", schema("METADATA"))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

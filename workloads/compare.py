@@ -34,7 +34,7 @@ def differences(spark, folder: str, name: str, connection=None) -> list[str]:
     """What differs between the query and its SQL; empty if nothing does."""
     connection = connection or connect(folder)
     frame = QUERIES[name](spark, folder)
-    mine = _rows(frame.columns, [tuple(r) for r in frame.toLocalIterator()])
+    mine = _rows(frame.columns, [tuple(r) for r in frame.collect()])
     answer = connection.execute(ORACLE[name])
     theirs = _rows([d[0] for d in answer.description], answer.fetchall())
     problems = []
