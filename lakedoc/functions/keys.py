@@ -4,12 +4,13 @@ Counting distinct values column by column costs one scan per column. Columns of
 class can instead be unpivoted and grouped together, so a table needs one scan per
 *class* (usually three or four) however wide it is. Every mapping is injective: two
 values share a key exactly when they are equal.
+
+Keys are SQL expression texts: a catalog of thousands of columns is then handed to
+Spark in few calls.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Strings of at least this many bytes are replaced by their SHA-256 digest (64 hex
@@ -20,6 +21,11 @@ DIGEST_BYTES = 64
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
+def quoted(name: str) -> str:
+    """A column name as an SQL identifier."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def is_groupable(data_type: T.DataType) -> bool:
     """Whether values of the type can be compared for equality by Spark."""
     if isinstance(data_type, T.ArrayType):
@@ -32,48 +38,42 @@ def is_groupable(data_type: T.DataType) -> bool:
     return not simple.startswith(("variant", "geometry", "geography", "void"))
 
 
-def _digest_long(text: Column) -> Column:
-    return F.when(F.octet_length(text) < DIGEST_BYTES, text).otherwise(F.sha2(text, 256))
-
-
-def key_of(column: Column, data_type: T.DataType) -> tuple[str, Column]:
-    """``(class name, key expression)``; equal class names can share one unpivot."""
+def key_of(value: str, data_type: T.DataType) -> tuple[str, str]:
+    """``(class name, key)`` of an SQL value; equal class names can share one unpivot."""
     if isinstance(data_type, _INTEGRAL):
-        return "long", column.cast("long")
+        return "long", f"CAST({value} AS BIGINT)"
     if isinstance(data_type, T.BooleanType):
-        return "long", column.cast("int").cast("long")
+        return "long", f"CAST(CAST({value} AS INT) AS BIGINT)"
     if isinstance(data_type, T.DateType):
-        return "long", F.unix_date(column).cast("long")
+        return "long", f"CAST(unix_date({value}) AS BIGINT)"
     if isinstance(data_type, T.TimestampType):
-        return "long", F.unix_micros(column)
+        return "long", f"unix_micros({value})"
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
         # Grouping itself makes all NaN equal and 0.0 equal to -0.0.
-        return "double", column.cast("double")
+        return "double", f"CAST({value} AS DOUBLE)"
     if isinstance(data_type, T.DecimalType):
-        return "string", column.cast("string")
+        return "string", f"CAST({value} AS STRING)"
     if data_type == T.StringType():
-        return "string", _digest_long(column)
+        short = f"octet_length({value}) < {DIGEST_BYTES}"
+        return "string", f"CASE WHEN {short} THEN {value} ELSE sha2({value}, 256) END"
     if isinstance(data_type, T.BinaryType):
-        short = F.octet_length(column) < DIGEST_BYTES // 2
-        return "string", F.when(short, F.hex(column)).otherwise(F.sha2(column, 256))
+        short = f"octet_length({value}) < {DIGEST_BYTES // 2}"
+        return "string", f"CASE WHEN {short} THEN hex({value}) ELSE sha2({value}, 256) END"
     if isinstance(data_type, T.MapType):
-        entries = F.array_sort(F.map_entries(column))
-        return f"entries:{data_type.simpleString()}", entries
+        return f"entries:{data_type.simpleString()}", f"array_sort(map_entries({value}))"
     # Collated strings, zone-less timestamps, intervals, arrays and structs keep
     # their own type and so their own class.
-    return data_type.simpleString(), column
+    return data_type.simpleString(), value
 
 
-def text_key_of(column: Column, data_type: T.DataType) -> tuple[str, Column]:
+def text_key_of(value: str, data_type: T.DataType) -> tuple[str, str]:
     """Like `key_of` with every scalar as text, so that one scan serves all columns.
 
     For inputs that cannot be read column by column (CSV, JSON, JDBC).
     """
-    name, key = key_of(column, data_type)
-    if name == "long":
-        return "string", key.cast("string")
+    name, key = key_of(value, data_type)
     if name == "double":
-        return "string", (key + F.lit(0.0)).cast("string")  # -0.0 + 0.0 is 0.0
-    if name == "timestamp_ntz":
-        return "string", key.cast("string")
+        return "string", f"CAST({key} + 0.0D AS STRING)"  # -0.0 + 0.0 is 0.0
+    if name in ("long", "timestamp_ntz"):
+        return "string", f"CAST({key} AS STRING)"
     return name, key

@@ -11,20 +11,19 @@ from pyspark.sql import functions as F
 TIES_UP = [k for k in range(100) if round((2 * k + 1) / 200, 2) * 100 > k + 0.5]
 
 
-def null_ratio(nulls: Column, total: Column) -> Column:
-    """``nulls / total`` rounded to two digits; 0.0 for an empty table.
+def null_ratio_sql(nulls: str, total: str) -> str:
+    """SQL of ``nulls / total`` rounded to two digits; 0.0 for an empty table.
 
     Works on the integer counts, so the result does not depend on how an engine
     rounds doubles.
     """
-    safe = F.nullif(total, F.lit(0))  # ANSI mode raises on a zero divisor
-    down = F.call_function("div", nulls * 100, safe)
-    rest = nulls * 100 % safe
-    up = (rest * 2 > total) | ((rest * 2 == total) & down.isin(TIES_UP))
-    rounded = (down + F.when(up, 1).otherwise(0)) / F.lit(100.0)
-    return F.when(total == 0, F.lit(0.0)).otherwise(rounded)
+    safe = f"nullif({total}, 0)"  # ANSI mode raises on a zero divisor
+    down, rest = f"(100 * {nulls}) div {safe}", f"(100 * {nulls}) % {safe}"
+    tie_up = f"2 * ({rest}) = {total} AND {down} IN ({', '.join(map(str, TIES_UP))})"
+    up = f"CASE WHEN 2 * ({rest}) > {total} OR ({tie_up}) THEN 1 ELSE 0 END"
+    return f"CASE WHEN {total} = 0 THEN 0.0D ELSE ({down} + {up}) / 100.0D END"
 
 
-def is_unique(nulls: Column, distinct: Column, total: Column) -> Column:
-    """All values differ and none is null; an empty table counts as unique."""
-    return (distinct == total) & (nulls == 0)
+def null_ratio(nulls: str, total: str) -> Column:
+    """`null_ratio_sql` of two columns given by name."""
+    return F.expr(null_ratio_sql(nulls, total))

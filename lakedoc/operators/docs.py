@@ -233,7 +233,7 @@ def coverage(docs: DataFrame, columns: DataFrame) -> DataFrame:
             F.count("has").alias("documented_count"),
         )
         .withColumn(
-            "documented_ratio", null_ratio(F.col("documented_count"), F.col("column_count"))
+            "documented_ratio", null_ratio("documented_count", "column_count")
         )
     )
 

@@ -7,11 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import key_of
+from ..functions.keys import key_of, quoted
 from ..functions.ratios import null_ratio
 from ..schemas import local_frame
 from .joins import salted_join
-from .longform import Slot, column_type, long_values, ref, union_all
+from .longform import Slot, column_type, long_values, union_all
 
 _CONSTRAINT = ["source", "table_schema", "constraint_name"]
 
@@ -120,16 +120,15 @@ class ForeignKey:
         return f"{child} -> {self.target_table}({', '.join(self.target_columns)})"
 
 
-def _side(df: DataFrame, columns: tuple[str, ...]) -> tuple[str, Column]:
-    typed = [key_of(ref(c), column_type(df, c)) for c in columns]
+def _side(df: DataFrame, columns: tuple[str, ...]) -> tuple[str, str]:
+    typed = [key_of(quoted(c), column_type(df, c)) for c in columns]
     if len(typed) == 1:
         return typed[0]
     # A composite key with a null part refers to nothing, like a null single key.
-    complete = typed[0][1].isNotNull()
-    for _, key in typed[1:]:
-        complete = complete & key.isNotNull()
-    packed = F.struct(*[key.alias(f"k{i}") for i, (_, key) in enumerate(typed)])
-    return "struct:" + ",".join(c for c, _ in typed), F.when(complete, packed)
+    complete = " AND ".join(f"{key} IS NOT NULL" for _, key in typed)
+    packed = ", ".join(f"'k{i}', {key}" for i, (_, key) in enumerate(typed))
+    name = "struct:" + ",".join(c for c, _ in typed)
+    return name, f"CASE WHEN {complete} THEN named_struct({packed}) END"
 
 
 def fk_integrity(tables: dict[str, DataFrame], fks: list[ForeignKey]) -> DataFrame:
@@ -145,8 +144,8 @@ def fk_integrity(tables: dict[str, DataFrame], fks: list[ForeignKey]) -> DataFra
         child = _side(tables[fk.source_table], fk.source_columns)
         parent = _side(tables[fk.target_table], fk.target_columns)
         if child[0] != parent[0]:  # e.g. a number stored as text on one side
-            child = ("string", child[1].cast("string"))
-            parent = ("string", parent[1].cast("string"))
+            child = ("string", f"CAST({child[1]} AS STRING)")
+            parent = ("string", f"CAST({parent[1]} AS STRING)")
         children.append(Slot(str(i), tables[fk.source_table], *child))
         parents.append(Slot(str(i), tables[fk.target_table], *parent))
     child_long, parent_long = long_values(children), long_values(parents)
@@ -197,5 +196,5 @@ def fk_integrity(tables: dict[str, DataFrame], fks: list[ForeignKey]) -> DataFra
             "target_column",
             *[F.coalesce(m, zero).alias(m) for m in measures],
         )
-        .withColumn("orphan_ratio", null_ratio(F.col("orphan_rows"), F.col("child_rows")))
+        .withColumn("orphan_ratio", null_ratio("orphan_rows", "child_rows"))
     )

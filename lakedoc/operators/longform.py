@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.keys import is_groupable, key_of
+from ..functions.keys import is_groupable, key_of, quoted
 
 # Widest unpivot of one scan; bounds the generated code and the partial hash map.
 COLUMNS_PER_SCAN = 64
@@ -16,12 +16,12 @@ COLUMNS_PER_SCAN = 64
 
 @dataclass(frozen=True)
 class Slot:
-    """One key to count: its id, the frame it comes from, its class and expression."""
+    """One key to count: its id, the frame it comes from, its class and SQL text."""
 
     id: str
     table: DataFrame
     key_class: str
-    key: Column
+    key: str
 
 
 def column_type(df: DataFrame, name: str) -> T.DataType | None:
@@ -32,11 +32,6 @@ def column_type(df: DataFrame, name: str) -> T.DataType | None:
     return None
 
 
-def ref(name: str) -> Column:
-    """Reference to a column whose name may contain dots or back-ticks."""
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def countable(df: DataFrame, name: str) -> bool:
     """Whether the column exists and its values can be compared."""
     kind = column_type(df, name)
@@ -44,14 +39,15 @@ def countable(df: DataFrame, name: str) -> bool:
 
 
 def column_slot(slot_id: str, df: DataFrame, column: str, key=key_of) -> Slot:
-    return Slot(slot_id, df, *key(ref(column), column_type(df, column)))
+    return Slot(slot_id, df, *key(quoted(column), column_type(df, column)))
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
-    result = frames[0]
-    for frame in frames[1:]:
-        result = result.unionByName(frame)
-    return result
+    """Union of many frames, paired up so that the plan stays shallow."""
+    while len(frames) > 1:
+        pairs = [frames[i : i + 2] for i in range(0, len(frames), 2)]
+        frames = [p[0] if len(p) == 1 else p[0].unionByName(p[1]) for p in pairs]
+    return frames[0]
 
 
 def long_values(
@@ -72,8 +68,10 @@ def long_values(
         for members in tables.values():
             for start in range(0, len(members), columns_per_scan):
                 chunk = members[start : start + columns_per_scan]
-                wide = chunk[0].table.select([s.key.alias(s.id) for s in chunk])
-                frames.append(wide.unpivot([], [s.id for s in chunk], "slot", "value"))
+                pairs = ", ".join(f"'{s.id}', {s.key}" for s in chunk)
+                frames.append(
+                    chunk[0].table.selectExpr(f"stack({len(chunk)}, {pairs}) AS (slot, value)")
+                )
         classes[name] = union_all(frames)
     return classes
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.keys import key_of, text_key_of
-from ..functions.ratios import is_unique, null_ratio
+from ..functions.keys import key_of, quoted, text_key_of
+from ..functions.ratios import null_ratio_sql
 from ..schemas import local_frame
 from .longform import (
     COLUMNS_PER_SCAN,
@@ -15,11 +15,11 @@ from .longform import (
     column_type,
     countable,
     long_values,
-    ref,
     union_all,
     value_counts,
 )
 
+_COUNTS = "slot string, rows long, nulls long, distincts long"
 _EXTREMES = ["min_value", "max_value", "avg_value"]
 _NUMERIC = (
     T.ByteType,
@@ -54,7 +54,8 @@ def profile_table(
     ``min_value, max_value, avg_value``. ``one_scan`` reads row formats once.
     ``approx`` (relative standard deviation, e.g. 0.05) replaces the exact distinct
     counts by sketches, except for columns that may be unique: those are recounted
-    exactly, so ``is_unique`` never depends on the sketch.
+    exactly, so ``is_unique`` never depends on the sketch. It runs the sketching job
+    when it is called, to learn which columns those are.
     """
     return profile_database(
         {table_name: df},
@@ -100,33 +101,40 @@ def profile_database(
     key = text_key_of if one_scan else key_of
     slots = [column_slot(s, tables[n], c, key) for s, (n, c) in usable.items()]
     if not slots:
-        counts = local_frame(spark, [], "slot string, rows long, nulls long, distincts long")
+        counts = local_frame(spark, [], _COUNTS)
     elif approx is None:
         counts = _exact_counts(long_values(slots, columns_per_scan))
     else:
-        counts = _approx_counts(tables, usable, slots, approx, columns_per_scan)
+        counts = _approx_counts(spark, tables, usable, slots, approx, columns_per_scan)
     # One row per column: the broadcast is bounded by the schemas. Starting from the
     # inventory keeps empty tables and failed columns in the result.
     stats = inventory.join(F.broadcast(counts), "slot", "left")
     if extended:
         stats = stats.join(F.broadcast(_extremes(spark, tables, usable)), "slot", "left")
-    none = F.lit(None)
-    total, nulls, distinct = (
-        F.when(F.col("usable"), F.coalesce(F.col(c), F.lit(0).cast("long"))).otherwise(none)
-        for c in ("rows", "nulls", "distincts")
+    found = stats.selectExpr(
+        "table_name",
+        "column_name",
+        "usable",
+        *[
+            f"CASE WHEN usable THEN coalesce({c}, 0L) END AS {n}"
+            for c, n in (
+                ("rows", "total_count"),
+                ("nulls", "null_count"),
+                ("distincts", "distinct_count"),
+            )
+        ],
+        *(_EXTREMES if extended else []),
     )
-    return stats.select(
+    return found.selectExpr(
         "table_name",
         "column_name",
-        total.alias("total_count"),
-        nulls.alias("null_count"),
-        distinct.alias("distinct_count"),
-        F.when(F.col("usable"), null_ratio(nulls, total)).alias("null_ratio"),
-        is_unique(nulls, distinct, total).alias("is_unique"),
-        F.when(~F.col("usable"), "failed")
-        .when(total == 0, "empty")
-        .otherwise("ok")
-        .alias("profile_status"),
+        "total_count",
+        "null_count",
+        "distinct_count",
+        f"{null_ratio_sql('null_count', 'total_count')} AS null_ratio",
+        "distinct_count = total_count AND null_count = 0 AS is_unique",
+        "CASE WHEN NOT usable THEN 'failed' WHEN total_count = 0 THEN 'empty' ELSE 'ok' END"
+        " AS profile_status",
         *(_EXTREMES if extended else []),
     )
 
@@ -134,17 +142,11 @@ def profile_database(
 def _exact_counts(classes: dict[str, DataFrame]) -> DataFrame:
     return value_counts(classes).groupBy("slot").agg(
         F.sum("n").alias("rows"),
-        F.sum(F.when(F.col("is_null"), F.col("n")).otherwise(0)).alias("nulls"),
-        F.count(F.when(~F.col("is_null"), 1)).alias("distincts"),
+        F.expr("sum(CASE WHEN is_null THEN n ELSE 0L END)").alias("nulls"),
+        F.expr("count_if(NOT is_null)").alias("distincts"),
     )
 
 
-def _unfold(row: DataFrame, fields: list[list[Column]], names: list[str]) -> DataFrame:
-    """Turn one wide row into one row per column."""
-    structs = [F.struct(*[c.alias(n) for c, n in zip(f, names)]) for f in fields]
-    return row.select(F.inline(F.array(*structs)))
-
-
 def _by_table(usable: dict[str, tuple[str, str]]) -> dict[str, list[tuple[str, str]]]:
     grouped: dict[str, list[tuple[str, str]]] = {}
     for slot, (table, column) in usable.items():
@@ -152,41 +154,37 @@ def _by_table(usable: dict[str, tuple[str, str]]) -> dict[str, list[tuple[str, s
     return grouped
 
 
-def _approx_counts(tables, usable, slots, rsd: float, columns_per_scan: int) -> DataFrame:
+def _unfold(row: DataFrame, rows: list[list[str]], names: str) -> DataFrame:
+    """Turn one wide row into one row per column: ``rows`` are lists of SQL texts."""
+    values = ", ".join(", ".join(row) for row in rows)
+    return row.selectExpr(f"stack({len(rows)}, {values}) AS ({names})")
+
+
+def _approx_counts(spark, tables, usable, slots, rsd: float, columns_per_scan: int) -> DataFrame:
     keys = {s.id: s.key for s in slots}
     frames = []
     for name, members in _by_table(usable).items():
-        row = tables[name].agg(
-            F.count(F.lit(1)).alias("total"),
-            *[F.count(ref(c)).alias(f"f{s}") for s, c in members],
-            *[F.approx_count_distinct(keys[s], rsd).alias(f"d{s}") for s, _ in members],
+        row = tables[name].selectExpr(
+            "count(1) AS total",
+            *[f"count({quoted(c)}) AS f{s}" for s, c in members],
+            *[f"approx_count_distinct({keys[s]}, {rsd}D) AS d{s}" for s, _ in members],
         )
-        total = F.col("total")
-        fields = [
-            [F.lit(s), total, total - F.col(f"f{s}"), F.col(f"d{s}")] for s, _ in members
-        ]
-        frames.append(_unfold(row, fields, ["slot", "rows", "nulls", "distincts"]))
-    sketch = union_all(frames)
+        rows = [[f"'{s}'", "total", f"total - f{s}", f"least(d{s}, f{s})"] for s, _ in members]
+        frames.append(_unfold(row, rows, "slot, rows, nulls, distincts"))
+    # One row per column: this is collected (it is bounded by the schemas) so that the
+    # exact pass reads only the few columns that need it.
+    sketch = [tuple(r) for r in union_all(frames).collect()]
     # May be unique: no null, and the sketch is within three deviations of all rows.
-    # Only such columns are counted exactly; for the others the answer is "no".
-    suspect = (F.col("nulls") == 0) & (F.col("distincts") >= F.col("rows") * (1 - 3 * rsd))
-    suspects = F.broadcast(sketch.filter(suspect).select("slot"))  # at most one row per column
-    exact = value_counts(
-        {
-            name: long.join(suspects, "slot", "left_semi")
-            for name, long in long_values(slots, columns_per_scan).items()
-        }
-    )
-    exact = exact.groupBy("slot").agg(F.count(F.lit(1)).alias("exact"))
-    filled = F.col("rows") - F.col("nulls")
-    return sketch.join(F.broadcast(exact), "slot", "left").select(
-        "slot",
-        "rows",
-        "nulls",
-        F.when(suspect, F.coalesce("exact", F.lit(0).cast("long")))
-        .otherwise(F.least("distincts", filled))
-        .alias("distincts"),
-    )
+    suspects = {
+        slot: (slot, rows, nulls)
+        for slot, rows, nulls, distincts in sketch
+        if rows and not nulls and distincts >= rows * (1 - 3 * rsd)
+    }
+    counts = local_frame(spark, [r for r in sketch if r[0] not in suspects], _COUNTS)
+    if not suspects:
+        return counts
+    checked = [s for s in slots if s.id in suspects]
+    return counts.unionByName(_exact_counts(long_values(checked, columns_per_scan)))
 
 
 def _extremes(spark, tables, usable) -> DataFrame:
@@ -197,20 +195,19 @@ def _extremes(spark, tables, usable) -> DataFrame:
         )
     ]
     for name, members in _by_table(usable).items():
-        df = tables[name]
-        kinds = {s: column_type(df, c) for s, c in members}
+        kinds = {s: column_type(tables[name], c) for s, c in members}
         members = [(s, c) for s, c in members if _orderable(kinds[s])]
-        aggregates, fields = [], []
+        aggregates, rows = [], []
         for s, c in members:
             numeric = isinstance(kinds[s], _NUMERIC)
-            aggregates += [F.min(ref(c)).alias(f"lo{s}"), F.max(ref(c)).alias(f"hi{s}")]
+            aggregates += [f"min({quoted(c)}) AS lo{s}", f"max({quoted(c)}) AS hi{s}"]
             if numeric:
-                aggregates.append(F.avg(ref(c).cast("double")).alias(f"av{s}"))
-            mean = F.col(f"av{s}") if numeric else F.lit(None).cast("double")
-            low, high = F.col(f"lo{s}").cast("string"), F.col(f"hi{s}").cast("string")
-            fields.append([F.lit(s), low, high, mean])
+                aggregates.append(f"avg(CAST({quoted(c)} AS DOUBLE)) AS av{s}")
+            mean = f"av{s}" if numeric else "CAST(NULL AS DOUBLE)"
+            rows.append([f"'{s}'", f"CAST(lo{s} AS STRING)", f"CAST(hi{s} AS STRING)", mean])
         if members:
-            frames.append(_unfold(df.agg(*aggregates), fields, ["slot", *_EXTREMES]))
+            row = tables[name].selectExpr(*aggregates)
+            frames.append(_unfold(row, rows, ", ".join(["slot", *_EXTREMES])))
     return union_all(frames)
 
 
@@ -228,29 +225,23 @@ def candidate_keys(profile: DataFrame) -> DataFrame:
 
 def is_composite_key(df: DataFrame, columns: list[str], table_name: str = "") -> DataFrame:
     """Whether the columns together identify every row; a null disqualifies."""
-    typed = [key_of(ref(c), column_type(df, c)) for c in columns]
-    has_null = F.lit(False)
-    for _, key in typed:
-        has_null = has_null | key.isNull()
-    parts = [key.alias(f"k{i}") for i, (_, key) in enumerate(typed)]
+    keys = [key_of(quoted(c), column_type(df, c))[1] for c in columns]
+    names = [f"k{i}" for i in range(len(keys))]
     groups = (
-        df.select(*parts, has_null.alias("has_null"))
-        .groupBy(*[f"k{i}" for i in range(len(parts))], "has_null")
+        df.selectExpr(*[f"{key} AS {n}" for key, n in zip(keys, names)])
+        .groupBy(*names)
         .agg(F.count(F.lit(1)).alias("n"))
+        .selectExpr("n", " OR ".join(f"{n} IS NULL" for n in names) + " AS has_null")
     )
     return groups.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total_count"),
-        F.coalesce(F.sum(F.when(F.col("has_null"), F.col("n"))), F.lit(0))
-        .cast("long")
-        .alias("null_count"),
-        F.count(F.when(~F.col("has_null"), 1)).alias("distinct_count"),
+        F.expr("coalesce(sum(n), 0L)").alias("total_count"),
+        F.expr("coalesce(sum(CASE WHEN has_null THEN n END), 0L)").alias("null_count"),
+        F.expr("count_if(NOT has_null)").alias("distinct_count"),
     ).select(
         F.lit(table_name).alias("table_name"),
         F.lit(", ".join(columns)).alias("column_names"),
         "total_count",
         "null_count",
         "distinct_count",
-        ((F.col("distinct_count") == F.col("total_count")) & (F.col("null_count") == 0)).alias(
-            "is_key"
-        ),
+        F.expr("distinct_count = total_count AND null_count = 0").alias("is_key"),
     )

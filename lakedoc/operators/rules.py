@@ -10,11 +10,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import quoted
 from ..functions.parents import direct_parents
 from ..functions.text import is_blank
 from ..schemas import local_frame
 from .columns import column_list
-from .longform import column_slot, long_values, ref, value_counts
+from .longform import column_slot, long_values, value_counts
 
 CATEGORY_BELOW = 10
 OPTIONAL_ABOVE = 0.5
@@ -128,9 +129,9 @@ def pii_by_value(
     patterns: dict[str, str] = PII_VALUE_PATTERNS,
 ) -> DataFrame:
     """Per text column and pattern, how many values contain it; one scan, whole values."""
-    filled = [F.count(ref(c)).alias(f"f{i}") for i, c in enumerate(columns)]
+    filled = [F.count(quoted(c)).alias(f"f{i}") for i, c in enumerate(columns)]
     hits = [
-        F.count(F.when(ref(c).rlike(p), 1)).alias(f"h{i}_{j}")
+        F.count(F.when(F.col(quoted(c)).rlike(p), 1)).alias(f"h{i}_{j}")
         for i, c in enumerate(columns)
         for j, p in enumerate(patterns.values())
     ]
