@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _QUOTED = r"\s*['\"]([^'\"]+)['\"]\s*"
-REF_PATTERN = r"ref\(" + _QUOTED + r"\)"
-SOURCE_PATTERN = r"source\(" + _QUOTED + "," + _QUOTED + r"\)"
+REF_PATTERN = r"\bref\(" + _QUOTED + r"\)"
+SOURCE_PATTERN = r"\bsource\(" + _QUOTED + "," + _QUOTED + r"\)"
 
 
 def direct_parents(sql: Column) -> Column:

@@ -58,8 +58,9 @@ def strip_fences(text: Column) -> Column:
 
 
 def trim_all(text: Column) -> Column:
-    """Trim blanks, tabs and line ends on both sides."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Trim white space of every script on both sides, control separators included."""
+    blank = r"[\s\x1c-\x1f]+"
+    return F.regexp_replace(text, rf"(?U)\A{blank}|{blank}\z", "")
 
 
 def basename(path: Column) -> Column:

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
 
-CATALOG = StructType.fromDDL(
+CATALOG = (
     "record string, name string, part int, summary string,"
     " columns array<struct<name:string,type:string,description:string,"
     "profile_stats:struct<null_ratio:double,distinct_count:bigint,is_unique:boolean>>>,"
