@@ -44,11 +44,15 @@ def models_of(manifests: DataFrame) -> DataFrame:
 
 
 def model_columns(manifests: DataFrame) -> DataFrame:
-    """MODEL_COLUMNS rows: one per declared column, in declared order."""
+    """MODEL_COLUMNS rows: one per declared column, in declared order.
+
+    The model's file path comes along, so that proposals need no join to find it.
+    """
     nodes = _model_nodes(manifests).select(
         "manifest_path",
         "unique_id",
         F.col("node.name").alias("model_name"),
+        F.col("node.original_file_path").alias("original_file_path"),
         F.posexplode("node.columns").alias("position", "column_name", "declared"),
     )
     return nodes.select(
@@ -59,6 +63,7 @@ def model_columns(manifests: DataFrame) -> DataFrame:
         (F.col("position") + 1).alias("ordinal"),
         F.coalesce("declared.description", F.lit("")).alias("description"),
         F.coalesce("declared.data_type", F.lit(NOT_AVAILABLE)).alias("data_type"),
+        "original_file_path",
     )
 
 

@@ -110,7 +110,8 @@ def profile_database(
     # inventory keeps empty tables and failed columns in the result.
     stats = inventory.join(F.broadcast(counts), "slot", "left")
     if extended:
-        stats = stats.join(F.broadcast(_extremes(spark, tables, usable)), "slot", "left")
+        extremes = _extremes(spark, tables, usable, columns_per_scan)
+        stats = stats.join(F.broadcast(extremes), "slot", "left")
     found = stats.selectExpr(
         "table_name",
         "column_name",
@@ -147,11 +148,18 @@ def _exact_counts(classes: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def _by_table(usable: dict[str, tuple[str, str]]) -> dict[str, list[tuple[str, str]]]:
+def _by_table(
+    usable: dict[str, tuple[str, str]], columns_per_scan: int
+) -> list[tuple[str, list[tuple[str, str]]]]:
+    """Slots and columns by table, very wide tables in chunks."""
     grouped: dict[str, list[tuple[str, str]]] = {}
     for slot, (table, column) in usable.items():
         grouped.setdefault(table, []).append((slot, column))
-    return grouped
+    return [
+        (table, members[start : start + columns_per_scan])
+        for table, members in grouped.items()
+        for start in range(0, len(members), columns_per_scan)
+    ]
 
 
 def _unfold(row: DataFrame, rows: list[list[str]], names: str) -> DataFrame:
@@ -163,7 +171,7 @@ def _unfold(row: DataFrame, rows: list[list[str]], names: str) -> DataFrame:
 def _approx_counts(spark, tables, usable, slots, rsd: float, columns_per_scan: int) -> DataFrame:
     keys = {s.id: s.key for s in slots}
     frames = []
-    for name, members in _by_table(usable).items():
+    for name, members in _by_table(usable, columns_per_scan):
         row = tables[name].selectExpr(
             "count(1) AS total",
             *[f"count({quoted(c)}) AS f{s}" for s, c in members],
@@ -187,14 +195,14 @@ def _approx_counts(spark, tables, usable, slots, rsd: float, columns_per_scan: i
     return counts.unionByName(_exact_counts(long_values(checked, columns_per_scan)))
 
 
-def _extremes(spark, tables, usable) -> DataFrame:
+def _extremes(spark, tables, usable, columns_per_scan: int) -> DataFrame:
     """``slot, min_value, max_value, avg_value`` of the orderable columns, one scan."""
     frames = [
         local_frame(
             spark, [], "slot string, min_value string, max_value string, avg_value double"
         )
     ]
-    for name, members in _by_table(usable).items():
+    for name, members in _by_table(usable, columns_per_scan):
         kinds = {s: column_type(tables[name], c) for s, c in members}
         members = [(s, c) for s, c in members if _orderable(kinds[s])]
         aggregates, rows = [], []

@@ -38,10 +38,6 @@ def model_proposals(
         "original_file_path",
     )
     wanted = plan_columns(columns, drift=False).filter(F.col("action") == "propose")
-    wanted = wanted.join(
-        models.select("manifest_path", "unique_id", "original_file_path"),
-        ["manifest_path", "unique_id"],
-    )
     unique, nulls = F.lit(None).cast("boolean"), F.lit(None).cast("long")
     if profile is not None:
         facts = profile.select(

@@ -15,6 +15,7 @@ from lakedoc.operators import manifest as M
 from lakedoc.operators import render as R
 from lakedoc.operators import rules
 from lakedoc.operators.generate import generate, json_metadata, parse_yaml_metadata
+from lakedoc.plans.generated import generated_proposals
 from lakedoc.plans.models import build_lineage, document_models, lineage_of_project
 from lakedoc.sources.manifests import parse_manifests
 
@@ -393,7 +394,8 @@ def manifest_models(t):
     "manifest_columns",
     "SELECT 'p/' || doc_id AS manifest_path, 'model.p.doc_' || doc_id AS unique_id, 'doc_' ||"
     " doc_id AS model_name, column_name, ordinal::INTEGER AS ordinal, CASE ordinal WHEN 1 THEN ''"
-    " ELSE text END AS description, data_type FROM"
+    " ELSE text END AS description, data_type, 'models/' || lang || '/doc_' || doc_id || '.sql' AS"
+    " original_file_path FROM"
     f" {_PROJECTS}, (VALUES ('doc_id', 1, 'bigint'), ('email', 2, 'N/A'))"
     " v(column_name, ordinal, data_type)",
 )
@@ -842,3 +844,38 @@ def prompt_rows(t):
         for kind, prompt in texts.items()
     ]
     return models.select("name", F.inline(F.array(*rows)))
+
+
+_METADATA_PROMPT_LENGTH = (
+    "length('Document the column doc_id (bigint) of the model ' || name || ' as YAML with"
+    " description, meta.pii, tags and tests. Its SQL is:' || chr(10) || raw_sql)"
+)
+_MODEL_PROMPT_LENGTH = (
+    "length('Say in one or two sentences what the model ' || name || ' produces. Its SQL is:'"
+    " || chr(10) || raw_sql)"
+)
+
+
+@query(
+    "generated_proposals",
+    "WITH m AS (SELECT 'doc_' || doc_id AS name, CASE WHEN lang = 'fr' THEN 'select * from"
+    " {{ ref(''fr_base'') }}, {{ source(''' || source || ''', ''fr'') }}' ELSE"
+    " '-- SQL code not available --' END AS raw_sql, 'models/' || lang || '/doc_' || doc_id ||"
+    f" '.sql' AS original_file_path FROM {_PROJECTS} d) SELECT name AS model_name, NULL AS"
+    f" column_name, 'description' AS doc_key, 'words: ' || {_MODEL_PROMPT_LENGTH} AS"
+    " proposed_value, original_file_path FROM m UNION ALL SELECT name, 'doc_id', v.k, CASE v.k"
+    f" WHEN 'description' THEN 'Text ' || {_METADATA_PROMPT_LENGTH} WHEN 'meta' THEN"
+    " '{\"pii\":false}' ELSE '[\"a\",\"250\"]' END, original_file_path FROM m,"
+    " (VALUES ('description'), ('meta'), ('tags')) v(k)",
+)
+def run_generated_proposals(t):
+    def answer(prompt: str, budget: int) -> str:
+        if prompt.startswith("Document"):
+            return (
+                f"description: Text {len(prompt)}\nmeta: {{pii: false}}\ntags: [a, '{budget}']\n"
+            )
+        return f"words: {len(prompt)}"
+
+    manifests = parse_manifests(f.manifest_texts(t))
+    columns = M.model_columns(manifests).filter("column_name = 'doc_id'")
+    return generated_proposals(M.models_of(manifests), columns, answer)[0]

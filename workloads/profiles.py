@@ -13,6 +13,7 @@ from lakedoc.operators.docs import is_outdated
 from lakedoc.operators.keys import ForeignKey, fk_integrity
 from lakedoc.operators.render import assemble_catalog
 from lakedoc.plans.catalog import build_catalog
+from lakedoc.plans.generated import generated_catalog
 from lakedoc.schemas import local_frame
 from lakedoc.sources.files import list_datasets, scan_files
 
@@ -506,3 +507,29 @@ def catalog_nested(t):
     return records.select(
         "record", "name", "part", "summary", F.to_json("columns").alias("columns_json")
     )
+
+
+_PROMPT_LENGTH = (
+    "length('Describe a database column in fewer than 15 words.' || chr(10) || 'Table: ' ||"
+    " table_name || chr(10) || 'Column: ' || column_name || chr(10) || 'Type: ' || data_type ||"
+    " chr(10) || 'Profile:' || chr(10) || '- Null Ratio: ' || null_ratio || ' (0.0 = no nulls)' ||"
+    " chr(10) || '- Is Unique: ' || CASE WHEN is_unique THEN 'True' ELSE 'False' END || chr(10)"
+    " || '- Distinct Count: ' || distinct_count || chr(10) || 'Mention uniqueness, few distinct"
+    " values (category) and many nulls (optional).')"
+)
+
+
+@query(
+    "generated_catalog",
+    "SELECT table_name, column_name, ordinal, data_type, CASE WHEN column_name LIKE '%key' THEN"
+    f" description ELSE {_PROMPT_LENGTH} || ' in 50' END AS description FROM {CATALOG_SQL}",
+)
+def run_generated_catalog(t):
+    def answer(prompt: str, budget: int) -> str:
+        if "key\nType" in prompt:
+            raise ValueError("no idea")
+        return f"{len(prompt)} in {budget}"
+
+    views = local_frame(t.spark, [], "VIEWS")
+    described = generated_catalog(build_catalog(t.all()), views, answer)[0]
+    return described.select("table_name", "column_name", "ordinal", "data_type", "description")
