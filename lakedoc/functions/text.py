@@ -46,6 +46,13 @@ def profile_text(ratio: Column, unique: Column, distinct: Column, hint: bool = T
     )
 
 
+def table_summary(table: Column, names: Column) -> Column:
+    """Default summary of a table from its comma-separated column names."""
+    return F.concat(
+        F.lit("Stores "), table, F.lit(" records with the columns "), names, F.lit(".")
+    )
+
+
 def escape_quotes(text: Column) -> Column:
     """Double single quotes for use inside a SQL string literal."""
     return F.replace(text, F.lit("'"), F.lit("''"))

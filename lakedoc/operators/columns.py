@@ -22,9 +22,14 @@ _CONSTRAINT = ["source", "table_schema", "constraint_name"]
 
 def list_columns(df: DataFrame, table_name: str) -> DataFrame:
     """COLUMNS rows of a frame, in source order, from its schema alone."""
+    return list_all_columns({table_name: df})
+
+
+def list_all_columns(tables: dict[str, DataFrame]) -> DataFrame:
+    """COLUMNS rows of several frames, as one local relation."""
     rows = [
         (
-            table_name,
+            name,
             field.name,
             position,
             field.dataType.simpleString(),
@@ -32,14 +37,10 @@ def list_columns(df: DataFrame, table_name: str) -> DataFrame:
             False,
             field.metadata.get("comment", ""),
         )
+        for name, df in tables.items()
         for position, field in enumerate(df.schema.fields, start=1)
     ]
-    return local_frame(df.sparkSession, rows, "COLUMNS")
-
-
-def list_all_columns(tables: dict[str, DataFrame]) -> DataFrame:
-    """COLUMNS rows of several frames."""
-    return union_all([list_columns(df, name) for name, df in tables.items()])
+    return local_frame(next(iter(tables.values())).sparkSession, rows, "COLUMNS")
 
 
 def base_tables(tables: DataFrame, schema: str | None = None) -> DataFrame:

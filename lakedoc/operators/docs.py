@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..functions.ratios import null_ratio
 from ..functions.text import dirname, is_blank
 from .joins import salted_join
-from .longform import union_all
 
 _KEY = ["model_name", "entity", "doc_key"]
 
@@ -236,7 +235,3 @@ def coverage(docs: DataFrame, columns: DataFrame) -> DataFrame:
             "documented_ratio", null_ratio("documented_count", "column_count")
         )
     )
-
-
-def all_findings(*findings: DataFrame) -> DataFrame:
-    return union_all(list(findings))

@@ -12,9 +12,19 @@ from ..schemas import local_frame
 from .longform import union_all
 
 
-def _node(name: Column, style: str | Column) -> list[Column]:
-    style = F.lit(style) if isinstance(style, str) else style
-    return [name.alias("id"), style.alias("style")]
+def _named(*pairs: tuple[str, str | Column]) -> Column:
+    """Rows ``id, style`` for several names of one input row."""
+    return F.inline(
+        F.array(
+            *[
+                F.struct(
+                    F.col(name).alias("id"),
+                    (F.lit(style) if isinstance(style, str) else style).alias("style"),
+                )
+                for name, style in pairs
+            ]
+        )
+    )
 
 
 def lineage_nodes(fks: DataFrame, models: DataFrame, deps: DataFrame) -> DataFrame:
@@ -27,11 +37,9 @@ def lineage_nodes(fks: DataFrame, models: DataFrame, deps: DataFrame) -> DataFra
     dotted = F.when(F.col("dependency").contains("."), "source").otherwise("box")
     candidates = union_all(
         [
-            fks.select(*_node(F.col("source_table"), "db")),
-            fks.select(*_node(F.col("target_table"), "db")),
-            models.select(*_node(F.col("name"), "box")),
-            deps.select(*_node(F.col("model_name"), "box")),
-            deps.select(*_node(F.col("dependency"), dotted)),
+            fks.select(_named(("source_table", "db"), ("target_table", "db"))),
+            models.select(F.col("name").alias("id"), F.lit("box").alias("style")),
+            deps.select(_named(("model_name", "box"), ("dependency", dotted))),
         ]
     )
     ranks = F.create_map(*[F.lit(x) for x in chain(*fmt.STYLE_PRIORITY.items())])

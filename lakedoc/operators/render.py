@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formats as fmt
-from ..functions.text import escape_quotes
+from ..functions.text import escape_quotes, table_summary
 from ..schemas import local_frame
 from .columns import COLUMNS_PER_RECORD, record_part
 from .joins import is_present
@@ -209,40 +209,44 @@ def comment_statements(
 
 
 def assemble_catalog(
-    columns: DataFrame,
-    profile: DataFrame,
-    summaries: DataFrame,
+    catalog: DataFrame,
     views: DataFrame,
     fks: DataFrame,
+    summaries: DataFrame | None = None,
     per_record: int = COLUMNS_PER_RECORD,
 ) -> DataFrame:
     """Catalog records: one per table (and part of a very wide one), view, foreign key.
 
-    ``record`` tells the kind; the fields of the other kinds are null. A table's
-    columns are nested in source order, at most ``per_record`` in one record.
+    ``catalog`` has one row per column with its statistics and description (see
+    `lakedoc.plans.catalog.build_catalog`) and is read once. ``record`` tells the
+    kind; the fields of the other kinds are null. A table's columns are nested in
+    source order, at most ``per_record`` in one record. Without ``summaries``
+    (table_name, summary) the default text is made from the nested names.
     """
-    stats = F.struct("null_ratio", "distinct_count", "is_unique")
     column = F.struct(
         "ordinal",
         F.col("column_name").alias("name"),
         F.col("data_type").alias("type"),
         "description",
-        stats.alias("profile_stats"),
+        F.struct("null_ratio", "distinct_count", "is_unique").alias("profile_stats"),
     )
     nested = (
-        columns.join(profile, ["table_name", "column_name"], "left")
-        .withColumn("part", record_part(F.col("ordinal"), per_record))
+        catalog.withColumn("part", record_part(F.col("ordinal"), per_record))
         .groupBy("table_name", "part")
         .agg(F.array_sort(F.collect_list(column)).alias("columns"))
-        .join(summaries.select("table_name", "summary"), "table_name", "left")
     )
+    if summaries is None:
+        names = F.array_join(F.col("columns.name"), ", ")
+        nested = nested.withColumn("summary", table_summary(F.col("table_name"), names))
+    else:
+        texts = summaries.select("table_name", "summary")
+        nested = nested.join(texts, "table_name", "left")
     nested = nested.withColumn(
         "columns", F.transform("columns", lambda c: c.dropFields("ordinal"))
     )
     text = ["definition", "source_column", "target_table", "target_column"]
     none = {c: F.lit(None).cast("string") for c in text}
-    columns_type = nested.schema["columns"].dataType
-    no_columns = F.lit(None).cast(columns_type)
+    no_columns = F.lit(None).cast(nested.schema["columns"].dataType)
     tables = nested.select(
         F.lit("table").alias("record"),
         F.col("table_name").alias("name"),

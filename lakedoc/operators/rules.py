@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import quoted
 from ..functions.parents import direct_parents
-from ..functions.text import is_blank
+from ..functions.text import is_blank, table_summary
 from ..schemas import local_frame
 from .columns import column_list
 from .longform import column_slot, long_values, value_counts
@@ -24,9 +24,11 @@ MAX_CATEGORIES = 1000
 # Words whose presence in a column name suggests personal data.
 PII_NAMES = ("email", "name", "phone", "ssn")
 
+# Patterns are searched for, not matched as a whole: one character before the @ is
+# enough to find an address, and keeps the search linear in the text.
 PII_VALUE_PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    "phone": r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}",
+    "email": r"[A-Za-z0-9._%+-]@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    "phone": r"[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
 }
 SAYS_UNIQUE = r"(?i)(unique|identifier|primary key)"
@@ -81,12 +83,8 @@ def describe_columns(profile: DataFrame) -> DataFrame:
 def describe_tables(columns: DataFrame) -> DataFrame:
     """``table_name, part, column_list, summary`` from COLUMNS."""
     return column_list(columns).withColumn(
-        "summary",
-        F.concat(
-            F.lit("Stores "), F.col("table_name"), F.lit(" records with the columns "),
-            F.col("column_list"), F.lit("."),
-        ),
-    )
+        "summary", table_summary(F.col("table_name"), F.col("column_list"))
+    )
 
 
 def describe_models(models: DataFrame) -> DataFrame:

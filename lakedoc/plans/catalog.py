@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators.columns import list_all_columns
 from ..operators.profile import profile_database
 from ..operators.render import assemble_catalog
-from ..operators.rules import describe_columns, describe_tables, describe_views
+from ..operators.rules import describe_columns, describe_views
 
 
 def build_catalog(tables: dict[str, DataFrame], **profile_options) -> DataFrame:
@@ -24,12 +24,7 @@ def catalog_records(
     catalog: DataFrame, views: DataFrame, fks: DataFrame
 ) -> DataFrame:
     """Nested records (see `assemble_catalog`) of a catalog built by `build_catalog`."""
-    columns = catalog.select("table_name", "column_name", "ordinal", "data_type", "description")
-    stats = catalog.select(
-        "table_name", "column_name", "null_ratio", "distinct_count", "is_unique"
-    )
-    summaries = describe_tables(columns).filter("part = 0")
-    return assemble_catalog(columns, stats, summaries, describe_views(views), fks)
+    return assemble_catalog(catalog, describe_views(views), fks)
 
 
 def profile_to_path(

@@ -19,6 +19,7 @@ from ..operators.docs import plan_columns
 from ..operators.generate import generate, parse_yaml_metadata
 from ..operators.joins import salted_join
 from ..operators.longform import union_all
+from ..sinks.durable import durable
 
 Generator = Callable[[str, int], str]
 
@@ -63,8 +64,10 @@ def generated_catalog(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(catalog, summaries, views)`` with generated texts.
 
-    Where the generator failed, a column keeps the description it had.
+    Where the generator failed, a column keeps the description it had. The catalog is
+    stored first: it is needed several times and each use would profile the tables.
     """
+    catalog = durable(catalog)
     answers = generate(catalog_prompts(catalog, views), fn, partitions=partitions, keep=True)
 
     def of(kind: str, **names: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lakedoc.operators import lineage as L
 from lakedoc.operators import render as R
-from lakedoc.operators.rules import describe_columns, describe_tables
+from lakedoc.operators.rules import describe_columns
 from lakedoc.plans.catalog import build_catalog, catalog_records
 from lakedoc.schemas import local_frame
 from lakedoc.sinks.comments import apply_comments, with_comments
@@ -144,11 +144,8 @@ def test_catalog_round_trip(spark, tmp_path, shop):
 def test_wide_tables_are_split_into_records(spark):
     frame = spark.range(1).select(*[F.lit(i).alias(f"c{i}") for i in range(7)])
     built = build_catalog({"wide": frame})
-    columns = built.select("table_name", "column_name", "ordinal", "data_type", "description")
-    stats = built.select("table_name", "column_name", "null_ratio", "distinct_count", "is_unique")
     nothing = local_frame(spark, [], VIEWS), local_frame(spark, [], "FKS")
-    summaries = describe_tables(columns)
-    records = R.assemble_catalog(columns, stats, summaries, *nothing, per_record=3)
+    records = R.assemble_catalog(built, *nothing, per_record=3)
     assert rows(records, "part", F.size("columns")) == [(0, 3), (1, 3), (2, 1)]
 
 

@@ -493,15 +493,9 @@ _COLUMN_JSON = (
     f" FROM {CATALOG_SQL} GROUP BY table_name",
 )
 def catalog_nested(t):
-    built = build_catalog(t.all())
-    columns = built.select("table_name", "column_name", "ordinal", "data_type", "description")
-    stats = built.select("table_name", "column_name", "null_ratio", "distinct_count", "is_unique")
-    nothing = "view_name string, definition string, summary string"
     records = assemble_catalog(
-        columns,
-        stats,
-        rules.describe_tables(columns).filter("part = 0"),
-        local_frame(t.spark, [], nothing),
+        build_catalog(t.all()),
+        local_frame(t.spark, [], "view_name string, definition string, summary string"),
         local_frame(t.spark, [], "FKS"),
     )
     return records.select(
