@@ -50,43 +50,50 @@ def generate(
     return durable(result) if keep else result
 
 
-def _as_text(value) -> str:
-    return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, default=str)
+def _metadata_parser() -> Callable[[str | None], dict]:
+    """Parser of one generated snippet.
 
-
-def _metadata(text: str | None) -> dict:
-    """One generated YAML snippet as a metadata row; plain text if it is no mapping."""
+    It is built from nested functions, which travel to the executors by value: they
+    need PyYAML there, but not this package.
+    """
     import yaml
 
-    empty = {"description": None, "meta": None, "tags": None, "tests": None}
-    if text is None:
-        return empty
-    try:
-        loaded = yaml.safe_load(text)
-    except yaml.YAMLError:
-        loaded = None
-    if not isinstance(loaded, dict):
-        return {**empty, "description": text.strip()}
-    meta = loaded.get("meta")
-    lists = {k: loaded.get(k) for k in ("tags", "tests")}
-    described = loaded.get("description")
-    return {
-        "description": None if described is None else _as_text(described),
-        "meta": {str(k): bool(v) for k, v in meta.items()} if isinstance(meta, dict) else None,
-        **{
-            k: [_as_text(i) for i in v] if isinstance(v, list) else None
-            for k, v in lists.items()
-        },
-    }
+    def as_text(value) -> str:
+        if isinstance(value, str):
+            return value
+        return json.dumps(value, ensure_ascii=False, default=str)
+
+    def texts(values) -> list[str] | None:
+        return [as_text(v) for v in values] if isinstance(values, list) else None
+
+    def metadata(text: str | None) -> dict:
+        row = {"description": None, "meta": None, "tags": None, "tests": None}
+        if text is None:
+            return row
+        try:
+            loaded = yaml.safe_load(text)
+        except yaml.YAMLError:
+            loaded = None
+        if not isinstance(loaded, dict):  # the generator wrote plain text
+            return {**row, "description": text.strip()}
+        described, meta = loaded.get("description"), loaded.get("meta")
+        if described is not None:
+            row["description"] = as_text(described)
+        if isinstance(meta, dict):
+            row["meta"] = {str(k): bool(v) for k, v in meta.items()}
+        return {**row, "tags": texts(loaded.get("tags")), "tests": texts(loaded.get("tests"))}
+
+    return metadata
 
 
 def parse_yaml_metadata(answers: DataFrame, text: str = "answer") -> DataFrame:
     """Adds the METADATA struct ``metadata`` parsed from generated YAML."""
     parsed = T.StructType(list(answers.schema.fields)).add("metadata", schema("METADATA"))
+    metadata = _metadata_parser()
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(metadata=[_metadata(t) for t in batch[text]])
+            yield batch.assign(metadata=[metadata(t) for t in batch[text]])
 
     return answers.mapInPandas(parse, parsed)
 

@@ -16,45 +16,43 @@ FOLDERS = ("models", "seeds", "snapshots")
 NODE_TYPES = ("models", "sources", "seeds", "snapshots")
 
 
-def doc_value(value) -> str | None:
-    """A YAML value as documentation text: strings as they are, others as JSON."""
-    if value is None or isinstance(value, str):
-        return value
-    return json.dumps(value, ensure_ascii=False, default=str)
-
-
-def _entries(node_type: str, model: str, column: str | None, fields: dict, path: str):
-    yield node_type, model, column, "name", column or model, path
-    for key, value in fields.items():
-        if key not in ("name", "columns"):
-            yield node_type, model, column, str(key), doc_value(value), path
-
+def parse_docs(files: DataFrame) -> DataFrame:
+    """DOCS rows from ``file_path, value`` (whole YAML texts).
 
-def doc_rows(text: str, path: str) -> list[tuple]:
-    """DOCS rows of one file; raises with the file name if it is malformed."""
+    Values that are not strings are kept as JSON. Malformed YAML fails the job and
+    names the file. The parser is made of nested functions, which travel to the
+    executors by value: they need PyYAML there, but not this package.
+    """
     import yaml
 
-    try:
-        content = yaml.safe_load(text)
-    except yaml.YAMLError as problem:
-        raise ValueError(f"failed to parse {path}: {problem}") from problem
-    rows: list[tuple] = []
-    if not isinstance(content, dict):
-        return rows
-    for node_type in NODE_TYPES:
-        for node in content.get(node_type) or []:
-            if not isinstance(node, dict) or not node.get("name"):
-                continue
-            rows += _entries(node_type, node["name"], None, node, path)
-            for column in node.get("columns") or []:
-                if isinstance(column, dict) and column.get("name"):
-                    rows += _entries(node_type, node["name"], column["name"], column, path)
-    return rows
-
-
-def parse_docs(files: DataFrame) -> DataFrame:
-    """DOCS rows from ``file_path, value`` (whole YAML texts)."""
-    columns = schema("DOCS").names
+    columns, node_types = schema("DOCS").names, NODE_TYPES
+
+    def doc_value(value) -> str | None:
+        if value is None or isinstance(value, str):
+            return value
+        return json.dumps(value, ensure_ascii=False, default=str)
+
+    def entries(node_type: str, model: str, column: str | None, fields: dict, path: str):
+        yield node_type, model, column, "name", column or model, path
+        for key, value in fields.items():
+            if key not in ("name", "columns"):
+                yield node_type, model, column, str(key), doc_value(value), path
+
+    def named(items) -> list[dict]:
+        return [i for i in items or [] if isinstance(i, dict) and i.get("name")]
+
+    def doc_rows(text: str, path: str) -> Iterator[tuple]:
+        try:
+            content = yaml.safe_load(text)
+        except yaml.YAMLError as problem:
+            raise ValueError(f"failed to parse {path}: {problem}") from problem
+        if not isinstance(content, dict):
+            return
+        for node_type in node_types:
+            for node in named(content.get(node_type)):
+                yield from entries(node_type, node["name"], None, node, path)
+                for column in named(node.get("columns")):
+                    yield from entries(node_type, node["name"], column["name"], column, path)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
