@@ -101,14 +101,19 @@ def record_part(ordinal: Column, per_record: int = COLUMNS_PER_RECORD) -> Column
 
 
 def column_list(columns: DataFrame, per_record: int = COLUMNS_PER_RECORD) -> DataFrame:
-    """Comma-separated column names in source order, per table (and part)."""
+    """Comma-separated column names in source order, per table (and part).
+
+    Names are gathered as a set: an inventory that was landed several times does not
+    grow the groups, which therefore hold at most ``per_record`` names.
+    """
     names = F.transform(
-        F.array_sort(F.collect_list(F.struct("ordinal", "column_name"))),
+        F.array_sort(F.collect_set(F.struct("ordinal", "column_name"))),
         lambda c: c["column_name"],
     )
+    place = [c for c in ("source", "table_schema") if c in columns.columns]
     return (
         columns.withColumn("part", record_part(F.col("ordinal"), per_record))
-        .groupBy("table_name", "part")
+        .groupBy(*place, "table_name", "part")
         .agg(F.array_join(names, ", ").alias("column_list"))
     )
 

@@ -7,7 +7,7 @@ result and in every join key, so any number of projects can be read together.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formats import NOT_AVAILABLE
@@ -79,26 +79,28 @@ def model_deps(manifests: DataFrame) -> DataFrame:
         F.col("node.name").alias("model_name"),
         F.explode("node.depends_on.nodes").alias("parent_id"),
     )
-    node, source = F.col("node"), F.col("source")
-    kinds = ["model", "seed", "source"]
-    dotted = F.concat(node["source_name"], F.lit("."), node["name"])
-    nodes = manifest_nodes(manifests).filter(node["resource_type"].isin(kinds)).select(
-        "manifest_path",
-        F.col("unique_id").alias("parent_id"),
-        F.when(node["resource_type"] == "source", dotted)
-        .otherwise(node["name"])
-        .alias("dependency"),
-        node["resource_type"].alias("dep_kind"),
+
+    def entry(item: Column, kind: Column) -> Column:
+        value = item["value"]
+        dotted = F.concat(value["source_name"], F.lit("."), value["name"])
+        return F.struct(
+            item["key"].alias("parent_id"),
+            F.when(kind == "source", dotted).otherwise(value["name"]).alias("dependency"),
+            kind.alias("dep_kind"),
+        )
+
+    # Nodes and sources form one list, so that a text is parsed once for both.
+    nodes = F.transform(
+        F.map_entries("manifest.nodes"), lambda n: entry(n, n["value"]["resource_type"])
     )
-    sources = manifests.select(
-        "manifest_path", F.explode("manifest.sources").alias("parent_id", "source")
-    ).select(
-        "manifest_path",
-        "parent_id",
-        F.concat(source["source_name"], F.lit("."), source["name"]).alias("dependency"),
-        F.lit("source").alias("dep_kind"),
+    sources = F.transform(F.map_entries("manifest.sources"), lambda n: entry(n, F.lit("source")))
+    none = F.array().cast(
+        "array<struct<parent_id:string,dependency:string,dep_kind:string>>"
+    )
+    known = F.concat(F.coalesce(nodes, none), F.coalesce(sources, none))
+    lookup = manifests.select("manifest_path", F.inline(known)).filter(
+        F.col("dep_kind").isin("model", "seed", "source")
     )
-    lookup = nodes.unionByName(sources)
     return salted_join(wanted, lookup, ["manifest_path", "parent_id"], ["model_name"]).select(
         "manifest_path", "model_name", "dependency", "dep_kind"
     )

@@ -233,7 +233,7 @@ def assemble_catalog(
     nested = (
         catalog.withColumn("part", record_part(F.col("ordinal"), per_record))
         .groupBy("table_name", "part")
-        .agg(F.array_sort(F.collect_list(column)).alias("columns"))
+        .agg(F.array_sort(F.collect_set(column)).alias("columns"))
     )
     if summaries is None:
         names = F.array_join(F.col("columns.name"), ", ")
