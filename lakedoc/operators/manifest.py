@@ -17,10 +17,14 @@ from .joins import salted_join
 
 
 def manifest_nodes(manifests: DataFrame) -> DataFrame:
-    """``manifest_path, unique_id, node``: one row per node."""
+    """``manifest_path, unique_id, node``: one row per node.
+
+    The outer form with a filter keeps Catalyst from inferring a size condition on the
+    parsed map, which would be pushed below the parser and parse every text again.
+    """
     return manifests.select(
-        "manifest_path", F.explode("manifest.nodes").alias("unique_id", "node")
-    )
+        "manifest_path", F.explode_outer("manifest.nodes").alias("unique_id", "node")
+    ).filter(F.col("unique_id").isNotNull())
 
 
 def _model_nodes(manifests: DataFrame) -> DataFrame:
@@ -98,7 +102,7 @@ def model_deps(manifests: DataFrame) -> DataFrame:
         "array<struct<parent_id:string,dependency:string,dep_kind:string>>"
     )
     known = F.concat(F.coalesce(nodes, none), F.coalesce(sources, none))
-    lookup = manifests.select("manifest_path", F.inline(known)).filter(
+    lookup = manifests.select("manifest_path", F.inline_outer(known)).filter(
         F.col("dep_kind").isin("model", "seed", "source")
     )
     return salted_join(wanted, lookup, ["manifest_path", "parent_id"], ["model_name"]).select(
