@@ -146,8 +146,8 @@ def fk_integrity(tables: dict[str, DataFrame], fks: list[ForeignKey]) -> DataFra
         if child[0] != parent[0]:  # e.g. a number stored as text on one side
             child = ("string", f"CAST({child[1]} AS STRING)")
             parent = ("string", f"CAST({parent[1]} AS STRING)")
-        children.append(Slot(str(i), tables[fk.source_table], *child))
-        parents.append(Slot(str(i), tables[fk.target_table], *parent))
+        children.append(Slot(i, tables[fk.source_table], *child))
+        parents.append(Slot(i, tables[fk.target_table], *parent))
     child_long, parent_long = long_values(children), long_values(parents)
     matched = []
     for name in child_long:
@@ -178,11 +178,11 @@ def fk_integrity(tables: dict[str, DataFrame], fks: list[ForeignKey]) -> DataFra
     listed = local_frame(
         spark,
         [
-            (str(i), fk.source_table, ", ".join(fk.source_columns), fk.target_table,
+            (i, fk.source_table, ", ".join(fk.source_columns), fk.target_table,
              ", ".join(fk.target_columns))
             for i, fk in enumerate(fks)
         ],
-        "slot string, source_table string, source_column string, target_table string,"
+        "slot int, source_table string, source_column string, target_table string,"
         " target_column string",
     )
     measures = ["child_rows", "null_keys", "orphan_rows", "orphan_keys"]

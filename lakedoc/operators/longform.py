@@ -18,7 +18,7 @@ COLUMNS_PER_SCAN = 64
 class Slot:
     """One key to count: its id, the frame it comes from, its class and SQL text."""
 
-    id: str
+    id: int
     table: DataFrame
     key_class: str
     key: str
@@ -38,7 +38,7 @@ def countable(df: DataFrame, name: str) -> bool:
     return kind is not None and is_groupable(kind)
 
 
-def column_slot(slot_id: str, df: DataFrame, column: str, key=key_of) -> Slot:
+def column_slot(slot_id: int, df: DataFrame, column: str, key=key_of) -> Slot:
     return Slot(slot_id, df, *key(quoted(column), column_type(df, column)))
 
 
@@ -68,7 +68,7 @@ def long_values(
         for members in tables.values():
             for start in range(0, len(members), columns_per_scan):
                 chunk = members[start : start + columns_per_scan]
-                pairs = ", ".join(f"'{s.id}', {s.key}" for s in chunk)
+                pairs = ", ".join(f"{s.id}, {s.key}" for s in chunk)
                 frames.append(
                     chunk[0].table.selectExpr(f"stack({len(chunk)}, {pairs}) AS (slot, value)")
                 )

@@ -19,7 +19,7 @@ from .longform import (
     value_counts,
 )
 
-_COUNTS = "slot string, rows long, nulls long, distincts long"
+_COUNTS = "slot int, rows long, nulls long, distincts long"
 _EXTREMES = ["min_value", "max_value", "avg_value"]
 _NUMERIC = (
     T.ByteType,
@@ -91,12 +91,12 @@ def profile_database(
         for name, df in tables.items()
     }
     pairs = [(n, c) for n, cs in wanted.items() for c in cs]
-    usable = {str(i): p for i, p in enumerate(pairs) if countable(tables[p[0]], p[1])}
+    usable = {i: p for i, p in enumerate(pairs) if countable(tables[p[0]], p[1])}
     spark = next(iter(tables.values())).sparkSession
     inventory = local_frame(
         spark,
-        [(str(i), n, c, str(i) in usable) for i, (n, c) in enumerate(pairs)],
-        "slot string, table_name string, column_name string, usable boolean",
+        [(i, n, c, i in usable) for i, (n, c) in enumerate(pairs)],
+        "slot int, table_name string, column_name string, usable boolean",
     )
     key = text_key_of if one_scan else key_of
     slots = [column_slot(s, tables[n], c, key) for s, (n, c) in usable.items()]
@@ -149,10 +149,10 @@ def _exact_counts(classes: dict[str, DataFrame]) -> DataFrame:
 
 
 def _by_table(
-    usable: dict[str, tuple[str, str]], columns_per_scan: int
-) -> list[tuple[str, list[tuple[str, str]]]]:
+    usable: dict[int, tuple[str, str]], columns_per_scan: int
+) -> list[tuple[str, list[tuple[int, str]]]]:
     """Slots and columns by table, very wide tables in chunks."""
-    grouped: dict[str, list[tuple[str, str]]] = {}
+    grouped: dict[str, list[tuple[int, str]]] = {}
     for slot, (table, column) in usable.items():
         grouped.setdefault(table, []).append((slot, column))
     return [
@@ -177,7 +177,7 @@ def _approx_counts(spark, tables, usable, slots, rsd: float, columns_per_scan: i
             *[f"count({quoted(c)}) AS f{s}" for s, c in members],
             *[f"approx_count_distinct({keys[s]}, {rsd}D) AS d{s}" for s, _ in members],
         )
-        rows = [[f"'{s}'", "total", f"total - f{s}", f"least(d{s}, f{s})"] for s, _ in members]
+        rows = [[str(s), "total", f"total - f{s}", f"least(d{s}, f{s})"] for s, _ in members]
         frames.append(_unfold(row, rows, "slot, rows, nulls, distincts"))
     # One row per column: this is collected (it is bounded by the schemas) so that the
     # exact pass reads only the few columns that need it.
@@ -199,7 +199,7 @@ def _extremes(spark, tables, usable, columns_per_scan: int) -> DataFrame:
     """``slot, min_value, max_value, avg_value`` of the orderable columns, one scan."""
     frames = [
         local_frame(
-            spark, [], "slot string, min_value string, max_value string, avg_value double"
+            spark, [], "slot int, min_value string, max_value string, avg_value double"
         )
     ]
     for name, members in _by_table(usable, columns_per_scan):
@@ -212,7 +212,7 @@ def _extremes(spark, tables, usable, columns_per_scan: int) -> DataFrame:
             if numeric:
                 aggregates.append(f"avg(CAST({quoted(c)} AS DOUBLE)) AS av{s}")
             mean = f"av{s}" if numeric else "CAST(NULL AS DOUBLE)"
-            rows.append([f"'{s}'", f"CAST(lo{s} AS STRING)", f"CAST(hi{s} AS STRING)", mean])
+            rows.append([str(s), f"CAST(lo{s} AS STRING)", f"CAST(hi{s} AS STRING)", mean])
         if members:
             row = tables[name].selectExpr(*aggregates)
             frames.append(_unfold(row, rows, ", ".join(["slot", *_EXTREMES])))

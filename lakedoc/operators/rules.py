@@ -192,7 +192,7 @@ def run_tests(
     (nulls ignored). All tests of all tables share the scans of the long form.
     """
     pairs = list(dict.fromkeys((t, c) for t, c, _ in tests))
-    slots = [column_slot(str(i), tables[t], c) for i, (t, c) in enumerate(pairs)]
+    slots = [column_slot(i, tables[t], c) for i, (t, c) in enumerate(pairs)]
     counts = (
         value_counts(long_values(slots))
         .groupBy("slot")
@@ -204,8 +204,8 @@ def run_tests(
     spark = next(iter(tables.values())).sparkSession
     declared = local_frame(
         spark,
-        [(str(pairs.index((t, c))), t, c, k) for t, c, k in tests],
-        "slot string, table_name string, column_name string, test string",
+        [(pairs.index((t, c)), t, c, k) for t, c, k in tests],
+        "slot int, table_name string, column_name string, test string",
     )
     failures = F.when(F.col("test") == "not_null", F.col("not_null")).otherwise(F.col("unique"))
     # One row per tested column.

@@ -61,11 +61,11 @@ def test_fill_adds_blank_keys_and_keeps_others(listed, wanted):
 def test_existing_text_is_never_overwritten(spark, wanted):
     kept = docs(
         spark,
-        ("customers", None, "description", "This is an old description."),
+        ("customers", None, "description", "An older text."),
         ("customers", "customer_id", "description", "  "),
     )
     assert values(D.fill_docs(kept, wanted)) == {
-        ("customers", None, "description"): ("This is an old description.", False),
+        ("customers", None, "description"): ("An older text.", False),
         ("customers", "customer_id", "description"): ("The key.", True),
         ("customers", "customer_id", "tests"): ('["not_null"]', True),
     }
