@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, quality_rules
 from .common import table_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,10 @@ def query(name: str, sql: str | None = None):
 @query("op8_exact_dedup", exact_dedup.ORACLE_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table_rows(spark, sf_dir, "documents"))
+
+
+@query("op10_quality_rules")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(
+        table_rows(spark, sf_dir, "documents"), table_rows(spark, sf_dir, "labels")
+    )
