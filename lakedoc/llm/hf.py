@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 
 from .common import worker_state
-from .pieces import SpacePieces, WordPieces
+from .pieces import GPT_LATIN, LATIN, WORD_LATIN, SpacePieces, WordPieces, Words, visible
 
 
 def _load(path: str):
@@ -59,22 +59,29 @@ def encoder(path: str):
             if declared["pre_tokenizer"]["add_prefix_space"]:
                 return whole
 
+            words = Words(lambda word: ids_of([visible(word)]))
+
             def unit(text: str) -> bytes:
-                if text.isascii() and text[1:].isalpha() and text[0] == " ":
-                    return ids_of(["Ġ" + text[1:]])  # a space in the byte-level alphabet
+                if LATIN.fullmatch(text):
+                    return b"".join(map(words.__getitem__, GPT_LATIN.findall(text)))
                 return ids_of(word for word, _ in splitter.pre_tokenize_str(text))
 
             return SpacePieces(unit).encode
 
         if kinds == ["Split", "ByteLevel"] and normal == ["NFC", "Replace", "Lowercase"]:
 
-            def word(text: str) -> bytes:
-                if text.isascii() and text.isalpha():
-                    return ids_of([text.lower()])
+            def library(text: str) -> bytes:
                 text = normalizer.normalize_str(text)
                 return ids_of(part for part, _ in splitter.pre_tokenize_str(text))
 
-            return WordPieces(word).encode
+            words = Words(lambda word: ids_of([visible(word.lower())]))
+
+            def piece(text: str) -> bytes:
+                if LATIN.fullmatch(text):
+                    return b"".join(map(words.__getitem__, WORD_LATIN.findall(text)))
+                return library(text)
+
+            return WordPieces(piece).encode
 
         return whole
 

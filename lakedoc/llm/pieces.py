@@ -14,31 +14,67 @@ import re
 SAFE = re.compile(r"(?<=\S) (?=\S)")  # \S of Python excludes all that any library calls space
 
 
+# The pre-tokenisers' patterns for texts of printable ASCII, line ends and composed Latin
+# letters only. There letters and digits are plain ranges and nothing changes under NFC.
+_LETTER = "A-Za-zÀ-ÖØ-öø-\u012f\u0131-\u01c3\u01cd-\u024f"
+LATIN = re.compile(rf"[{_LETTER}\n -~]*")
+GPT_LATIN = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+"
+)
+WORD_LATIN = re.compile(rf"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[{_LETTER}]+|[0-9]|[^\s{_LETTER}0-9]+")
+
+
+
+def byte_alphabet() -> str:
+    """Character for each byte in the byte-level alphabet.
+
+    Printable Latin-1 characters stand for themselves, the other bytes for the characters
+    from 256 on, in order.
+    """
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = iter(range(256, 512))
+    return "".join(chr(b) if b in printable else chr(next(hidden)) for b in range(256))
+
+
+_ALPHABET = byte_alphabet()
+
+
+def visible(word: str) -> str:
+    """The UTF-8 bytes of a word, written in the byte-level alphabet."""
+    if word.isascii() and word[1:].isalpha():
+        return "Ġ" + word[1:] if word[0] == " " else word
+    return word.encode().decode("latin-1").translate(_ALPHABET)
+
+
 class _Irregular(Exception):
     pass
 
 
 class Cache(dict):
-    """Encodings by piece, in two generations of at most ``size`` entries each."""
+    """Encodings by piece, at most ``size`` of them; a full cache starts anew."""
 
-    def __init__(self, encode, size: int, regular):
+    def __init__(self, encode, size: int, regular=None):
         super().__init__()
-        self.encode, self.size, self.regular, self.older = encode, size, regular, {}
+        self.encode, self.size, self.regular = encode, size, regular
 
     def __missing__(self, piece: str) -> bytes:
-        found = self.older.get(piece)
-        if found is None:
-            if not self.regular(piece):
-                raise _Irregular
-            found = self.encode(piece)
-        if len(self) >= self.size:
-            self.older = dict(self)
-            self.clear()
+        if self.regular is not None and not self.regular(piece):
+            raise _Irregular
+        found = self.encode(piece)
         if len(piece) <= 64:
+            if len(self) >= self.size:
+                self.clear()
             self[piece] = found
         return found
 
 
+class Words(Cache):
+    """Encodings by word, for words that recur in pieces with other punctuation."""
+
+    def __init__(self, encode, size: int = 200_000):
+        super().__init__(encode, size)
+
+
 def _inside(piece: str) -> bool:
     """Whether both ends are characters other than white space."""
     return bool(piece) and not piece[0].isspace() and not piece[-1].isspace()
@@ -51,7 +87,7 @@ class SpacePieces:
     pieces.
     """
 
-    def __init__(self, unit, between: bytes = b"", size: int = 300_000):
+    def __init__(self, unit, between: bytes = b"", size: int = 500_000):
         self.unit, self.between = unit, between
         self.cache = Cache(lambda piece: unit(" " + piece), size, _inside)
 
@@ -74,12 +110,9 @@ class SpacePieces:
 class WordPieces:
     """``encode(text)`` for tokenisers that drop all white space: any space is a safe cut."""
 
-    def __init__(self, unit, size: int = 300_000):
-        self.cache = Cache(unit, size, bool)
-        self.cache[""] = b""
+    def __init__(self, unit, size: int = 500_000):
+        self.cache = Cache(unit, size)
 
     def encode(self, text: str) -> bytes:
         parts = text.replace("\n", " ").split(" ")
-        found = b"".join(map(self.cache.__getitem__, parts))
-        self.cache[""] = b""  # generations change
-        return found
+        return b"".join(map(self.cache.__getitem__, parts))

@@ -6,13 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, quality_rules
+from . import byte_bpe, exact_dedup, quality_rules, token_files
 from .common import table_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file, on every machine of the cluster."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(name: str, sql: str | None = None):
     def register(fn):
         QUERIES[name] = fn
@@ -33,3 +40,15 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(
         table_rows(spark, sf_dir, "documents"), table_rows(spark, sf_dir, "labels")
     )
+
+
+@query("op3_token_files")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table_rows(spark, sf_dir, "documents")
+    return token_files.token_file_digests(documents, vocabulary("byte_bpe_50k.json"))
+
+
+@query("op9_byte_bpe")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table_rows(spark, sf_dir, "documents")
+    return byte_bpe.round_trips(documents, vocabulary("byte_bpe_50k.tiktoken"))
