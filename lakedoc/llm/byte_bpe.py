@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import slices, texts, worker_state
-from .pieces import GPT_LATIN, LATIN, SpacePieces, Words, visible
+from .pieces import ALPHABET, GPT_LATIN, LATIN, SpacePieces, Words, visible
 
 # Fixed value: the public pre-tokeniser pattern of these ranks.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -83,9 +83,7 @@ def serialise(ranks: dict[bytes, int]) -> bytes:
 
 
 def alphabet_text(token: bytes) -> str:
-    from .pieces import _ALPHABET
-
-    return token.decode("latin-1").translate(_ALPHABET)
+    return token.decode("latin-1").translate(ALPHABET)
 
 
 class Codec:

@@ -36,14 +36,14 @@ def byte_alphabet() -> str:
     return "".join(chr(b) if b in printable else chr(next(hidden)) for b in range(256))
 
 
-_ALPHABET = byte_alphabet()
+ALPHABET = byte_alphabet()
 
 
 def visible(word: str) -> str:
     """The UTF-8 bytes of a word, written in the byte-level alphabet."""
     if word.isascii() and word[1:].isalpha():
         return "Ġ" + word[1:] if word[0] == " " else word
-    return word.encode().decode("latin-1").translate(_ALPHABET)
+    return word.encode().decode("latin-1").translate(ALPHABET)
 
 
 class _Irregular(Exception):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, quality_rules, token_files
+from . import byte_bpe, exact_dedup, packing, quality_rules, token_files
 from .common import table_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table_rows(spark, sf_dir, "documents")
     return byte_bpe.round_trips(documents, vocabulary("byte_bpe_50k.tiktoken"))
+
+
+@query("op4_best_fit_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table_rows(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
