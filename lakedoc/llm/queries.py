@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, packing, quality_rules, token_files
+from . import byte_bpe, chat_format, exact_dedup, packing, quality_rules, token_files
 from .common import table_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_best_fit_packing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table_rows(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query("op5_chat_format", chat_format.ORACLE_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat_format.canonical_turns(table_rows(spark, sf_dir, "conversations"))
+    probe = spark.createDataFrame(chat_format.PROBE, turns.schema)
+    return chat_format.formatted_digests(turns.unionByName(probe))
