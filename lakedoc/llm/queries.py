@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_format, exact_dedup, packing, quality_rules, token_files
+from . import byte_bpe, chat_format, exact_dedup, packing, quality_rules, simhash, token_files
 from .common import table_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat_format.canonical_turns(table_rows(spark, sf_dir, "conversations"))
     probe = spark.createDataFrame(chat_format.PROBE, turns.schema)
     return chat_format.formatted_digests(turns.unionByName(probe))
+
+
+@query("op6_simhash")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table_rows(spark, sf_dir, "documents"))
