@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_format, exact_dedup, packing, quality_rules, simhash, token_files
+from . import byte_bpe, chat_format, exact_dedup, packing, quality_model, quality_rules, simhash, token_files
 from .common import table_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_simhash")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table_rows(spark, sf_dir, "documents"))
+
+
+@query("op1_quality_model")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(
+        table_rows(spark, sf_dir, "documents"), table_rows(spark, sf_dir, "labels")
+    )
