@@ -226,11 +226,13 @@ def fit(
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text"):
     """Every row: ``doc_id, held_out, score, predicted``."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    parts = (model.weight, model.square, model.bias, model.slope, model.shift)
+    shipped = docs.sparkSession.sparkContext.broadcast(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*shipped.value)
         for batch in slices(batches):
-            scores = [shipped.value.score(indicators(t)) for t in batch.column(2).to_pylist()]
+            scores = [model.score(indicators(t)) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
