@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_format, exact_dedup, packing, quality_model, quality_rules, simhash, token_files
+from . import byte_bpe, chat_format, exact_dedup, packing, quality_model, quality_rules, simhash, suffix_dedup, token_files
 from .common import table_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(
         table_rows(spark, sf_dir, "documents"), table_rows(spark, sf_dir, "labels")
     )
+
+
+@query("op2_suffix_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_digests(table_rows(spark, sf_dir, "documents"))
