@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_format, exact_dedup, packing, quality_model, quality_rules, simhash, suffix_dedup, token_files
+from . import byte_bpe, chat_format, exact_dedup, lm_score, packing, quality_model, quality_rules, simhash, suffix_dedup, token_files
 from .common import table_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_suffix_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeat_digests(table_rows(spark, sf_dir, "documents"))
+
+
+@query("op7_lm_score")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scores(table_rows(spark, sf_dir, "documents"))
