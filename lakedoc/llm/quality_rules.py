@@ -18,7 +18,7 @@ guarantee then holds for the pooled population).
 
 Plan: one pass computes the features of all whole texts and stores them (a few numbers a
 row); labels join those; histograms of rule by candidate are summed before anything is
-gathered; the cutoffs (at most ``max_strata + 1`` rows) are broadcast.
+gathered; the cutoffs (at most ``max_strata + 1`` rows) become literals of the verdict.
 
 Defined results: null and empty texts have zero features and fail the base rule (fewer
 than 50 words); unlabelled or contradictorily labelled rows are left out of the holdout;
@@ -28,7 +28,9 @@ are ignored. Texts of any length are taken whole.
 
 from __future__ import annotations
 
+import itertools
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,6 +38,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, stored, texts
 
@@ -237,25 +240,45 @@ def cutoffs(
     )
 
 
-def base_failed():
-    return (F.col("n_words") < MIN_WORDS) | (
-        100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
+def base_failed(renamed: dict[str, str] | None = None):
+    n_words, repeated = (
+        F.col((renamed or {}).get(name, name)) for name in ("n_words", "n_repeat_words")
     )
+    return (n_words < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * n_words)
 
 
-def judged(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """Features of every row of ``docs``, ``base_failed`` and the verdict ``kept``."""
+def learned(docs: DataFrame, labels: DataFrame, **options) -> tuple[dict, dict[str, dict]]:
+    """Smallest rejected bin of every rule: pooled, and by stratum (at most ``max_strata``)."""
     measured = stored(features(docs), "quality-features")
-    chosen = stored(cutoffs(measured, labels, **options), "quality-cutoffs")
-    rows = chosen.where("stratum is null").collect()  # one row, or none without labels
-    pooled = rows[0].asDict() if rows else {}
-    own = chosen.where("stratum is not null").withColumnRenamed("stratum", "cut_stratum")
-    joined = measured.join(F.broadcast(own), F.col("stratum") == F.col("cut_stratum"), "left")
+    return _gathered(cutoffs(measured, labels, **options))
+
+
+def _gathered(chosen: DataFrame) -> tuple[dict, dict[str, dict]]:
+    rows = [row.asDict() for row in chosen.collect()]  # bounded by ``max_strata``
+    own = {row["stratum"]: row for row in rows if row["stratum"] is not None}
+    return next((row for row in rows if row["stratum"] is None), {}), own
+
+
+def _learned_failed(pooled: dict, own: dict[str, dict], stratum, renamed=None):
+    """Whether a rule's value lies in or above its rejected bin."""
     failed = F.lit(False)
     for rule, sql in RULES.items():
-        cutoff = F.coalesce(F.col(rule), F.lit(pooled.get(rule, BINS)))
+        for name, other in (renamed or {}).items():
+            sql = re.sub(rf"\b{name}\b", other, sql)
+        cutoff = F.lit(pooled.get(rule, BINS))
+        if own:
+            pairs = itertools.chain.from_iterable((k, row[rule]) for k, row in own.items())
+            cutoff = F.coalesce(F.create_map(*map(F.lit, pairs))[stratum], cutoff)
         failed = failed | (bin_of(F.expr(sql)) >= cutoff)
-    return joined.withColumn("base_failed", base_failed()).select(
+    return failed
+
+
+def judged(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """Features of every row of ``docs``, ``base_failed`` and the verdict ``kept``."""
+    measured = stored(features(docs), "quality-features")
+    pooled, own = _gathered(cutoffs(measured, labels, **options))
+    failed = _learned_failed(pooled, own, F.col("stratum"))
+    return measured.withColumn("base_failed", base_failed()).select(
         "doc_id",
         "n_words",
         "word_chars",
@@ -265,3 +288,32 @@ def judged(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
         "base_failed",
         (~F.col("base_failed") & ~failed).alias("kept"),
     )
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, all columns, that `judged` keeps.
+
+    A verdict depends on the text and the stratum only, so it is taken in the same pass
+    that reads the rows; the cutoffs are learned before.
+    """
+    pooled, own = learned(docs, labels, **options)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = [features_of(text) for text in batch.column(0).to_pylist()]
+            columns = [pa.array(c, pa.int64()) for c in zip(*rows)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[1:], *columns], names=[*names, *measures]
+            )
+
+    measures = [f"__{name}" for name in _NAMES[2:]]
+    names = list(docs.columns)
+    fields = [T.StructField(name, T.LongType()) for name in measures]
+    text = F.coalesce(docs["text"].cast("string"), F.lit("")).alias("__text")
+    measured = docs.select(text, *[docs[c] for c in names]).mapInArrow(
+        run, T.StructType([*docs.schema.fields, *fields])
+    )
+    renamed = {name: f"__{name}" for name in _NAMES[2:]}
+    stratum = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in names else F.lit("")
+    kept = ~base_failed(renamed) & ~_learned_failed(pooled, own, stratum, renamed)
+    return measured.where(kept).select(*names)
