@@ -1,20 +1,58 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences, stage by stage.
+
+Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is stored before
+the next stage reads it. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lakedoc.llm.common import stored, table_rows
 from lakedoc.llm.exact_dedup import exact_dedup
+from lakedoc.llm.packing import pack
+from lakedoc.llm.quality_rules import keep_good
+from lakedoc.llm.queries import vocabulary
+from lakedoc.llm.simhash import near_dedup
+from lakedoc.llm.suffix_dedup import without_repeats
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule or a learned cutoff rejects go."""
+    return keep_good(docs, table_rows(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (A-Z in lower case) the largest id stays."""
     return exact_dedup(docs)
 
 
-STAGES = [("exact_dedup", drop_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts with linked fingerprints the smallest id stays."""
+    return near_dedup(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 200 bytes or more that occur elsewhere are cut out of the texts."""
+    cut = without_repeats(docs)
+    return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in cut.columns else cut
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their place in sequences of 2048 tokens."""
+    return pack(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("exact_dedup", drop_copies),
+    ("simhash_near_dedup", drop_near_copies),
+    ("suffix_array_dedup", cut_repeats),
+    ("best_fit_packing", pack_sequences),
+]
 
-#: Trained cutoffs, fingerprints and packing are beyond SQL.
+#: Learned cutoffs, fingerprints, token ids and packing are beyond SQL.
 ORACLE_SQL = None
 
 
