@@ -9,12 +9,13 @@ from .formats import FENCE, NO_SQL, NOT_AVAILABLE
 
 
 def is_blank(text: Column) -> Column:
-    """A documentation value that counts as missing.
+    """A documentation value that counts as missing: null, or only white space.
 
-    Documentation values are carried as text; an empty list or map, ``false`` and
-    ``null`` are spelled the way YAML and JSON print them.
+    Values that are empty in their own type (an empty list or map, false) are null
+    already where documentation is parsed or proposed; a text that merely reads
+    ``false`` is a text.
     """
-    return text.isNull() | F.trim(text).isin("", "[]", "{}", "false", "null")
+    return text.isNull() | (F.trim(text) == "")
 
 
 def first_filled(*texts: Column) -> Column:
@@ -80,9 +81,10 @@ def dirname(path: Column) -> Column:
 
 
 def verdict(answer: Column) -> Column:
-    """DRIFT when the answer says so in any case, otherwise MATCH."""
-    return F.when(F.upper(answer).contains("DRIFT"), "DRIFT").otherwise("MATCH")
+    """DRIFT when the answer says so in any case, otherwise MATCH; null without an answer."""
+    said = F.when(F.upper(answer).contains("DRIFT"), "DRIFT").otherwise("MATCH")
+    return F.when(answer.isNotNull(), said)
 
 
 def sql_or_note(raw_code: Column, raw_sql: Column) -> Column:
-    return F.coalesce(F.nullif(raw_code, F.lit("")), raw_sql, F.lit(NO_SQL))
+    return first_filled(raw_code, raw_sql, F.lit(NO_SQL))

@@ -12,10 +12,6 @@ from pyspark.sql import functions as F
 from ..schemas import local_frame
 from .longform import union_all
 
-# Columns kept together in one nested record or list; wider tables continue in the
-# next part, so that no record grows with the width of a table.
-COLUMNS_PER_RECORD = 1000
-
 _TABLE = ["source", "table_schema", "table_name"]
 _CONSTRAINT = ["source", "table_schema", "constraint_name"]
 
@@ -57,13 +53,20 @@ def columns_with_pk(
     """COLUMNS rows of an extract with ``is_pk``, one row per column.
 
     A column may take part in several keys; the primary key columns are therefore
-    made distinct before the join.
+    made distinct before the join. A constraint name may occur on several tables of a
+    schema, so the table is part of the key where the constraints name it.
     """
     primary = constraints.filter(F.col("constraint_type") == "PRIMARY KEY")
-    pk = key_usage.join(primary.select(*_CONSTRAINT).distinct(), _CONSTRAINT, "left_semi")
+    key = constraint_key(constraints)
+    pk = key_usage.join(primary.select(*key).distinct().hint("merge"), key, "left_semi")
     return _flagged(columns, pk.select(*_TABLE, "column_name"))
 
 
+def constraint_key(constraints: DataFrame) -> list[str]:
+    """Columns that tell a constraint: with its table, if the extract has it."""
+    return [*_CONSTRAINT, *(["table_name"] if "table_name" in constraints.columns else [])]
+
+
 def mark_pk(columns: DataFrame, pk_names: DataFrame) -> DataFrame:
     """COLUMNS rows of an extract, flagged by a plain list of primary key columns."""
     return _flagged(columns, pk_names.select(*_TABLE, "column_name"))
@@ -82,6 +85,32 @@ def _flagged(columns: DataFrame, pk: DataFrame) -> DataFrame:
     )
 
 
+def columns_from_describe(described: DataFrame) -> DataFrame:
+    """COLUMNS rows from a describe listing ``table_name, ordinal, name, type, null, key``.
+
+    ``null`` is YES or NO; ``key`` is PRI for the columns of the primary key.
+    """
+    return described.select(
+        "table_name",
+        F.col("name").alias("column_name"),
+        F.col("ordinal").cast("int").alias("ordinal"),
+        F.col("type").alias("data_type"),
+        (F.upper("null") == "YES").alias("is_nullable"),
+        F.coalesce(F.upper("key") == "PRI", F.lit(False)).alias("is_pk"),
+        F.lit("").alias("description"),
+    )
+
+
+def views_from_extract(views: DataFrame, schema: str | None = None) -> DataFrame:
+    """VIEWS rows from an extract ``table_schema, table_name, view_definition``."""
+    if schema is not None:
+        views = views.filter(F.col("table_schema") == schema)
+    return views.select(
+        F.col("table_name").alias("view_name"),
+        F.coalesce("view_definition", F.lit("")).alias("definition"),
+    )
+
+
 def columns_from_pragma(table_info: DataFrame) -> DataFrame:
     """COLUMNS rows from the layout ``cid, name, type, notnull, dflt_value, pk``."""
     return table_info.select(
@@ -95,26 +124,19 @@ def columns_from_pragma(table_info: DataFrame) -> DataFrame:
     )
 
 
-def record_part(ordinal: Column, per_record: int = COLUMNS_PER_RECORD) -> Column:
-    """Which part of a table's record a column belongs to; 0 unless it is very wide."""
-    return F.floor((ordinal - 1) / per_record).cast("int")
-
-
-def column_list(columns: DataFrame, per_record: int = COLUMNS_PER_RECORD) -> DataFrame:
-    """Comma-separated column names in source order, per table (and part).
+def column_list(columns: DataFrame) -> DataFrame:
+    """All column names of every table, comma-separated in source order.
 
     Names are gathered as a set: an inventory that was landed several times does not
-    grow the groups, which therefore hold at most ``per_record`` names.
+    grow the groups, so a group is as large as its table is wide.
     """
     names = F.transform(
         F.array_sort(F.collect_set(F.struct("ordinal", "column_name"))),
         lambda c: c["column_name"],
     )
     place = [c for c in ("source", "table_schema") if c in columns.columns]
-    return (
-        columns.withColumn("part", record_part(F.col("ordinal"), per_record))
-        .groupBy(*place, "table_name", "part")
-        .agg(F.array_join(names, ", ").alias("column_list"))
+    return columns.groupBy(*place, "table_name").agg(
+        F.array_join(names, ", ").alias("column_list")
     )
 
 
@@ -122,7 +144,7 @@ def catalog_summary(columns: DataFrame, views: DataFrame, fks: DataFrame) -> Dat
     """One row with the numbers of tables, columns, views and foreign keys."""
     counted = union_all(
         [
-            columns.groupBy("table_name")
+            columns.groupBy(*[c for c in _TABLE if c in columns.columns])
             .agg(F.count(F.lit(1)).alias("columns"))
             .select(F.lit(1).alias("tables"), "columns", *_zeros("views", "fks")),
             views.select(*_zeros("tables", "columns"), F.lit(1).alias("views"), *_zeros("fks")),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ratios import null_ratio
 from ..functions.text import dirname, is_blank
-from .joins import salted_join
+from .joins import lookup_join
 
 _KEY = ["model_name", "entity", "doc_key"]
 
@@ -65,10 +65,7 @@ def fill_docs(docs: DataFrame, proposals: DataFrame) -> DataFrame:
     files = model_file_map(docs).select(
         F.col("model_name"), F.col("file_path").alias("owner_file")
     )
-    # One model may hold a large share of all rows, so the lookup is salted.
-    owned = salted_join(
-        docs.withColumn("entity", _entity()), files, ["model_name"], ["entity", "doc_key"]
-    ).withColumn(
+    owned = lookup_join(docs.withColumn("entity", _entity()), files, ["model_name"]).withColumn(
         "fillable",
         (F.col("node_type") == "models") & (F.col("file_path") == F.col("owner_file")),
     )
@@ -144,15 +141,14 @@ def doc_stubs(proposals: DataFrame, docs: DataFrame) -> DataFrame:
     """
     folder = dirname(F.col("original_file_path"))
     target = F.when(folder == "", "schema.yml").otherwise(F.concat(folder, F.lit("/schema.yml")))
-    stubs = salted_join(
-        proposals, _model_names(docs), ["model_name"], ["column_name", "doc_key"], "left_anti"
-    ).filter(~F.coalesce(F.col("original_file_path") == "", F.lit(True)))
+    stubs = lookup_join(proposals, _model_names(docs), ["model_name"], "left_anti").filter(
+        ~F.coalesce(F.col("original_file_path") == "", F.lit(True))
+    )
     known = docs.select(F.col("file_path").alias("target_file")).distinct()
-    located = salted_join(
+    located = lookup_join(
         stubs.withColumn("target_file", target),
         known.withColumn("known", F.lit(True)),
         ["target_file"],
-        ["model_name", "column_name", "doc_key"],
         "left",
     )
     value = F.col("proposed_value")

@@ -2,31 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
 
+def lookup_join(left: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner"):
+    """Join ``left`` to a narrow ``lookup`` that has one row per key.
 
-def salted_join(
-    left: DataFrame,
-    lookup: DataFrame,
-    keys: list[str],
-    spread: list[str],
-    how: str = "inner",
-    salts: int = SALTS,
-) -> DataFrame:
-    """Join ``left`` to a narrow ``lookup`` of distinct keys, splitting hot keys.
-
-    Rows of one key go to up to ``salts`` tasks, chosen by a hash of the ``spread``
-    columns (deterministic, so a recomputed task gives the same rows); the lookup is
-    repeated once per salt. ``how``: inner, left, left_semi or left_anti, which all
-    keep their meaning because every left row still meets each lookup row once.
+    A sort-merge join whose left partitions adaptive execution splits where a key is
+    frequent; only the lookup row of such a key is read again. ``how``: inner, left,
+    left_semi or left_anti, which all allow that split.
     """
-    salt: Column = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = left.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how)
-    return joined.drop("_salt")
+    return left.join(lookup.hint("merge"), keys, how)
 
 
 def is_present(df: DataFrame, name: str) -> DataFrame:

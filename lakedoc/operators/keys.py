@@ -6,11 +6,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.keys import key_of, quoted
 from ..functions.ratios import null_ratio
 from ..schemas import local_frame
-from .joins import salted_join
+from .columns import constraint_key
+from .joins import lookup_join
 from .longform import Slot, column_type, long_values, union_all
 
 _CONSTRAINT = ["source", "table_schema", "constraint_name"]
@@ -21,6 +23,10 @@ def _pairs(*columns: Column) -> list[Column]:
     return [c.alias(n) for c, n in zip(columns, names)]
 
 
+def _names(column: str) -> Column:
+    return F.array_join(F.array_sort(F.collect_set(column)), ", ").alias(column)
+
+
 def foreign_keys(
     constraints: DataFrame,
     key_usage: DataFrame,
@@ -29,21 +35,43 @@ def foreign_keys(
 ) -> DataFrame:
     """FKS rows (with ``source, table_schema``) from the three catalog extracts.
 
-    Columns of a composite key are paired by ``ordinal_position`` if both usage
-    extracts have it, otherwise every column of a key meets every referenced one.
+    Columns of a composite key are paired by position: the child's
+    ``position_in_unique_constraint``, or else its ``ordinal_position``, with the parent's
+    ``ordinal_position``. Without positions the pairing is unknown; such a key is one row
+    that lists the columns of each side, in order of name. A constraint name may occur on
+    several tables: where the constraints name the table it tells the keys apart, and the
+    parent extract may carry the child's name as ``constraint_table``.
     """
     keys = constraints.filter(F.col("constraint_type") == "FOREIGN KEY")
     if schema is not None:
         keys = keys.filter(F.col("table_schema") == schema)
-    on = list(_CONSTRAINT)
-    if "ordinal_position" in key_usage.columns and "ordinal_position" in ref_usage.columns:
-        on.append("ordinal_position")
-    child = key_usage.select(
-        *on, F.col("table_name").alias("child"), F.col("column_name").alias("child_column")
-    ).join(keys.select(*_CONSTRAINT).distinct(), _CONSTRAINT, "left_semi")
+    key = constraint_key(constraints)
+    child = lookup_join(key_usage, keys.select(*key).distinct(), key, "left_semi")
+    places = [
+        c for c in ("position_in_unique_constraint", "ordinal_position") if c in child.columns
+    ]
+    paired = bool(places) and "ordinal_position" in ref_usage.columns
+    on, own = list(_CONSTRAINT), []
+    if "constraint_table" in ref_usage.columns:
+        on, own = [*on, "child"], [F.col("constraint_table").alias("child")]
+    child = child.select(
+        *_CONSTRAINT,
+        F.col("table_name").alias("child"),
+        F.col("column_name").alias("child_column"),
+        *([F.coalesce(*places).alias("place")] if paired else []),
+    )
     parent = ref_usage.select(
-        *on, F.col("table_name").alias("parent"), F.col("column_name").alias("parent_column")
+        *_CONSTRAINT,
+        *own,
+        F.col("table_name").alias("parent"),
+        F.col("column_name").alias("parent_column"),
+        *([F.col("ordinal_position").alias("place")] if paired else []),
     )
+    if paired:
+        on = [*on, "place"]
+    else:  # a few columns a key
+        child = child.groupBy(*_CONSTRAINT, "child").agg(_names("child_column"))
+        parent = parent.groupBy(*on, "parent").agg(_names("parent_column"))
     return child.join(parent, on).select(
         "source",
         "table_schema",
@@ -55,8 +83,7 @@ def fks_from_constraint_lists(constraints: DataFrame) -> DataFrame:
     """FKS rows from constraints that list their columns in arrays.
 
     Layout: ``source, table_name, constraint_index, constraint_type, column_names,
-    primary_key_index``. All columns of a key are paired, not only the first. Many
-    keys may refer to one popular table, hence the salted join.
+    primary_key_index``. All columns of a key are paired, not only the first.
     """
     child = constraints.filter(F.col("constraint_type") == "FOREIGN KEY").select(
         "source",
@@ -70,7 +97,7 @@ def fks_from_constraint_lists(constraints: DataFrame) -> DataFrame:
         F.col("table_name").alias("parent"),
         F.col("column_names").alias("parent_columns"),
     )
-    joined = salted_join(child, parent, ["source", "key_index"], ["child", "child_columns"])
+    joined = lookup_join(child, parent, ["source", "key_index"])
     zipped = joined.select(
         "source",
         "child",
@@ -120,8 +147,48 @@ class ForeignKey:
         return f"{child} -> {self.target_table}({', '.join(self.target_columns)})"
 
 
-def _side(df: DataFrame, columns: tuple[str, ...]) -> tuple[str, str]:
-    typed = [key_of(quoted(c), column_type(df, c)) for c in columns]
+def _common(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The type in which Spark's own equality compares the two; text if there is none."""
+    if a == b:
+        return a
+    if isinstance(a, T.StringType) or isinstance(b, T.StringType):
+        return T.StringType()
+    if isinstance(a, T.DecimalType) or isinstance(b, T.DecimalType):
+        digits = [_DIGITS.get(type(t)) for t in (a, b)]
+        scales = [getattr(t, "scale", 0) for t in (a, b)]
+        whole = [t.precision - t.scale if isinstance(t, T.DecimalType) else d
+                 for t, d in zip((a, b), digits)]
+        if None not in whole and max(whole) + max(scales) <= 38:
+            return T.DecimalType(max(whole) + max(scales), max(scales))
+        numbers = isinstance(a, T.NumericType) and isinstance(b, T.NumericType)
+        return T.DoubleType() if numbers else T.StringType()
+    for order in _ORDERS:
+        if type(a) in order and type(b) in order:
+            return order[max(order.index(type(a)), order.index(type(b)))]()
+    return T.StringType()
+
+
+# Digits of the whole numbers, and types that widen into each other.
+_DIGITS = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 20}
+_ORDERS = (
+    (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType),
+    (T.DateType, T.TimestampNTZType, T.TimestampType),
+)
+
+
+def _types(df: DataFrame, columns: tuple[str, ...]) -> list[T.DataType]:
+    return [column_type(df, c) for c in columns]
+
+
+def _side(
+    df: DataFrame, columns: tuple[str, ...], types: list[T.DataType]
+) -> tuple[str, str]:
+    """Key class and expression of the columns, compared as ``types``."""
+    own = zip(columns, _types(df, columns), types)
+    typed = [
+        key_of(quoted(c) if have == t else f"CAST({quoted(c)} AS {t.simpleString()})", t)
+        for c, have, t in own
+    ]
     if len(typed) == 1:
         return typed[0]
     # A composite key with a null part refers to nothing, like a null single key.
@@ -137,15 +204,15 @@ def fk_integrity(tables: dict[str, DataFrame], fks: list[ForeignKey]) -> DataFra
     No join: child and parent keys are unpivoted into one long form with a count of
     child rows and a mark for "exists in the parent", then grouped by key. All keys
     of a table share its scans, both sides share one shuffle per key class, and a key
-    value that fills a third of the child collapses to one row per map task.
+    value that fills a third of the child collapses to one row per map task. Columns of
+    unlike types are compared by value, in the type that Spark's equality would use (a
+    number against a text: as texts).
     """
     children, parents = [], []
     for i, fk in enumerate(fks):
-        child = _side(tables[fk.source_table], fk.source_columns)
-        parent = _side(tables[fk.target_table], fk.target_columns)
-        if child[0] != parent[0]:  # e.g. a number stored as text on one side
-            child = ("string", f"CAST({child[1]} AS STRING)")
-            parent = ("string", f"CAST({parent[1]} AS STRING)")
+        ends = (tables[fk.source_table], fk.source_columns), (tables[fk.target_table], fk.target_columns)
+        types = [_common(a, b) for a, b in zip(*(_types(*end) for end in ends), strict=True)]
+        child, parent = (_side(*end, types) for end in ends)
         children.append(Slot(i, tables[fk.source_table], *child))
         parents.append(Slot(i, tables[fk.target_table], *parent))
     child_long, parent_long = long_values(children), long_values(parents)

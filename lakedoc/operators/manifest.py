@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.formats import NOT_AVAILABLE
 from ..functions.parents import direct_parents, parent_chart
 from ..functions.text import first_filled, sql_or_note
-from .joins import salted_join
+from .joins import lookup_join
 
 
 def manifest_nodes(manifests: DataFrame) -> DataFrame:
@@ -75,8 +75,7 @@ def model_deps(manifests: DataFrame) -> DataFrame:
     """MODEL_DEPS rows: the parents of every model, resolved to names.
 
     Models and seeds resolve to their name, sources to ``source_name.name``; other
-    or unknown parents are dropped. Much used parents make hot keys, hence the
-    salted lookup.
+    or unknown parents are dropped.
     """
     wanted = _model_nodes(manifests).select(
         "manifest_path",
@@ -97,6 +96,11 @@ def model_deps(manifests: DataFrame) -> DataFrame:
     nodes = F.transform(
         F.map_entries("manifest.nodes"), lambda n: entry(n, n["value"]["resource_type"])
     )
+    # A source that both maps list counts once.
+    own = F.coalesce(F.map_keys("manifest.sources"), F.array().cast("array<string>"))
+    nodes = F.filter(
+        nodes, lambda n: (n["dep_kind"] != "source") | ~F.array_contains(own, n["parent_id"])
+    )
     sources = F.transform(F.map_entries("manifest.sources"), lambda n: entry(n, F.lit("source")))
     none = F.array().cast(
         "array<struct<parent_id:string,dependency:string,dep_kind:string>>"
@@ -105,7 +109,7 @@ def model_deps(manifests: DataFrame) -> DataFrame:
     lookup = manifests.select("manifest_path", F.inline_outer(known)).filter(
         F.col("dep_kind").isin("model", "seed", "source")
     )
-    return salted_join(wanted, lookup, ["manifest_path", "parent_id"], ["model_name"]).select(
+    return lookup_join(wanted, lookup, ["manifest_path", "parent_id"]).select(
         "manifest_path", "model_name", "dependency", "dep_kind"
     )
 

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..functions import formats as fmt
 from ..functions.text import escape_quotes, table_summary
 from ..schemas import local_frame
-from .columns import COLUMNS_PER_RECORD, record_part
 from .joins import is_present
 from .longform import union_all
 
@@ -213,14 +212,13 @@ def assemble_catalog(
     views: DataFrame,
     fks: DataFrame,
     summaries: DataFrame | None = None,
-    per_record: int = COLUMNS_PER_RECORD,
 ) -> DataFrame:
-    """Catalog records: one per table (and part of a very wide one), view, foreign key.
+    """Catalog records: one per table, view and foreign key.
 
     ``catalog`` has one row per column with its statistics and description (see
     `lakedoc.plans.catalog.build_catalog`) and is read once. ``record`` tells the
     kind; the fields of the other kinds are null. A table's columns are nested in
-    source order, at most ``per_record`` in one record. Without ``summaries``
+    source order. Without ``summaries``
     (table_name, summary) the default text is made from the nested names.
     """
     column = F.struct(
@@ -230,10 +228,8 @@ def assemble_catalog(
         "description",
         F.struct("null_ratio", "distinct_count", "is_unique").alias("profile_stats"),
     )
-    nested = (
-        catalog.withColumn("part", record_part(F.col("ordinal"), per_record))
-        .groupBy("table_name", "part")
-        .agg(F.array_sort(F.collect_set(column)).alias("columns"))
+    nested = catalog.groupBy("table_name").agg(
+        F.array_sort(F.collect_set(column)).alias("columns")
     )
     if summaries is None:
         names = F.array_join(F.col("columns.name"), ", ")
@@ -250,7 +246,6 @@ def assemble_catalog(
     tables = nested.select(
         F.lit("table").alias("record"),
         F.col("table_name").alias("name"),
-        "part",
         "summary",
         "columns",
         *[none[c].alias(c) for c in text],
@@ -258,7 +253,6 @@ def assemble_catalog(
     view_records = views.select(
         F.lit("view").alias("record"),
         F.col("view_name").alias("name"),
-        F.lit(0).alias("part"),
         "summary",
         no_columns.alias("columns"),
         "definition",
@@ -267,7 +261,6 @@ def assemble_catalog(
     fk_records = fks.select(
         F.lit("foreign_key").alias("record"),
         F.col("source_table").alias("name"),
-        F.lit(0).alias("part"),
         F.lit(None).cast("string").alias("summary"),
         no_columns.alias("columns"),
         none["definition"].alias("definition"),

@@ -81,7 +81,7 @@ def describe_columns(profile: DataFrame) -> DataFrame:
 
 
 def describe_tables(columns: DataFrame) -> DataFrame:
-    """``table_name, part, column_list, summary`` from COLUMNS."""
+    """``table_name, column_list, summary`` from COLUMNS."""
     return column_list(columns).withColumn(
         "summary", table_summary(F.col("table_name"), F.col("column_list"))
     )
@@ -241,14 +241,32 @@ def drift_verdicts(
     facts = profile.select(
         F.col("table_name").alias("model_name"), "column_name", "is_unique", "distinct_count"
     )
-    text = F.col("description")
-    drift = (text.rlike(says_unique) & ~F.col("is_unique")) | (
-        text.rlike(names_categories) & (F.col("distinct_count") > max_categories)
-    )
-    return described.join(facts, ["model_name", "column_name"]).select(
+    return described.join(facts, ["model_name", "column_name"], "left").select(
         "model_name",
         "column_name",
         "description",
-        F.when(drift, "DRIFT").otherwise("MATCH").alias("verdict"),
+        drift_verdict(
+            F.col("description"),
+            F.col("is_unique"),
+            F.col("distinct_count"),
+            max_categories,
+            says_unique,
+            names_categories,
+        ).alias("verdict"),
+    )
+
+
+def drift_verdict(
+    text: Column,
+    is_unique: Column,
+    distinct_count: Column,
+    max_categories: int = MAX_CATEGORIES,
+    says_unique: str = SAYS_UNIQUE,
+    names_categories: str = NAMES_CATEGORIES,
+) -> Column:
+    """DRIFT or MATCH for one description and the statistics of its column."""
+    drift = (text.rlike(says_unique) & ~is_unique) | (
+        text.rlike(names_categories) & (distinct_count > max_categories)
     )
+    return F.when(drift, "DRIFT").otherwise("MATCH")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from ..operators.columns import list_all_columns
 from ..operators.profile import profile_database
 from ..operators.render import assemble_catalog
 from ..operators.rules import describe_columns, describe_views
+from ..schemas import local_frame
 
 
 def build_catalog(tables: dict[str, DataFrame], **profile_options) -> DataFrame:
@@ -33,17 +37,29 @@ def profile_to_path(
     """Profile a lake of any number of tables in bounded plans, appending to ``path``.
 
     Each batch is one job and becomes durable on its own, so a run that is cut short
-    continues with the tables that are not yet there. Returns the names profiled now.
+    continues with the tables that are not yet there: those without rows for the same
+    name, schema and options (the column ``profile_key``). Returns the names profiled now.
     """
+    keys = {name: _profile_key(name, df, profile_options) for name, df in tables.items()}
     spark = next(iter(tables.values())).sparkSession
     done: set[str] = set()
     try:
-        saved = spark.read.parquet(path).select("table_name").distinct()
-        done = {row.table_name for row in saved.toLocalIterator()}
+        saved = spark.read.parquet(path).select("profile_key").distinct()
+        done = {row.profile_key for row in saved.toLocalIterator()}
     except AnalysisException:
         pass
-    todo = [name for name in tables if name not in done]
+    todo = [name for name in tables if keys[name] not in done]
     for start in range(0, len(todo), tables_per_job):
         batch = {name: tables[name] for name in todo[start : start + tables_per_job]}
-        profile_database(batch, **profile_options).write.mode("append").parquet(path)
+        named = local_frame(
+            spark, [(n, keys[n]) for n in batch], "table_name string, profile_key string"
+        )
+        # one row per column of the batch, against one per table
+        rows = profile_database(batch, **profile_options).join(F.broadcast(named), "table_name")
+        rows.write.mode("append").parquet(path)
     return todo
+
+
+def _profile_key(name: str, df: DataFrame, options: dict) -> str:
+    told = json.dumps([name, df.schema.jsonValue(), sorted(options.items())], default=str)
+    return hashlib.sha256(told.encode()).hexdigest()

@@ -17,15 +17,23 @@ from ..functions.text import is_blank, profile_text, verdict
 from ..operators.columns import column_list
 from ..operators.docs import plan_columns
 from ..operators.generate import generate, parse_yaml_metadata
-from ..operators.joins import salted_join
+from ..operators.joins import lookup_join
 from ..operators.longform import union_all
 from ..sinks.durable import durable
 
 Generator = Callable[[str, int], str]
 
 
-def _rows(df: DataFrame, kind: str, node: Column, column: Column | None, prompt: Column):
+def _rows(
+    df: DataFrame,
+    kind: str,
+    node: Column,
+    column: Column | None,
+    prompt: Column,
+    path: Column | None = None,
+):
     return df.select(
+        *([path] if path is not None else []),
         F.lit(kind).alias("kind"),
         node.alias("node"),
         (F.lit(None).cast("string") if column is None else column).alias("column_name"),
@@ -42,7 +50,7 @@ def _profile(hint: bool) -> Column:
 def catalog_prompts(catalog: DataFrame, views: DataFrame) -> DataFrame:
     """``kind, node, column_name, prompt, max_tokens`` for tables, columns and views."""
     table, column = F.col("table_name"), F.col("column_name")
-    lists = column_list(catalog).filter("part = 0")
+    lists = column_list(catalog)
     view = F.col("view_name")
     return union_all(
         [
@@ -86,12 +94,10 @@ def model_prompts(models: DataFrame, columns: DataFrame) -> DataFrame:
     """Prompts for the summary and chart of every model and its undescribed columns."""
     name, sql = F.col("name"), F.col("raw_sql")
     wanted = plan_columns(columns, drift=False).filter("action = 'propose'")
-    # A wide model must not send all its columns, each with the SQL text, to one task.
-    with_sql = salted_join(
+    with_sql = lookup_join(
         wanted,
         models.select("manifest_path", "unique_id", "raw_sql"),
         ["manifest_path", "unique_id"],
-        ["column_name"],
     )
     column = F.col("column_name")
     metadata = prompts.column_metadata_prompt(
@@ -99,9 +105,12 @@ def model_prompts(models: DataFrame, columns: DataFrame) -> DataFrame:
     )
     return union_all(
         [
-            _rows(models, "model", name, None, prompts.model_prompt(name, sql)),
-            _rows(models, "lineage", name, None, prompts.lineage_prompt(name, sql)),
-            _rows(with_sql, "column_metadata", F.col("model_name"), column, metadata),
+            _rows(df, kind, *rest, path=F.col("manifest_path"))
+            for df, kind, *rest in (
+                (models, "model", name, None, prompts.model_prompt(name, sql)),
+                (models, "lineage", name, None, prompts.lineage_prompt(name, sql)),
+                (with_sql, "column_metadata", F.col("model_name"), column, metadata),
+            )
         ]
     )
 
@@ -109,9 +118,14 @@ def model_prompts(models: DataFrame, columns: DataFrame) -> DataFrame:
 def generated_proposals(
     models: DataFrame, columns: DataFrame, fn: Generator, partitions: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """``(PROPOSALS, charts)`` of models from a generator's answers."""
+    """``(PROPOSALS, charts)`` of models from a generator's answers.
+
+    A failed call gives no proposal; its ``error`` is kept with the charts: all rows of
+    the answers that failed have a null chart.
+    """
     answers = generate(model_prompts(models, columns), fn, partitions=partitions, keep=True)
-    summaries = answers.filter("kind = 'model'").select(
+    summaries = answers.filter("kind = 'model' AND answer IS NOT NULL").select(
+        "manifest_path",
         F.col("node").alias("model_name"),
         "column_name",
         F.lit("description").alias("doc_key"),
@@ -120,9 +134,7 @@ def generated_proposals(
     m = F.col("metadata")
     values = {
         "description": m["description"],
-        "meta": F.to_json(m["meta"]),
-        "tags": F.to_json(m["tags"]),
-        "tests": F.to_json(m["tests"]),
+        **{k: F.when(F.size(m[k]) > 0, F.to_json(m[k])) for k in ("meta", "tags", "tests")},
     }
     entries = F.array(
         *[
@@ -132,16 +144,18 @@ def generated_proposals(
     )
     parsed = parse_yaml_metadata(answers.filter("kind = 'column_metadata'"))
     fields = parsed.select(
-        F.col("node").alias("model_name"), "column_name", F.inline(entries)
+        "manifest_path", F.col("node").alias("model_name"), "column_name", F.inline(entries)
     ).filter("proposed_value IS NOT NULL")
-    paths = models.groupBy(F.col("name").alias("model_name")).agg(
+    paths = models.groupBy("manifest_path", F.col("name").alias("model_name")).agg(
         F.max("original_file_path").alias("original_file_path")
     )
-    proposals = salted_join(
-        summaries.unionByName(fields), paths, ["model_name"], ["column_name", "doc_key"]
-    )
-    charts = answers.filter("kind = 'lineage'").select(
-        F.col("node").alias("name"), F.col("answer").alias("chart")
+    proposals = lookup_join(
+        summaries.unionByName(fields), paths, ["manifest_path", "model_name"]
+    ).drop("manifest_path")
+    charts = answers.filter("kind = 'lineage' OR error IS NOT NULL").select(
+        F.col("node").alias("name"),
+        F.when(F.col("kind") == "lineage", F.col("answer")).alias("chart"),
+        "error",
     )
     return proposals, charts
 
@@ -149,7 +163,11 @@ def generated_proposals(
 def generated_verdicts(
     docs: DataFrame, profile: DataFrame, fn: Generator, partitions: int | None = None
 ) -> DataFrame:
-    """Drift verdicts (see `drift_verdicts`) as a generator judges them."""
+    """Drift verdicts (see `drift_verdicts`) as a generator judges them.
+
+    A failed call has its ``error`` and no verdict; ``finding`` makes the result fit for
+    `lakedoc.plans.models.gate`, which raises on either.
+    """
     described = docs.filter(
         F.col("column_name").isNotNull()
         & (F.col("doc_key") == "description")
@@ -162,7 +180,7 @@ def generated_verdicts(
         "is_unique",
         "distinct_count",
     )
-    asked = described.join(facts, ["model_name", "column_name"]).select(
+    asked = described.join(facts, ["model_name", "column_name"], "left").select(
         "model_name",
         "column_name",
         "description",
@@ -172,5 +190,10 @@ def generated_verdicts(
         F.lit(MAX_TOKENS["drift"]).alias("max_tokens"),
     )
     return generate(asked, fn, partitions=partitions, keep=True).select(
-        "model_name", "column_name", "description", verdict(F.col("answer")).alias("verdict")
+        "model_name",
+        "column_name",
+        "description",
+        verdict(F.col("answer")).alias("verdict"),
+        F.when(verdict(F.col("answer")) == "DRIFT", "drift").alias("finding"),
+        "error",
     )

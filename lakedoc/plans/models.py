@@ -9,7 +9,9 @@ from ..operators.docs import plan_columns
 from ..operators.lineage import lineage_edges, lineage_mermaid, lineage_nodes
 from ..operators.longform import union_all
 from ..operators.manifest import model_columns, model_deps, models_of
-from ..operators.rules import describe_models, pii_name, tags_of, tests_of
+from ..functions.text import is_blank
+from ..operators.joins import lookup_join
+from ..operators.rules import describe_models, drift_verdict, pii_name, tags_of, tests_of
 
 
 class DocumentationError(Exception):
@@ -17,7 +19,8 @@ class DocumentationError(Exception):
 
 
 def _json_list(items: Column) -> Column:
-    return F.to_json(items)
+    """The list as JSON; an empty one is no proposal."""
+    return F.when(F.size(items) > 0, F.to_json(items))
 
 
 def model_proposals(
@@ -64,7 +67,9 @@ def model_proposals(
     columns_long = wanted.select(
         "model_name", "column_name", "original_file_path", F.inline(entries)
     )
-    return union_all([summaries, columns_long.select(*keys)])
+    return union_all(
+        [summaries, columns_long.select(*keys).filter(F.col("proposed_value").isNotNull())]
+    )
 
 
 def document_models(
@@ -78,6 +83,27 @@ def document_models(
     )
 
 
+def model_drift(manifests: DataFrame, profile: DataFrame) -> DataFrame:
+    """Drift verdicts of the columns that the manifests describe, from their profiles.
+
+    One row per described column with its ``manifest_path``; where profiling gave nothing
+    the verdict is MATCH. `lakedoc.plans.generated.generated_verdicts` asks a generator.
+    """
+    columns = model_columns(manifests).filter(~is_blank(F.col("description")))
+    facts = profile.select(
+        F.col("table_name").alias("model_name"), "column_name", "is_unique", "distinct_count"
+    )
+    return lookup_join(columns, facts, ["model_name", "column_name"], "left").select(
+        "manifest_path",
+        "model_name",
+        "column_name",
+        "description",
+        drift_verdict(F.col("description"), F.col("is_unique"), F.col("distinct_count")).alias(
+            "verdict"
+        ),
+    )
+
+
 def build_lineage(
     fks: DataFrame, models: DataFrame, deps: DataFrame
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -94,7 +120,12 @@ def lineage_of_project(
 
 
 def gate(findings: DataFrame) -> None:
-    """Raise if there is any finding; for scheduled checks."""
+    """Raise if there is any finding, or a row with an ``error``; for scheduled checks."""
+    if "error" in findings.columns:
+        failed = findings.filter(F.col("error").isNotNull()).select("error").head()
+        if failed is not None:
+            raise DocumentationError(f"calls failed, among them: {failed.error}")
+        findings = findings.filter(F.col("finding").isNotNull())
     if not findings.isEmpty():
         kinds = findings.groupBy("finding").count().orderBy("finding").toLocalIterator()
         raise DocumentationError(", ".join(f"{r['count']} x {r['finding']}" for r in kinds))

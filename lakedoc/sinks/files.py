@@ -22,18 +22,17 @@ def write_lines(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_docs(filled: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """DOCS of the files that changed, one folder per file.
+    """DOCS of the files that changed, one folder per file; other files stay as they are.
 
     Rows are spread by range over file and key, so a file with very many entries is
     written by several tasks.
     """
-    from ..operators.joins import salted_join
+    from ..operators.joins import lookup_join
 
     changed = filled.filter("changed").select("file_path").distinct()
-    rows = salted_join(
-        filled, changed, ["file_path"], ["model_name", "column_name", "doc_key"], "left_semi"
-    )
+    rows = lookup_join(filled, changed, ["file_path"], "left_semi")
     spread = rows.repartitionByRange(
         F.col("file_path"), F.col("model_name"), F.col("column_name"), F.col("doc_key")
     )
-    spread.drop("changed").write.mode(mode).format(fmt).partitionBy("file_path").save(path)
+    writer = spread.drop("changed").write.mode(mode).format(fmt).partitionBy("file_path")
+    writer.option("partitionOverwriteMode", "dynamic").save(path)

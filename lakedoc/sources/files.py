@@ -63,10 +63,12 @@ def is_listing(path: str) -> bool:
 
 
 def list_datasets(spark: SparkSession, path: str) -> DataFrame:
-    """DATASETS below a path: a trailing ``/`` or a ``*`` lists the matching files.
+    """DATASETS below a path: a trailing ``/`` or a ``*`` lists what lies there.
 
-    Any other path is itself the one dataset. Only file status is read: the content
-    column of the binary source is pruned.
+    A file is a dataset, and so is a folder with all files below it (partitions
+    included). If the path itself holds ``key=value`` folders it is the one dataset.
+    Names that begin with ``_`` or ``.``, and single files without an ending, are left out. Any other path is itself the one
+    dataset. Only file status is read: the content column of the binary source is pruned.
     """
     if not is_listing(path):
         return spark.range(1).select(
@@ -77,21 +79,32 @@ def list_datasets(spark: SparkSession, path: str) -> DataFrame:
             F.lit(None).cast("long").alias("files"),
         )
     base, _, pattern = spark_uri(path).rpartition("/")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(base or "/")
+    root = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
     files = (
         spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern or "*.*")
-        .load(base + "/")
+        .option("recursiveFileLookup", True)
+        .load(f"{base}/{pattern}")
         .select("path", "length")
     )
-    name = F.substring_index("path", "/", -1)
-    suffix = F.lower(F.substring_index(name, ".", -1))
+    plain = lambda text: F.regexp_replace(text, "^([A-Za-z0-9]+):/+", "$1:/")
+    below = F.ltrim(F.substr(plain(F.col("path")), F.length(plain(F.lit(root))) + 1), F.lit("/"))
+    first = F.substring_index(below, "/", 1)
+    whole = first.contains("=")
+    name = F.when(whole, F.lit(root.rstrip("/").rsplit("/", 1)[-1])).otherwise(first)
+    place = F.when(whole, F.lit(root)).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), first))
+    bare = F.regexp_replace(F.lower(F.col("path")), r"\.(gz|bz2|zst|lz4)$", "")
+    suffix = F.substring_index(bare, ".", -1)
     kind = F.lit("parquet")
     for ending, source in _FORMATS.items():
         kind = F.when(suffix == ending, source).otherwise(kind)
-    return files.select(
-        name.alias("dataset"),
-        "path",
-        kind.alias("format"),
-        F.col("length").alias("bytes"),
-        F.lit(1).cast("long").alias("files"),
+    visible = files.filter(~below.rlike("(^|/)[_.]") & below.rlike("[/.]"))
+    return (
+        visible.select(name.alias("dataset"), place.alias("path"), kind.alias("format"), "length")
+        .groupBy("dataset", "path")
+        .agg(
+            F.max("format").alias("format"),
+            F.sum("length").alias("bytes"),
+            F.count(F.lit(1)).alias("files"),
+        )
     )

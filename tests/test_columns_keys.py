@@ -3,7 +3,10 @@ from pyspark.sql import functions as F
 
 from lakedoc.operators import columns as C
 from lakedoc.operators import keys as K
-from lakedoc.operators.joins import salted_join
+from lakedoc.operators import rules
+from lakedoc.operators.joins import lookup_join
+from lakedoc.plans.generated import catalog_prompts
+from lakedoc.schemas import local_frame
 from tests.conftest import rows
 
 
@@ -122,14 +125,104 @@ def test_pragma_layouts(spark):
     assert got == [(1, "id", False, True), (2, "part", True, True), (3, "x", True, False)]
 
 
-def test_column_list_order_and_parts(spark):
+def test_column_list_order_and_width(spark):
     columns = spark.createDataFrame(
         [("t", f"c{i}", i) for i in range(12, 0, -1)], "table_name string, column_name string, ordinal int"
     )
     whole = rows(C.column_list(columns))
-    assert whole == [("t", 0, ", ".join(f"c{i}" for i in range(1, 13)))]
-    parts = dict(rows(C.column_list(columns, per_record=5), "part", "column_list"))
-    assert parts == {0: "c1, c2, c3, c4, c5", 1: "c6, c7, c8, c9, c10", 2: "c11, c12"}
+    assert whole == [("t", ", ".join(f"c{i}" for i in range(1, 13)))]
+
+
+def test_a_table_of_1500_columns_has_one_list_summary_and_prompt(spark):
+    wide = spark.range(1500).select(
+        F.lit("w").alias("table_name"),
+        F.concat(F.lit("c"), "id").alias("column_name"),
+        (F.col("id") + 1).cast("int").alias("ordinal"),
+    )
+    (listed,) = C.column_list(wide).collect()
+    assert listed.column_list.split(", ") == [f"c{i}" for i in range(1500)]
+    assert rules.describe_tables(wide).count() == 1
+    facts = {"data_type": F.lit("int"), "null_ratio": F.lit(0.0), "is_unique": F.lit(True),
+             "distinct_count": F.lit(1)}
+    prompts = catalog_prompts(wide.withColumns(facts), local_frame(spark, [], "VIEWS"))
+    (prompt,) = prompts.filter("kind = 'table'").collect()
+    assert "c1499" in prompt.prompt and "c1000" in prompt.prompt
+
+
+def test_one_constraint_name_on_two_tables(spark):
+    place = "source string, table_schema string, "
+    constraints = local_frame(
+        spark,
+        [("d", "s", "k", "a", "PRIMARY KEY"), ("d", "s", "k", "b", "FOREIGN KEY")],
+        place + "constraint_name string, table_name string, constraint_type string",
+    )
+    usage = local_frame(
+        spark,
+        [("d", "s", "k", "a", "x", 1), ("d", "s", "k", "b", "y", 1)],
+        place + "constraint_name string, table_name string, column_name string, ordinal_position int",
+    )
+    columns = local_frame(
+        spark,
+        [("d", "s", "a", "x", 1, "int", "NO"), ("d", "s", "b", "y", 1, "int", "NO")],
+        place + "table_name string, column_name string, ordinal_position int, data_type string,"
+        " is_nullable string",
+    )
+    flagged = C.columns_with_pk(columns, usage, constraints)
+    assert rows(flagged, "table_name", "is_pk") == [("a", True), ("b", False)]
+
+
+def test_composite_keys_are_paired_by_position_or_listed(spark):
+    place = "source string, table_schema string, constraint_name string, "
+    constraints = local_frame(
+        spark, [("d", "s", "f", "FOREIGN KEY")], place + "constraint_type string"
+    )
+    child = [("d", "s", "f", "c", "x", 2), ("d", "s", "f", "c", "y", 1)]
+    parent = [("d", "s", "f", "p", "m", 1), ("d", "s", "f", "p", "n", 2)]
+    ddl = place + "table_name string, column_name string, "
+    ends = ["source_column", "target_column"]
+    usage = local_frame(spark, child, ddl + "position_in_unique_constraint int")
+    paired = K.foreign_keys(constraints, usage, local_frame(spark, parent, ddl + "ordinal_position int"))
+    assert rows(paired, *ends) == [("x", "n"), ("y", "m")]
+    usage, other = usage.drop("position_in_unique_constraint"), local_frame(spark, parent, ddl + "q int")
+    assert rows(K.foreign_keys(constraints, usage, other.drop("q")), *ends) == [("x, y", "m, n")]
+
+
+def test_extracts_of_other_layouts(spark):
+    described = local_frame(
+        spark,
+        [("t", 1, "id", "int", "NO", "PRI"), ("t", 2, "x", "text", "YES", None)],
+        "table_name string, ordinal int, name string, type string, null string, key string",
+    )
+    got = rows(C.columns_from_describe(described), "column_name", "is_nullable", "is_pk")
+    assert got == [("id", False, True), ("x", True, False)]
+    views = local_frame(
+        spark, [("s", "v", "select 1"), ("o", "w", None)],
+        "table_schema string, table_name string, view_definition string",
+    )
+    assert rows(C.views_from_extract(views)) == [("v", "select 1"), ("w", "")]
+    assert rows(C.views_from_extract(views, "o")) == [("w", "")]
+
+
+@pytest.mark.parametrize(
+    "child, parent",
+    [("decimal(10,2)", "bigint"), ("decimal(10,2)", "decimal(12,4)"), ("double", "bigint"),
+     ("double", "decimal(10,2)"), ("string", "bigint"), ("tinyint", "float")],
+)
+def test_keys_of_unlike_types_are_compared_by_value(spark, child, parent):
+    numbers = spark.range(1, 11)
+    tables = {
+        "c": numbers.selectExpr(f"CAST(id AS {child}) AS k"),
+        "p": numbers.selectExpr(f"CAST(id AS {parent}) AS k"),
+    }
+    assert fk_rows(tables, K.ForeignKey("c", ("k",), "p", ("k",))) == [(10, 0, 0, 0, 0.0)]
+
+
+def test_days_are_found_among_times(spark):
+    tables = {
+        "c": spark.sql("SELECT DATE'2024-05-01' AS k UNION ALL SELECT DATE'2024-05-02'"),
+        "p": spark.sql("SELECT TIMESTAMP'2024-05-01 00:00:00' AS k"),
+    }
+    assert fk_rows(tables, K.ForeignKey("c", ("k",), "p", ("k",))) == [(2, 0, 1, 1, 0.5)]
 
 
 def test_list_columns_takes_comments(spark):
@@ -138,14 +231,13 @@ def test_list_columns_takes_comments(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_plain_join(spark, how):
+def test_lookup_join_equals_plain_join(spark, how):
     left = spark.range(3000).select(
         F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("v")
     )
     lookup = spark.range(0, 2000, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
     plain = left.join(lookup, "k", how)
-    salted = salted_join(left, lookup, ["k"], ["v"], how)
-    assert rows(salted, *plain.columns) == rows(plain)
+    assert rows(lookup_join(left, lookup, ["k"], how), *plain.columns) == rows(plain)
 
 
 def fk_rows(tables, *fks):

@@ -71,7 +71,15 @@ def test_existing_text_is_never_overwritten(spark, wanted):
     }
 
 
-@pytest.mark.parametrize("blank", [None, "", "[]", "{}", "false"])
+@pytest.mark.parametrize("text", ["false", "null", "[]", "{}", "0"])
+def test_texts_that_look_empty_are_kept(spark, text):
+    merged = D.fill_docs(
+        docs(spark, ("m", "c", "description", text)), proposals(spark, ("m", "c", "description", "x"))
+    )
+    assert text in [v for (v,) in rows(merged, "doc_value")]
+
+
+@pytest.mark.parametrize("blank", [None, "", " "])
 def test_blank_values(spark, blank):
     filled = D.fill_docs(
         docs(spark, ("m", "c", "tests", blank)), proposals(spark, ("m", "c", "tests", "[1]"))
@@ -128,7 +136,7 @@ def test_stubs_append_create_or_nothing(spark, listed):
     new = proposals(
         spark,
         ("new_model", None, "description", "New.", "models/new_model.sql"),
-        ("new_model", "new_id", "tests", "[]", "models/new_model.sql"),
+        ("new_model", "new_id", "tests", None, "models/new_model.sql"),
         ("stg_orders", "order_id", "description", "Id.", "models/staging/stg_orders.sql"),
         ("top", None, "description", "Top.", "top.sql"),
         ("nowhere", None, "description", "No path.", None),

@@ -141,12 +141,12 @@ def test_catalog_round_trip(spark, tmp_path, shop):
         read_catalog(spark, str(tmp_path / "absent"))
 
 
-def test_wide_tables_are_split_into_records(spark):
-    frame = spark.range(1).select(*[F.lit(i).alias(f"c{i}") for i in range(7)])
+def test_wide_tables_have_one_record(spark):
+    frame = spark.range(1).select(*[F.lit(i).alias(f"c{i}") for i in range(70)])
     built = build_catalog({"wide": frame})
     nothing = local_frame(spark, [], VIEWS), local_frame(spark, [], "FKS")
-    records = R.assemble_catalog(built, *nothing, per_record=3)
-    assert rows(records, "part", F.size("columns")) == [(0, 3), (1, 3), (2, 1)]
+    records = R.assemble_catalog(built, *nothing)
+    assert rows(records, "name", F.size("columns")) == [("wide", 70)]
 
 
 def test_updated_documentation_is_written_per_file(spark, tmp_path):
@@ -163,6 +163,18 @@ def test_updated_documentation_is_written_per_file(spark, tmp_path):
     assert rows(saved, "model_name", "file_path") == [("a", "one.yml"), ("b", "one.yml")]
 
 
+def test_unchanged_documentation_files_stay(spark, tmp_path):
+    ddl = ("node_type string, model_name string, column_name string, doc_key string,"
+           " doc_value string, file_path string, changed boolean")
+    path = str(tmp_path / "docs")
+    old = [("models", m, None, "description", "old", f"{m}.yml", True) for m in "abc"]
+    write_docs(local_frame(spark, old, ddl), path)
+    new = [("models", m, None, "description", "new", f"{m}.yml", m == "b") for m in "abc"]
+    write_docs(local_frame(spark, new, ddl), path)
+    saved = spark.read.parquet(path)
+    assert rows(saved, "model_name", "doc_value") == [("a", "old"), ("b", "new"), ("c", "old")]
+
+
 def test_spark_catalog(spark):
     spark.sql("CREATE DATABASE IF NOT EXISTS shopdb")
     spark.sql("CREATE TABLE shopdb.users (id INT COMMENT 'old', name STRING) USING parquet")
@@ -212,6 +224,16 @@ def test_file_sources(spark, tmp_path):
     assert rows(list_datasets(spark, f"{tmp_path}/*.csv"), "dataset") == [("a.csv",)]
     paths = {r.dataset: r.path for r in listed.collect()}
     assert scan_files(spark, paths["a.csv"]).count() == 2  # the listed path can be read as it is
+    lake = tmp_path / "lake"
+    for k in (1, 2):
+        spark.range(3).coalesce(1).write.parquet(str(lake / "orders" / f"day={k}"))
+    spark.range(3).repartition(2).write.parquet(str(lake / "items"))
+    folders = list_datasets(spark, f"{lake}/")
+    assert rows(folders, "dataset", "format", "files") == [("items", "parquet", 2), ("orders", "parquet", 2)]
+    assert all(r.bytes > 0 for r in folders.collect())
+    assert rows(list_datasets(spark, f"{lake}/*"), "dataset") == [("items",), ("orders",)]
+    assert rows(list_datasets(spark, f"{lake}/orders/"), "dataset", "files") == [("orders", 2)]
+    assert {r.dataset: r.path for r in folders.collect()}["items"].endswith("/lake/items")
     single = str(tmp_path / "a.csv")
     assert rows(list_datasets(spark, single), "dataset", "path") == [(single, single)]
     assert spark_uri("s3://bucket/x/*.parquet") == "s3a://bucket/x/*.parquet"

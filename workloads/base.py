@@ -107,7 +107,7 @@ def table_profile_sql(*tables: str) -> str:
     return profile_sql([(t, c, t) for t in tables for c in names_of(t)])
 
 
-BLANK_SQL = "({0} IS NULL OR trim({0}) IN ('', '[]', '{{}}', 'false', 'null'))"
+BLANK_SQL = "({0} IS NULL OR trim({0}) = '')"
 
 
 def blank_sql(expression: str) -> str:

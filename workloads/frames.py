@@ -251,7 +251,7 @@ proposals AS (
     FROM bought
   UNION ALL
   SELECT c_name, 'o' || o_orderkey, 'tests', CASE WHEN o_orderstatus = 'F' THEN '["unique"]'
-    ELSE '[]' END, sql_file FROM bought)"""
+    END, sql_file FROM bought)"""
 
 
 def buyers(t: Tables) -> DataFrame:
@@ -310,7 +310,7 @@ def proposals(t: Tables) -> DataFrame:
         text("Orders of ", c("c_name")).alias("proposed_value"),
         c("sql_file").alias("original_file_path"),
     )
-    tests = F.when(c("o_orderstatus") == "F", '["unique"]').otherwise("[]")
+    tests = F.when(c("o_orderstatus") == "F", '["unique"]')
     entries = F.array(
         F.struct(
             F.lit("description").alias("doc_key"),

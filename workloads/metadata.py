@@ -16,7 +16,7 @@ from lakedoc.operators import render as R
 from lakedoc.operators import rules
 from lakedoc.operators.generate import generate, json_metadata, parse_yaml_metadata
 from lakedoc.plans.generated import generated_proposals
-from lakedoc.plans.models import build_lineage, document_models, lineage_of_project
+from lakedoc.plans.models import build_lineage, document_models, lineage_of_project, model_drift
 from lakedoc.sources.manifests import parse_manifests
 
 from . import frames as f
@@ -144,7 +144,7 @@ def fks_pragma(t):
     "column_list",
     with_(
         f.COLUMNS_SQL,
-        "SELECT table_name, 0 AS part, string_agg(column_name, ', ' ORDER BY ordinal) AS"
+        "SELECT table_name, string_agg(column_name, ', ' ORDER BY ordinal) AS"
         " column_list FROM cols GROUP BY table_name",
     ),
 )
@@ -156,7 +156,7 @@ def column_list(t):
     "describe_tables",
     with_(
         f.COLUMNS_SQL,
-        "SELECT table_name, 0 AS part, string_agg(column_name, ', ' ORDER BY ordinal) AS"
+        "SELECT table_name, string_agg(column_name, ', ' ORDER BY ordinal) AS"
         " column_list, 'Stores ' || table_name || ' records with the columns ' ||"
         " string_agg(column_name, ', ' ORDER BY ordinal) || '.' AS summary"
         " FROM cols GROUP BY table_name",
@@ -424,11 +424,9 @@ _META = " ".join(
         "UNION ALL SELECT 'doc_id', 'description', 'The doc id of ' || model_name || '.'",
         "UNION ALL SELECT 'doc_id', 'meta', '{\"pii\": false}'",
         "UNION ALL SELECT 'doc_id', 'tags', '[\"key\"]'",
-        "UNION ALL SELECT 'doc_id', 'tests', '[]'",
         "UNION ALL SELECT 'email', 'description', 'The email of ' || model_name || '.'",
         "WHERE trim(text) = '' UNION ALL SELECT 'email', 'meta', '{\"pii\": true}' WHERE trim(text) = ''",
-        "UNION ALL SELECT 'email', 'tags', '[\"pii\"]' WHERE trim(text) = ''",
-        "UNION ALL SELECT 'email', 'tests', '[]' WHERE trim(text) = '') v",
+        "UNION ALL SELECT 'email', 'tags', '[\"pii\"]' WHERE trim(text) = '') v",
     ]
 )
 
@@ -439,6 +437,73 @@ def model_catalog(t):
     return document_models(manifests, tag_rules=[("_id$", "key")])
 
 
+@query(
+    "model_drift",
+    f"SELECT 'p/' || doc_id AS manifest_path, 'doc_' || doc_id AS model_name, 'doc_id' AS"
+    " column_name, 'The unique key' AS description, CASE WHEN lang = 'fr' THEN 'MATCH' WHEN"
+    f" doc_id % 2 = 0 THEN 'DRIFT' ELSE 'MATCH' END AS verdict FROM {_PROJECTS}",
+)
+def run_model_drift(t):
+    manifests = parse_manifests(f.manifest_texts(t))
+    described = F.struct(F.lit("The unique key").alias("description"))
+    # every model describes its column; French models have not been profiled
+    nodes = F.transform_values(
+        "manifest.nodes",
+        lambda _, n: n.withField(
+            "columns",
+            F.transform_values(
+                n["columns"],
+                lambda k, v: v.withField(
+                    "description", F.when(k == "doc_id", described["description"]).otherwise("")
+                ),
+            ),
+        ),
+    )
+    manifests = manifests.withColumn("manifest", c("manifest").withField("nodes", nodes))
+    profile = t.documents.filter("lang <> 'fr'").select(
+        text("doc_", c("doc_id")).alias("table_name"),
+        F.lit("doc_id").alias("column_name"),
+        (c("doc_id") % 2 == 1).alias("is_unique"),
+        F.lit(3).cast("long").alias("distinct_count"),
+    )
+    return model_drift(manifests, profile)
+
+
+@query(
+    "views_extract",
+    "SELECT 'doc_' || doc_id AS view_name, coalesce(text, '') AS definition FROM documents"
+    " WHERE lang = 'en'",
+)
+def views_extract(t):
+    return C.views_from_extract(
+        t.documents.select(
+            c("lang").alias("table_schema"),
+            text("doc_", c("doc_id")).alias("table_name"),
+            c("text").alias("view_definition"),
+        ),
+        "en",
+    )
+
+
+@query(
+    "columns_describe",
+    "SELECT 'li_' || l_orderkey AS table_name, 'c' || l_linenumber AS column_name, l_linenumber"
+    "::INTEGER AS ordinal, l_linestatus AS data_type, l_returnflag = 'A' AS is_nullable,"
+    " l_returnflag = 'N' AS is_pk, '' AS description FROM lineitem",
+)
+def columns_describe(t):
+    return C.columns_from_describe(
+        t.lineitem.select(
+            text("li_", c("l_orderkey")).alias("table_name"),
+            c("l_linenumber").alias("ordinal"),
+            text("c", c("l_linenumber")).alias("name"),
+            c("l_linestatus").alias("type"),
+            F.when(c("l_returnflag") == "A", "YES").otherwise("NO").alias("null"),
+            F.when(c("l_returnflag") == "N", "PRI").alias("key"),
+        )
+    )
+
+
 @query(
     "direct_parents",
     with_(
@@ -618,7 +683,7 @@ _CATALOG = " UNION ALL ".join(
 
 def _shop(t):
     columns = f.as_columns(f.extract(t))
-    summaries = rules.describe_tables(columns).filter("part = 0")
+    summaries = rules.describe_tables(columns)
     views = f.models(t).select(c("name").alias("view_name"), c("raw_sql").alias("definition"))
     return columns, summaries, rules.describe_views(views)
 

@@ -186,20 +186,29 @@ FKS = [
     ("labels", "doc_id", "documents", "doc_id"),
     ("orders", "o_custkey", "builders", "c_custkey"),  # only some customers: orphans
     ("documents", "doc_id", "labels", "doc_id"),
+    ("lineitem", "l_orderkey", "orders_decimal", "o_orderkey"),  # unlike types
+    ("lineitem", "l_partkey", "part_double", "p_partkey"),
+    ("days", "day", "orders", "o_orderdate"),
 ]
+_OTHER_TYPES = {
+    "orders_decimal": "(SELECT o_orderkey::DECIMAL(20, 2) AS o_orderkey FROM orders)",
+    "part_double": "(SELECT p_partkey::DOUBLE AS p_partkey FROM part)",
+    "days": "(SELECT l_shipdate::DATE AS day FROM lineitem)",
+}
 _BUILDERS = "(SELECT * FROM customer WHERE c_mktsegment = 'BUILDING')"
 
 
 def _integrity_sql(child: str, column: str, parent: str, key: str) -> str:
-    target = _BUILDERS if parent == "builders" else parent
+    target = _BUILDERS if parent == "builders" else _OTHER_TYPES.get(parent, parent)
+    source = _OTHER_TYPES.get(child, child)
     return (
         f"SELECT '{child}' AS source_table, '{column}' AS source_column,"
         f" '{parent}' AS target_table, '{key}' AS target_column,"
         f" count(*)::BIGINT AS child_rows, count(CASE WHEN k IS NULL THEN 1 END)::BIGINT AS null_keys,"
         " count(CASE WHEN k IS NOT NULL AND NOT found THEN 1 END)::BIGINT AS orphan_rows,"
         " count(DISTINCT CASE WHEN NOT found THEN k END)::BIGINT AS orphan_keys"
-        f" FROM (SELECT {child}.{column} AS k, p.x IS NOT NULL AS found FROM {child} LEFT JOIN"
-        f" (SELECT DISTINCT {key} AS x FROM {target}) p ON {child}.{column} = p.x)"
+        f" FROM (SELECT q.{column} AS k, p.x IS NOT NULL AS found FROM {source} q LEFT JOIN"
+        f" (SELECT DISTINCT {key} AS x FROM {target}) p ON q.{column} = p.x)"
     )
 
 
@@ -211,7 +220,12 @@ def _with_ratio(sql: str) -> str:
 
 @query("fk_integrity", _with_ratio(" UNION ALL ".join(_integrity_sql(*fk) for fk in FKS)))
 def run_fk_integrity(t):
-    tables = t.all() | {"builders": t.customer.filter("c_mktsegment = 'BUILDING'")}
+    tables = t.all() | {
+        "builders": t.customer.filter("c_mktsegment = 'BUILDING'"),
+        "orders_decimal": t.orders.selectExpr("CAST(o_orderkey AS DECIMAL(20, 2)) AS o_orderkey"),
+        "part_double": t.part.selectExpr("CAST(p_partkey AS DOUBLE) AS p_partkey"),
+        "days": t.lineitem.selectExpr("CAST(l_shipdate AS DATE) AS day"),
+    }
     return fk_integrity(tables, [ForeignKey(a, (b,), c, (d,)) for a, b, c, d in FKS])
 
 
@@ -452,9 +466,9 @@ def datasets(t):
     return listed.join(counted, "dataset").select("dataset", "format", "files", "row_count")
 
 
-@query("scan_files", "SELECT event_id, user_id, event_type, value, props FROM events")
+@query("scan_files", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
 def scan(t):
-    return scan_files(t.spark, t.folder.rstrip("/") + "/events.parquet").drop("ts")
+    return scan_files(t.spark, t.folder.rstrip("/") + "/events.parquet")
 
 
 CATALOG_SQL = (
@@ -487,7 +501,7 @@ _COLUMN_JSON = (
 
 @query(
     "catalog_nested",
-    "SELECT 'table' AS record, table_name AS name, 0 AS part, 'Stores ' || table_name ||"
+    "SELECT 'table' AS record, table_name AS name, 'Stores ' || table_name ||"
     " ' records with the columns ' || string_agg(column_name, ', ' ORDER BY ordinal) || '.'"
     f" AS summary, '[' || string_agg({_COLUMN_JSON}, ',' ORDER BY ordinal) || ']' AS columns_json"
     f" FROM {CATALOG_SQL} GROUP BY table_name",
@@ -499,7 +513,7 @@ def catalog_nested(t):
         local_frame(t.spark, [], "FKS"),
     )
     return records.select(
-        "record", "name", "part", "summary", F.to_json("columns").alias("columns_json")
+        "record", "name", "summary", F.to_json("columns").alias("columns_json")
     )
 
 
