@@ -98,7 +98,7 @@ class Codec:
         self.pattern = regex.compile(PATTERN)
         self.tokens = {str(rank).encode(): token for token, rank in self.ranks.items()}
         self.words = Words(self._word)
-        self.pieces = SpacePieces(self._unit, b" ")
+        self.pieces = SpacePieces(self._unit, lambda word: self._word(" " + word), b" ")
 
     def _word(self, word: str) -> bytes:
         rank = self.ranks.get(word.encode())

@@ -21,8 +21,15 @@ def _load(path: str):
     return tokenizer
 
 
-def _pack(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+def _packer():
+    """Function from ids to bytes, with a compiled format for each usual number of them."""
+    ready = [struct.Struct(f"<{n}I").pack for n in range(33)]
+
+    def pack(ids: list[int]) -> bytes:
+        n = len(ids)
+        return ready[n](*ids) if n < 33 else struct.pack(f"<{n}I", *ids)
+
+    return pack
 
 
 def encoder(path: str):
@@ -41,16 +48,17 @@ def encoder(path: str):
             tokenizer.normalizer,
             tokenizer.pre_tokenizer,
         )
+        tokenize, pack = model.tokenize, _packer()
         with open(path, encoding="utf-8") as file:
             declared = json.load(file)
         kinds = _kinds(declared.get("pre_tokenizer"))
         normal = _kinds(declared.get("normalizer"))
 
         def whole(text: str) -> bytes:
-            return _pack(tokenizer.encode(text, add_special_tokens=False).ids)
+            return pack(tokenizer.encode(text, add_special_tokens=False).ids)
 
         def ids_of(words) -> bytes:
-            return _pack([token.id for word in words for token in model.tokenize(word)])
+            return pack([token.id for word in words for token in model.tokenize(word)])
 
         if declared["model"]["type"] != "BPE" or declared["model"].get("dropout"):
             return whole
@@ -66,7 +74,11 @@ def encoder(path: str):
                     return b"".join(map(words.__getitem__, GPT_LATIN.findall(text)))
                 return ids_of(word for word, _ in splitter.pre_tokenize_str(text))
 
-            return SpacePieces(unit).encode
+            def word(letters: str) -> bytes:
+                shown = "Ġ" + letters if letters.isascii() else visible(" " + letters)
+                return pack([token.id for token in tokenize(shown)])
+
+            return SpacePieces(unit, word).encode
 
         if kinds == ["Split", "ByteLevel"] and normal == ["NFC", "Replace", "Lowercase"]:
 
@@ -81,7 +93,12 @@ def encoder(path: str):
                     return b"".join(map(words.__getitem__, WORD_LATIN.findall(text)))
                 return library(text)
 
-            return WordPieces(piece).encode
+            def word(letters: str) -> bytes:
+                lower = letters.lower()
+                shown = lower if lower.isascii() else visible(lower)
+                return pack([token.id for token in tokenize(shown)])
+
+            return WordPieces(piece, word).encode
 
         return whole
 

@@ -16,6 +16,7 @@ SAFE = re.compile(r"(?<=\S) (?=\S)")  # \S of Python excludes all that any libra
 
 # The pre-tokenisers' patterns for texts of printable ASCII, line ends and composed Latin
 # letters only. There letters and digits are plain ranges and nothing changes under NFC.
+TOP = "\u0250"  # letters below it are the Latin ones that Unicode has had for decades
 _LETTER = "A-Za-zÀ-ÖØ-öø-\u012f\u0131-\u01c3\u01cd-\u024f"
 LATIN = re.compile(rf"[{_LETTER}\n -~]*")
 GPT_LATIN = re.compile(
@@ -68,10 +69,39 @@ class Cache(dict):
         return found
 
 
+class Marked(Cache):
+    """Cache that puts a word and a final mark together from their own encodings.
+
+    ``word(w)`` encodes Latin letters, ``mark(m)`` one punctuation mark after a word.
+    """
+
+    def __init__(self, word, mark, other, size: int, regular=None, between: bytes = b""):
+        super().__init__(other, size, regular)
+        self.word, self.other, self.between = word, other, between
+        self.marks = {m: between + mark(m) for m in ",.;:!?"}
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece.isalpha() and (piece.isascii() or max(piece) < TOP and "\u0130" not in piece):
+            found = self.word(piece)
+        elif self.regular is not None and not self.regular(piece):
+            raise _Irregular
+        else:
+            front = piece[:-1]
+            if front and front.isalpha() and piece[-1] in self.marks:
+                found = self[front] + self.marks[piece[-1]]
+            else:
+                found = self.other(piece)
+        if len(piece) <= 64:
+            if len(self) >= self.size:
+                self.clear()
+            self[piece] = found
+        return found
+
+
 class Words(Cache):
     """Encodings by word, for words that recur in pieces with other punctuation."""
 
-    def __init__(self, encode, size: int = 200_000):
+    def __init__(self, encode, size: int = 100_000):
         super().__init__(encode, size)
 
 
@@ -83,13 +113,14 @@ def _inside(piece: str) -> bool:
 class SpacePieces:
     """``encode(text)``: ids as bytes, for patterns that glue one space to what follows.
 
-    ``unit(text)`` encodes a string by itself. ``between`` separates the results of two
-    pieces.
+    ``unit(text)`` encodes a string by itself, ``word(w)`` Latin letters after a space.
+    ``between`` separates the results of two pieces.
     """
 
-    def __init__(self, unit, between: bytes = b"", size: int = 500_000):
+    def __init__(self, unit, word, between: bytes = b"", size: int = 600_000):
         self.unit, self.between = unit, between
-        self.cache = Cache(lambda piece: unit(" " + piece), size, _inside)
+        other = lambda piece: unit(" " + piece)
+        self.cache = Marked(word, unit, other, size, _inside, between)
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -110,8 +141,8 @@ class SpacePieces:
 class WordPieces:
     """``encode(text)`` for tokenisers that drop all white space: any space is a safe cut."""
 
-    def __init__(self, unit, size: int = 500_000):
-        self.cache = Cache(unit, size)
+    def __init__(self, unit, word, size: int = 600_000):
+        self.cache = Marked(word, unit, lambda piece: unit(piece) if piece else b"", size)
 
     def encode(self, text: str) -> bytes:
         parts = text.replace("\n", " ").split(" ")
