@@ -29,7 +29,6 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {SETTING} to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="lakedoc-llm-")
-        spark.conf.set(SETTING, root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
