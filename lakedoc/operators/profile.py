@@ -31,6 +31,9 @@ _NUMERIC = (
     T.DecimalType,
 )
 
+# How far below the rows, in standard deviations, a sketch may lie for a recount.
+DEVIATIONS = 6
+
 
 def profile_column(df: DataFrame, column: str, table_name: str = "") -> DataFrame:
     """Profile of one column; see `profile_table`."""
@@ -54,7 +57,8 @@ def profile_table(
     ``min_value, max_value, avg_value``. ``one_scan`` reads row formats once.
     ``approx`` (relative standard deviation, e.g. 0.05) replaces the exact distinct
     counts by sketches, except for columns that may be unique: those are recounted
-    exactly, so ``is_unique`` never depends on the sketch. It runs the sketching job
+    exactly. A unique column is missed only where its sketch falls six standard
+    deviations short, which no lake has columns enough to see. It runs the sketching job
     when it is called, to learn which columns those are.
     """
     return profile_database(
@@ -182,11 +186,11 @@ def _approx_counts(spark, tables, usable, slots, rsd: float, columns_per_scan: i
     # One row per column: this is collected (it is bounded by the schemas) so that the
     # exact pass reads only the few columns that need it.
     sketch = [tuple(r) for r in union_all(frames).collect()]
-    # May be unique: no null, and the sketch is within three deviations of all rows.
+    # May be unique: no null, and the sketch is within DEVIATIONS of all rows.
     suspects = {
         slot: (slot, rows, nulls)
         for slot, rows, nulls, distincts in sketch
-        if rows and not nulls and distincts >= rows * (1 - 3 * rsd)
+        if rows and not nulls and distincts >= rows * (1 - DEVIATIONS * rsd)
     }
     counts = local_frame(spark, [r for r in sketch if r[0] not in suspects], _COUNTS)
     if not suspects:
