@@ -51,6 +51,17 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front until no column of ``docs`` has them."""
+    taken = {c.lower() for c in docs.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        found.append(name)
+    return found
+
+
 def lowered(text):
     """Column ``text`` with A-Z in lower case, and no other character changed."""
     return F.translate(text, UPPER, UPPER.lower())

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import lowered, texts
+from .common import fresh, lowered, texts
 from .trie import OwnerTrie
 
 _NO_ID = -(1 << 63)  # stands for a null id, below all others
@@ -140,15 +140,14 @@ def exact_groups(
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that `exact_groups` keeps."""
+    sha, keep, n, once = fresh(docs, "sha", "keep", "n", "once")
     best = owners(docs, id_col, text_col).select(
-        F.col("text_sha256").alias("__sha"),
-        F.col("keep_id").alias("__keep"),
-        F.col("n_keep").alias("__n"),
+        F.col("text_sha256").alias(sha), F.col("keep_id").alias(keep), F.col("n_keep").alias(n)
     )
-    sha = F.sha2(lowered(F.coalesce(docs[text_col], F.lit(""))), 256)
-    joined = docs.withColumn("__sha", sha).join(best.hint("merge"), "__sha")
-    kept = joined.filter(F.col(id_col).cast("long").eqNullSafe(F.col("__keep")))
-    unique = kept.withColumn("__once", _once(F.col("__n") > 1, F.col("__sha"))).dropDuplicates(["__once"])
+    body = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    joined = docs.withColumn(sha, F.sha2(lowered(body), 256)).join(best.hint("merge"), sha)
+    kept = joined.filter(F.col(id_col).cast("long").eqNullSafe(F.col(keep)))
+    unique = kept.withColumn(once, _once(F.col(n) > 1, F.col(sha))).dropDuplicates([once])
     return unique.select(*docs.columns)
 
 

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, stored, texts
+from .common import fresh, slices, stored, texts
 
 # The contract's white space and symbols.
 SPACE = " \t\n\x0b\x0c\r"
@@ -306,14 +306,14 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
                 [*batch.columns[1:], *columns], names=[*names, *measures]
             )
 
-    measures = [f"__{name}" for name in _NAMES[2:]]
+    measures = fresh(docs, *_NAMES[2:])
     names = list(docs.columns)
     fields = [T.StructField(name, T.LongType()) for name in measures]
-    text = F.coalesce(docs["text"].cast("string"), F.lit("")).alias("__text")
+    text = F.coalesce(docs["text"].cast("string"), F.lit("")).alias(fresh(docs, "body")[0])
     measured = docs.select(text, *[docs[c] for c in names]).mapInArrow(
         run, T.StructType([*docs.schema.fields, *fields])
     )
-    renamed = {name: f"__{name}" for name in _NAMES[2:]}
+    renamed = dict(zip(_NAMES[2:], measures))
     stratum = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in names else F.lit("")
     kept = ~base_failed(renamed) & ~_learned_failed(pooled, own, stratum, renamed)
     return measured.where(kept).select(*names)

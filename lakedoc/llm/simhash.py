@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices, stored, texts
+from .common import fresh, slices, stored, texts
 from .components import components
 
 SEED = 42
@@ -201,12 +201,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     groups = near_groups(docs, id_col=id_col, text_col=text_col)
     stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     ids = stored(stay.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "near-kept")
-    marked = docs.withColumn("__id", F.col(id_col).cast("long"))
-    named = ids.select(F.col("doc_id").alias("__stay"), F.col("n").alias("__n"))
-    kept = marked.join(named.hint("merge"), F.col("__id").eqNullSafe(F.col("__stay")))
+    own, named, n, nth = fresh(docs, "own", "named", "times", "nth")
+    marked = docs.withColumn(own, F.col(id_col).cast("long"))
+    names = ids.select(F.col("doc_id").alias(named), F.col("n").alias(n))
+    kept = marked.join(names.hint("merge"), F.col(own).eqNullSafe(F.col(named)))
     if ids.where("n > 1").limit(1).count():
-        order = W.partitionBy("__id").orderBy(F.xxhash64(text_col))
-        once = kept.where("__n > 1").withColumn("__nth", F.row_number().over(order))
-        once = once.where("__nth = 1").drop("__nth")
-        kept = kept.where("__n = 1").unionByName(once)
+        order = W.partitionBy(own).orderBy(F.xxhash64(text_col))
+        once = kept.where(F.col(n) > 1).withColumn(nth, F.row_number().over(order))
+        once = once.where(F.col(nth) == 1).drop(nth)
+        kept = kept.where(F.col(n) == 1).unionByName(once)
     return kept.select(*docs.columns)

@@ -7,6 +7,7 @@ def documents(session, *rows, extra=True):
     full = [(i, t, "en", "s", len(t or "")) for i, t in rows]
     docs = session.createDataFrame(full, ddl)
     if extra:
-        names = ("kept", "n", "fp", "sha", "k1", "bucket", "score", "rank", "__sha", "text_sha256")
+        names = ("kept", "n", "fp", "sha", "k1", "bucket", "score", "rank", "__sha", "text_sha256",
+                 "key", "edges", "hit", "own", "named", "times", "keep", "once", "n_words", "body")
         docs = docs.withColumns({name: docs["source"] for name in names})
     return docs

@@ -25,6 +25,8 @@ def test_stages_on_odd_documents(spark, tmp_path):
         left.append(sorted(r.doc_id for r in docs.select("doc_id").collect()))
         if name != "best_fit_packing":
             assert docs.columns == columns
+            clashing = [c for c in columns if c not in ("doc_id", "text", "lang", "n_chars")]
+            assert all(set(r) == {"s"} for r in docs.select(*clashing).collect())
     assert left[0] == [1, 2, 5, 6, 9, 9]  # the others are too short or repeat themselves
     assert left[1] == [5, 6, 9, 9]  # texts 1 and 2 equal the shorter text 9, the larger id stays
     assert set(left[2]) <= {5, 6, 9} and len(set(left[2])) == len(left[2])
