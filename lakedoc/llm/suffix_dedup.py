@@ -40,11 +40,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import two_stage
-from .common import slices, stored, texts
+from .common import fresh, slices, stored, texts
 
 LENGTH = 200
 ANCHOR = 32
-MANY = 1024  # distinct bodies of one anchor that are still sorted together
+MANY = 4096  # distinct bodies of one anchor that are still sorted together (up to 1.5 MB)
 BUFFER = 1 << 20  # bytes of bodies in one suffix sort
 STRETCH = 1 << 21  # bytes of a text that are looked at together
 
@@ -465,28 +465,25 @@ def without_repeats(
     """
     found = stored(repeats(docs, length, id_col, text_col), "repeats")
     keyed = _with_keys(docs, id_col, text_col)
-    named = docs.withColumns(
-        {
-            "__k": F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256),
-        }
-    )
+    key, edges, hit = fresh(docs, "key", "edges", "hit")
+    named = docs.withColumn(key, F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
     names = docs.columns
     spans = (
         keyed.select("k1", "k2", "sha")
         .distinct()
         .join(found.hint("merge"), ["k1", "k2"])
-        .select(F.col("sha").alias("__k"), F.col("spans").alias("__s"), F.lit(1).alias("__hit"))
+        .select(F.col("sha").alias(key), F.col("spans").alias(edges), F.lit(1).alias(hit))
     )
-    joined = named.join(spans.hint("merge"), "__k", "left")
+    joined = named.join(spans.hint("merge"), key, "left")
 
     @F.pandas_udf("string")
-    def cut(text, edges):
-        return pd.Series([_cut_characters(t, e) for t, e in zip(text, edges)], dtype=object)
+    def cut(text, spans):
+        return pd.Series([_cut_characters(t, e) for t, e in zip(text, spans)], dtype=object)
 
-    some = F.col("__hit").isNotNull() & F.col("__s").isNotNull()
+    some = F.col(hit).isNotNull() & F.col(edges).isNotNull()
     # texts without hits do not go through Python
-    body = F.when(some, cut(F.when(some, F.col(text_col)), F.when(some, F.col("__s"))))
-    kept = body.when(F.col("__hit").isNotNull(), F.lit("")).otherwise(F.col(text_col))
+    body = F.when(some, cut(F.when(some, F.col(text_col)), F.when(some, F.col(edges))))
+    kept = body.when(F.col(hit).isNotNull(), F.lit("")).otherwise(F.col(text_col))
     return joined.withColumn(text_col, kept).select(*names)
 
 
