@@ -148,3 +148,19 @@ def test_costs_do_not_depend_on_the_block():
     together = mixing.cost(mixing.Block(own, code), code, tables, 12, start)
     alone = [mixing.cost(mixing.Block([t], code), code, tables, 12, start)[0] for t in own]
     assert np.allclose(together, alone, rtol=1e-5)
+
+
+def test_every_decision_of_a_word_is_predicted_in_context():
+    words = [b"w%d" % i for i in range(5000)]
+    code = mixing.Code.build(words, [1] * 5000, 1, 1, np.ones(256, int))
+    assert np.abs(code.rest).max() < 1e-12 and code.sizes[:5000].min() >= 12
+    # a rare word that always follows another one costs little, though its code is long
+    pairs = [[words[4000], words[4001]]] * 50
+    table = np.zeros((mixing.CONTEXTS, 2 << 16), np.int32)
+    mixing.count(mixing.Block(pairs, code), code, 16, table)
+    tables, start = mixing.predictors(table), mixing.initial_weights()
+    seen, other = (
+        mixing.cost(mixing.Block([[words[4000], w]], code), code, tables, 16, start)[0]
+        for w in (words[4001], words[4002])
+    )
+    assert seen < other - 3
