@@ -164,3 +164,32 @@ def test_every_decision_of_a_word_is_predicted_in_context():
         for w in (words[4001], words[4002])
     )
     assert seen < other - 3
+
+
+def test_short_texts_adapt_in_short_steps():
+    code, tables = small_model()
+    start = mixing.initial_weights()
+    words = [w for _, t in texts(40, 9) for w in lm_score.tokens_of(t)][:25]
+    block = mixing.Block([words], code)
+    assert mixing.STEP < len(block.decisions(code, 12)[1]) < 512
+    moved, still = (mixing.cost(block, code, tables, 12, start, rate=r)[0] for r in (0.03, 0.0))
+    assert abs(moved - still) > 1e-4
+
+
+def test_refinement_lowers_the_cost_of_what_it_was_fitted_on():
+    code, tables = small_model()
+    weights = 0.3 * mixing.initial_weights()  # far too timid
+    block = mixing.Block([lm_score.tokens_of(t) for _, t in texts(60, 11)], code)
+    refine = mixing.fit_refinement(block, code, tables, 12, weights)
+    plain, refined = (
+        mixing.cost(block, code, tables, 12, weights, 0.0, r).sum() for r in (None, refine)
+    )
+    assert refined < 0.99 * plain
+
+
+def test_bits_of_texts(spark):
+    rows = texts(60) + [(700, "é b"), (701, "")]
+    for r in lm_score.scores(documents(spark, *rows), head=64, bits=14, fit_texts=10).collect():
+        n = len(dict(rows)[r.doc_id].encode())
+        assert math.isclose(r.total_bits, -r.score / math.log10(2))
+        assert r.bits_per_byte is None if n == 0 else math.isclose(r.bits_per_byte, r.total_bits / n)
