@@ -1,7 +1,8 @@
-"""Texts to ids with the ``tokenizers`` library, without special tokens."""
+"""Texts to ids with the ``tokenizers`` library, without special tokens around them."""
 
 from __future__ import annotations
 
+import re
 import struct
 
 from .common import worker_state
@@ -17,7 +18,6 @@ def _load(path: str):
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
     return tokenizer
 
 
@@ -36,7 +36,8 @@ def encoder(path: str):
     """Function from a text to its ids as little-endian unsigned 32-bit integers.
 
     The library's own normaliser, pre-tokeniser and model are called for pieces of the
-    text; a tokeniser of an unknown kind encodes the whole text.
+    text; a tokeniser of an unknown kind encodes the whole text, as does any for a text in
+    which an added token may stand.
     """
 
     def make():
@@ -57,6 +58,16 @@ def encoder(path: str):
         def whole(text: str) -> bytes:
             return pack(tokenizer.encode(text, add_special_tokens=False).ids)
 
+        def guarded(pieces):
+            """Texts that may hold an added token go to the library as a whole."""
+            added = declared.get("added_tokens") or []
+            if not added:
+                return pieces
+            if normal and any(token["normalized"] for token in added):
+                return whole  # to be found in the normalised text only
+            holds = re.compile("|".join(re.escape(token["content"]) for token in added)).search
+            return lambda text: whole(text) if holds(text) else pieces(text)
+
         def ids_of(words) -> bytes:
             return pack([token.id for word in words for token in model.tokenize(word)])
 
@@ -78,7 +89,7 @@ def encoder(path: str):
                 shown = "Ġ" + letters if letters.isascii() else visible(" " + letters)
                 return pack([token.id for token in tokenize(shown)])
 
-            return SpacePieces(unit, word).encode
+            return guarded(SpacePieces(unit, word).encode)
 
         if kinds == ["Split", "ByteLevel"] and normal == ["NFC", "Replace", "Lowercase"]:
 
@@ -98,7 +109,7 @@ def encoder(path: str):
                 shown = lower if lower.isascii() else visible(lower)
                 return pack([token.id for token in tokenize(shown)])
 
-            return WordPieces(piece, word).encode
+            return guarded(WordPieces(piece, word).encode)
 
         return whole
 

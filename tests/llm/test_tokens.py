@@ -135,3 +135,17 @@ def test_packing_of_documents(spark):
     together = packing.sequences(packed).toPandas()
     assert together.ids.map(len).sum() == 4 * got.length.sum()
     assert packing.pack(documents(spark, (1, "a")).limit(0), WORD).collect() == []
+
+
+@pytest.mark.parametrize(
+    "path, mark", [(BYTE, "<|endoftext|>"), (WORD, "<|endoftext|>"), (WORD, "<|startoftext|>")]
+)
+def test_added_tokens_encode_like_a_fresh_tokenizer(path, mark):
+    from tokenizers import Tokenizer
+
+    encode, library = hf.encoder(path), Tokenizer.from_file(path)
+    texts = [f"a {mark} x", mark, f"a{mark}b", f"{mark}{mark}", f"a\n{mark}\tb  {mark.upper()}"]
+    for text in [*texts, *(t + mark + t for t in ODD), *strings()]:
+        expected = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encode(text), "<u4").tolist() == expected, text
+    assert library.token_to_id(mark) in np.frombuffer(encode(texts[0]), "<u4")
