@@ -12,13 +12,13 @@ that a rule that catches nothing rejects nothing; where the bins below hold no l
 text the cutoff moves to the middle of that gap. With confidence ``1 - delta`` no stratum
 loses more than ``risk`` of its good texts to the learned rules.
 
-A stratum with fewer than ``min_labels`` labelled good texts, or beyond the
-``max_strata`` largest, uses the cutoffs learned from all labelled rows together (its
-guarantee then holds for the pooled population).
+Every stratum is tested against its own labelled good texts, few or many: the bound decides
+by itself. Where they are too few to certify anything, or there are none, the learned rules
+reject nothing.
 
 Plan: one pass computes the features of all whole texts and stores them (a few numbers a
 row); labels join those; histograms of rule by candidate are summed before anything is
-gathered; the cutoffs (at most ``max_strata + 1`` rows) become literals of the verdict.
+joined; the cutoffs (one stored row per stratum) are joined by stratum.
 
 Defined results: null and empty texts have zero features and fail the base rule (fewer
 than 50 words); unlabelled or contradictorily labelled rows are left out of the holdout;
@@ -28,7 +28,6 @@ are ignored. Texts of any length are taken whole.
 
 from __future__ import annotations
 
-import itertools
 import math
 import re
 from collections import Counter
@@ -181,10 +180,8 @@ def cutoffs(
     *,
     risk: float = 0.05,
     delta: float = 0.1,
-    min_labels: int = 1000,
-    max_strata: int = 256,
 ) -> DataFrame:
-    """Per stratum (null: pooled) the smallest rejected bin of every rule."""
+    """Per stratum with labelled texts the smallest rejected bin of every rule."""
     known = (
         labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"))
         .where("doc_id is not null and quality in (0, 1)")
@@ -207,21 +204,8 @@ def cutoffs(
         )
     )
     counted = stored(counted, "quality-histograms")
-    sizes = (
-        counted.where(F.col("rule") == next(iter(RULES)))
-        .groupBy("stratum")
-        .agg(F.sum("good").alias("n"))
-        .where(F.col("n") >= min_labels)
-        .orderBy(F.desc("n"), "stratum")
-        .limit(max_strata)
-    )
-    own = counted.join(F.broadcast(sizes.select("stratum")), "stratum")
-    pooled = (
-        counted.groupBy("rule", "bin")
-        .agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-        .withColumn("stratum", F.lit(None).cast("string"))
-    )
-    level = delta / (len(RULES) * (max(1, sizes.count()) + 1))
+    tested = counted.where("good > 0").agg(F.count_distinct("stratum")).first()[0]
+    level = delta / (len(RULES) * max(1, tested))
     share = risk / len(RULES)
 
     def select(group: pd.DataFrame) -> pd.DataFrame:
@@ -235,9 +219,7 @@ def cutoffs(
         return pd.DataFrame([row])
 
     schema = "stratum string, " + ", ".join(f"{rule} int" for rule in RULES)
-    return (
-        own.unionByName(pooled).groupBy("stratum").applyInPandas(select, schema)
-    )
+    return stored(counted.groupBy("stratum").applyInPandas(select, schema), "quality-cutoffs")
 
 
 def base_failed(renamed: dict[str, str] | None = None):
@@ -247,38 +229,30 @@ def base_failed(renamed: dict[str, str] | None = None):
     return (n_words < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * n_words)
 
 
-def learned(docs: DataFrame, labels: DataFrame, **options) -> tuple[dict, dict[str, dict]]:
-    """Smallest rejected bin of every rule: pooled, and by stratum (at most ``max_strata``)."""
-    measured = stored(features(docs), "quality-features")
-    return _gathered(cutoffs(measured, labels, **options))
-
-
-def _gathered(chosen: DataFrame) -> tuple[dict, dict[str, dict]]:
-    rows = [row.asDict() for row in chosen.collect()]  # bounded by ``max_strata``
-    own = {row["stratum"]: row for row in rows if row["stratum"] is not None}
-    return next((row for row in rows if row["stratum"] is None), {}), own
+def _with_cutoffs(rows: DataFrame, chosen: DataFrame, stratum, names: dict) -> DataFrame:
+    """``rows`` with the cutoffs of their stratum in the columns named by rule."""
+    other = fresh(rows, "stratum_of_cutoffs")[0]
+    cuts = chosen.select(F.col("stratum").alias(other), *[F.col(r).alias(n) for r, n in names.items()])
+    return rows.join(cuts, stratum == F.col(other), "left").drop(other)
 
 
-def _learned_failed(pooled: dict, own: dict[str, dict], stratum, renamed=None):
+def _learned_failed(names: dict[str, str], renamed=None):
     """Whether a rule's value lies in or above its rejected bin."""
     failed = F.lit(False)
     for rule, sql in RULES.items():
         for name, other in (renamed or {}).items():
             sql = re.sub(rf"\b{name}\b", other, sql)
-        cutoff = F.lit(pooled.get(rule, BINS))
-        if own:
-            pairs = itertools.chain.from_iterable((k, row[rule]) for k, row in own.items())
-            cutoff = F.coalesce(F.create_map(*map(F.lit, pairs))[stratum], cutoff)
-        failed = failed | (bin_of(F.expr(sql)) >= cutoff)
+        failed = failed | (bin_of(F.expr(sql)) >= F.coalesce(F.col(names[rule]), F.lit(BINS)))
     return failed
 
 
 def judged(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Features of every row of ``docs``, ``base_failed`` and the verdict ``kept``."""
     measured = stored(features(docs), "quality-features")
-    pooled, own = _gathered(cutoffs(measured, labels, **options))
-    failed = _learned_failed(pooled, own, F.col("stratum"))
-    return measured.withColumn("base_failed", base_failed()).select(
+    names = {rule: f"cut_{rule}" for rule in RULES}
+    failed = _learned_failed(names)
+    rows = _with_cutoffs(measured, cutoffs(measured, labels, **options), F.col("stratum"), names)
+    return rows.withColumn("base_failed", base_failed()).select(
         "doc_id",
         "n_words",
         "word_chars",
@@ -294,9 +268,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns, that `judged` keeps.
 
     A verdict depends on the text and the stratum only, so it is taken in the same pass
-    that reads the rows; the cutoffs are learned before.
+    that reads the rows and joins the cutoffs, which are learned before.
     """
-    pooled, own = learned(docs, labels, **options)
+    chosen = cutoffs(stored(features(docs), "quality-features"), labels, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -315,5 +289,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     )
     renamed = dict(zip(_NAMES[2:], measures))
     stratum = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in names else F.lit("")
-    kept = ~base_failed(renamed) & ~_learned_failed(pooled, own, stratum, renamed)
-    return measured.where(kept).select(*names)
+    cuts = dict(zip(RULES, fresh(measured, *(f"cut_{rule}" for rule in RULES))))
+    kept = ~base_failed(renamed) & ~_learned_failed(cuts, renamed)
+    return _with_cutoffs(measured, chosen, stratum, cuts).where(kept).select(*names)

@@ -86,3 +86,28 @@ def test_empty_tables(spark):
     assert Q.judged(documents(spark, (1, "a")).limit(0), labels).collect() == []
     (row,) = Q.judged(documents(spark, (None, " ".join(map(str, range(60))))), labels).collect()
     assert row.kept and row.doc_id is None
+
+
+def test_every_stratum_is_judged_by_its_own_labels(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(4000)]
+
+    def text(mark):
+        return " ".join(w + mark for w in rng.sample(words, 60))
+
+    # good texts of the small stratum look like bad ones of the large; another has no labels
+    rows = [(i, text("#$" if i % 10 == 0 else "")) for i in range(3000)]
+    rows += [(i, text("#$")) for i in range(3000, 3140)]
+    labels = [(i, int(i % 10 != 0 or i >= 3000), 0) for i in range(3010)]
+    docs = documents(spark, *rows).selectExpr(
+        "* except (lang)",
+        "case when doc_id < 3000 then 'en' when doc_id < 3100 then 'xx' else 'yy' end as lang",
+    )
+    held = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    expected = {i for i, _ in rows if i >= 3000 or i % 10}
+    assert {r.doc_id for r in Q.judged(docs, held).collect() if r.kept} == expected
+    assert {r.doc_id for r in Q.keep_good(docs, held).collect()} == expected
+    # any number of strata
+    many = docs.selectExpr("* except (lang)", "if(doc_id < 2000, 'en', cast(doc_id as string)) as lang")
+    kept = {r.doc_id for r in Q.judged(many, held).collect() if r.kept}
+    assert kept >= set(range(2000, 3140))
