@@ -8,7 +8,7 @@ coordinate descent. A sigmoid fitted on rows that the descent did not see turns
 into scores.
 
 What is learned from what: the log-count ratios count *all* labelled training rows. The
-descent uses a bounded sample, the ``fit_rows`` rows with the smallest hash of the id, of
+descent uses a bounded sample, the ``fit_rows`` rows with the smallest hash of id and text, of
 which every fourth is left for the sigmoid. Rows whose crc32(doc_id as text) mod 3 is 1
 take part in neither.
 
@@ -78,7 +78,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     )
     rows = texts(docs, id_col, text_col).where(~_is_held_out(F.col("doc_id")))
     joined = rows.join(known.hint("merge"), "doc_id")
-    return joined.select("doc_id", "label", "text", F.xxhash64("doc_id").alias("draw"))
+    return joined.select("doc_id", "label", "text", F.xxhash64("doc_id", "text").alias("draw"))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,6 +206,8 @@ def fit(
         rows.where(F.col("draw") <= last)
         .select("draw", "label", "text")
         .mapInArrow(_sample, "draw long, label int, buckets binary")
+        .orderBy("draw", "label", "buckets")  # rows that repeat share a draw
+        .limit(fit_rows)
         .toArrow()
         .sort_by([("draw", "ascending"), ("label", "ascending"), ("buckets", "ascending")])
     )

@@ -193,3 +193,15 @@ def test_bits_of_texts(spark):
         n = len(dict(rows)[r.doc_id].encode())
         assert math.isclose(r.total_bits, -r.score / math.log10(2))
         assert r.bits_per_byte is None if n == 0 else math.isclose(r.bits_per_byte, r.total_bits / n)
+
+
+def test_a_repeated_id_does_not_fill_the_sample(spark, monkeypatch):
+    rows = [(i, f"good words {i}" if i % 2 else f"bad ## {i}") for i in range(200)]
+    rows += [(7, f"other good words {i}") for i in range(150)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], LABELS)
+    sizes = []
+    plain = M.descend
+    monkeypatch.setattr(M, "descend", lambda found, *a, **b: sizes.append(len(found)) or plain(found, *a, **b))
+    for fit_rows in (20, 60, 120):
+        M.classify(documents(spark, *rows), labels, fit_rows=fit_rows).collect()
+    assert sizes == [15, 45, 90]  # a quarter is kept out
