@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_format, exact_dedup, lm_score, packing, quality_model, quality_rules, simhash, suffix_dedup, token_files
+from . import (
+    byte_bpe,
+    chat_format,
+    exact_dedup,
+    filter_audit,
+    lm_score,
+    packing,
+    quality_model,
+    quality_rules,
+    simhash,
+    suffix_dedup,
+    token_files,
+)
 from .common import table_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +98,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_lm_score")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.scores(table_rows(spark, sf_dir, "documents"))
+
+
+@query("op13_filter_audit", filter_audit.ORACLE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(
+        table_rows(spark, sf_dir, "documents"), table_rows(spark, sf_dir, "labels")
+    )
