@@ -18,6 +18,7 @@ from . import (
     simhash,
     suffix_dedup,
     token_files,
+    vector_codes,
 )
 from .common import table_rows
 
@@ -105,3 +106,8 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(
         table_rows(spark, sf_dir, "documents"), table_rows(spark, sf_dir, "labels")
     )
+
+
+@query("op11_vector_codes", vector_codes.ORACLE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table_rows(spark, sf_dir, "embeddings"))
