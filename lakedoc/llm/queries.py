@@ -11,6 +11,7 @@ from . import (
     chat_format,
     exact_dedup,
     filter_audit,
+    hamming_search,
     lm_score,
     packing,
     quality_model,
@@ -111,3 +112,8 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_vector_codes", vector_codes.ORACLE_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table_rows(spark, sf_dir, "embeddings"))
+
+
+@query("op12_hamming_search")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_search.nearest(table_rows(spark, sf_dir, "embeddings"))

@@ -15,8 +15,9 @@ def finite(vector: Column) -> Column:
 
 
 def clean(table: DataFrame, id_col: str, vector_col: str, *others: str) -> DataFrame:
-    """``vec_id, vector`` (doubles) and the other columns, of the rows with a usable vector."""
-    vector = table[vector_col].cast("array<double>")
+    """``vec_id, vector`` and the other columns, of the rows with a usable vector."""
+    single = table.schema[vector_col].dataType.simpleString() == "array<float>"
+    vector = table[vector_col] if single else table[vector_col].cast("array<double>")
     return table.select(
         table[id_col].cast("long").alias("vec_id"),
         vector.alias("vector"),
@@ -33,7 +34,7 @@ def matrix(column: pa.Array, wide: int) -> np.ndarray:
     """Rows of ``wide`` doubles from a list column without nulls."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     lengths = np.diff(column.offsets.to_numpy())
-    values = column.flatten().to_numpy(zero_copy_only=False)
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     if (lengths == wide).all():
         return values.reshape(len(lengths), wide)
     out = np.zeros((len(lengths), wide))
