@@ -10,6 +10,7 @@ that have other white space are cut where it is safe, or encoded in one go.
 from __future__ import annotations
 
 import re
+import unicodedata
 
 SAFE = re.compile(r"(?<=\S) (?=\S)")  # \S of Python excludes all that any library calls space
 
@@ -72,12 +73,14 @@ class Cache(dict):
 class Marked(Cache):
     """Cache that puts a word and a final mark together from their own encodings.
 
-    ``word(w)`` encodes Latin letters, ``mark(m)`` one punctuation mark after a word.
+    ``word(w)`` encodes Latin letters, ``mark(m)`` one punctuation mark after a word. They
+    are put together only where ``parted(w)`` holds: the library parts the word, as it
+    stands after normalisation, from the mark.
     """
 
-    def __init__(self, word, mark, other, size: int, regular=None, between: bytes = b""):
+    def __init__(self, word, mark, other, size: int, regular=None, between: bytes = b"", parted=str.isalpha):
         super().__init__(other, size, regular)
-        self.word, self.other, self.between = word, other, between
+        self.word, self.other, self.between, self.parted = word, other, between, parted
         self.marks = {m: between + mark(m) for m in ",.;:!?"}
 
     def __missing__(self, piece: str) -> bytes:
@@ -87,7 +90,7 @@ class Marked(Cache):
             raise _Irregular
         else:
             front = piece[:-1]
-            if front and front.isalpha() and piece[-1] in self.marks:
+            if front and front.isalpha() and piece[-1] in self.marks and self.parted(front):
                 found = self[front] + self.marks[piece[-1]]
             else:
                 found = self.other(piece)
@@ -138,11 +141,20 @@ class SpacePieces:
         return self.between.join(parts)
 
 
+def ends_in_letter(word: str) -> bool:
+    """Whether the word still ends in a letter in NFC and lower case.
+
+    Some letters end in a combining mark there, which goes with the marks that follow.
+    """
+    return unicodedata.normalize("NFC", word).lower()[-1].isalpha()
+
+
 class WordPieces:
     """``encode(text)`` for tokenisers that drop all white space: any space is a safe cut."""
 
     def __init__(self, unit, word, size: int = 600_000):
-        self.cache = Marked(word, unit, lambda piece: unit(piece) if piece else b"", size)
+        other = lambda piece: unit(piece) if piece else b""
+        self.cache = Marked(word, unit, other, size, parted=ends_in_letter)
 
     def encode(self, text: str) -> bytes:
         parts = text.replace("\n", " ").split(" ")

@@ -32,6 +32,23 @@ def test_pieces_encode_like_the_library(path):
         assert np.frombuffer(encode(text), "<u4").tolist() == expected, text
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_every_letter_before_every_mark(path):
+    """Some letters end in a combining mark after normalisation, which a mark joins."""
+    from tokenizers import Tokenizer
+
+    encode, library = hf.encoder(path), Tokenizer.from_file(path)
+    letters = [c for c in map(chr, range(0x110000)) if c.isalpha()]
+    for mark in ",.;:!?":
+        some = [letters[i : i + 40] for i in range(0, len(letters), 40)]
+        rows = [" ".join(f"x{c}{mark}" for c in group) for group in some]
+        rows += [" ".join(f"{c}{mark}" for c in group) for group in some if mark in ",."]
+        for text, found in zip(rows, library.encode_batch(rows, add_special_tokens=False)):
+            assert np.frombuffer(encode(text), "<u4").tolist() == found.ids, text
+    for text in ("BELEDİYESİ, GAZETESİ: Sİ.", "क़, ड़. ਸ਼! ড়; ଡ଼?", "ΑΣ, ΟΔΟΣ. Σ!"):
+        assert np.frombuffer(encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_codec_equals_tiktoken_and_decodes():
     import tiktoken
 
