@@ -1,24 +1,27 @@
 """Operator 10: quality rules whose cutoffs carry a risk guarantee.
 
-Method: each rule is a feature of a text and a cutoff above which the text is rejected.
-Cutoffs are learned per stratum from a labelled holdout. For one rule the candidate
-cutoffs are tested from the mildest to the strictest; a candidate passes while the exact
-(Clopper-Pearson) upper bound of the share of good texts that it rejects stays below the
-risk of one rule, and the first failure ends the sequence, so that order needs no further
-correction (fixed-sequence testing). The error level is divided by rules and strata
-(Bonferroni). Of the certified candidates the one is taken that catches most bad texts;
-among equals the mildest, and each good text lost counts as `GOOD_WEIGHT` bad ones, so
-that a rule that catches nothing rejects nothing; where the bins below hold no labelled
-text the cutoff moves to the middle of that gap. With confidence ``1 - delta`` no stratum
-loses more than ``risk`` of its good texts to the learned rules.
+Method: each rule is a feature of a text and a cutoff above which the text is rejected; a
+text goes if any rule rejects it. The cutoffs of all rules are certified *together*, per
+stratum, from labelled texts in two halves (by hash of the id). One half designs a path: a
+sequence of cutoff vectors from "nothing is rejected" on, each at least as strict as the
+one before, the steps that catch most bad texts for each good one first (`design`). The
+other half tests the vectors in that order: one passes while the exact (Clopper-Pearson)
+upper bound of the share of good texts that its rules reject, any of them, stays below the
+risk, and the first failure ends the sequence. As the order does not depend on the texts
+that are tested, it needs no correction (fixed-sequence testing); only the error level is
+divided by the strata (Bonferroni). Of the certified vectors the one is taken that catches
+most bad texts; among equals the mildest, and each good text lost counts as `GOOD_WEIGHT`
+bad ones, so that rules which catch nothing reject nothing. With confidence ``1 - delta``
+no stratum loses more than ``risk`` of its good texts to the learned rules.
 
 Every stratum is tested against its own labelled good texts, few or many: the bound decides
 by itself. Where they are too few to certify anything, or there are none, the learned rules
 reject nothing.
 
 Plan: one pass computes the features of all whole texts and stores them (a few numbers a
-row); labels join those; histograms of rule by candidate are summed before anything is
-joined; the cutoffs (one stored row per stratum) are joined by stratum.
+row); labels join those. Histograms of rule by bin are summed for the design, and joined
+back as one row per stratum; what is tested is a histogram of steps. Neither grows with the
+texts. The cutoffs (one stored row per stratum) are joined by stratum.
 
 Defined results: null and empty texts have zero features and fail the base rule (fewer
 than 50 words); unlabelled or contradictorily labelled rows are left out of the holdout;
@@ -143,28 +146,65 @@ def most_failures(n: int, risk: float, level: float) -> int:
     return n
 
 
-def choose(
-    good: list[int], bad: list[int], risk: float, level: float, weight: float = GOOD_WEIGHT
+def design(good: dict[str, list[int]], bad: dict[str, list[int]]) -> list[dict[str, int]]:
+    """A path of cutoff vectors, smallest rejected bin by rule, from mild to strict.
+
+    ``good[rule][i]`` and ``bad[rule][i]`` count texts whose value lies in bin i; cutoff i
+    rejects bins i and above, `BINS` rejects nothing, and bin 0 (the value 0) is never
+    rejected. Every step lowers the cutoff of one rule to where it catches most bad texts
+    for each good one; the path ends when no bad text is left to catch. A cutoff with
+    empty bins below it moves to the middle of that gap.
+    """
+    at = dict.fromkeys(good, BINS)
+    path = [dict(at)]
+
+    def next_step(rule: str) -> tuple[float, int]:
+        """Best ratio below the present cutoff and where it is reached."""
+        best, found, caught, lost = 0.0, 0, 0, 0
+        for i in range(at[rule] - 1, 0, -1):
+            caught, lost = caught + bad[rule][i], lost + good[rule][i]
+            if caught / (lost + 1) > best:
+                best, found = caught / (lost + 1), i
+        return best, found
+
+    steps = {rule: next_step(rule) for rule in at}
+    while max(ratio for ratio, _ in steps.values()) > 0:
+        rule = max(steps, key=lambda r: (steps[r][0], -list(at).index(r)))
+        cut = steps[rule][1]
+        gap = 0  # half of the empty bins below goes to the rejected side
+        while cut - gap > 1 and not good[rule][cut - gap - 1] + bad[rule][cut - gap - 1]:
+            gap += 1
+        at[rule] = cut - gap // 2
+        path.append(dict(at))
+        steps[rule] = next_step(rule)
+    return path
+
+
+def certified(
+    tested_good: list[int],
+    good: list[int],
+    bad: list[int],
+    risk: float,
+    level: float,
+    weight: float = GOOD_WEIGHT,
 ) -> int:
-    """Smallest rejected bin, or ``len(good)`` to reject nothing.
+    """The step of a path to take; 0 rejects nothing.
 
-    ``good[i]`` and ``bad[i]`` count labelled texts whose value lies in bin i; cutoff i
-    rejects bins i and above.
+    Lists count texts by the first step that rejects them: the good ones of the testing
+    half, and good and bad ones of both. The last entry counts texts that no step rejects.
     """
-    allowed = most_failures(sum(good), risk, level)
-    best, best_gain = len(good), 0.0
-    lost = caught = 0
-    for i in range(len(good) - 1, 0, -1):  # bin 0 holds the value 0 and is never rejected
-        lost += good[i]
-        caught += bad[i]
-        if lost > allowed:
+    allowed = most_failures(sum(tested_good), risk, level)
+    best, best_gain = 0, 0.0
+    failed = lost = caught = 0
+    for step in range(1, len(good) - 1):
+        failed += tested_good[step]
+        lost += good[step]
+        caught += bad[step]
+        if failed > allowed:
             break
         if caught - weight * lost > best_gain:
-            best, best_gain = i, caught - weight * lost
-    gap = 0  # half of the empty bins below goes to the rejected side
-    while best < len(good) and best - gap > 1 and not good[best - gap - 1] + bad[best - gap - 1]:
-        gap += 1
-    return best - gap // 2
+            best, best_gain = step, caught - weight * lost
+    return best
 
 
 def bin_of(value):
@@ -181,7 +221,10 @@ def cutoffs(
     risk: float = 0.05,
     delta: float = 0.1,
 ) -> DataFrame:
-    """Per stratum with labelled texts the smallest rejected bin of every rule."""
+    """Per stratum with labelled texts the smallest rejected bin of every rule.
+
+    A stratum whose designing half is empty has no row: nothing is rejected there.
+    """
     known = (
         labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"))
         .where("doc_id is not null and quality in (0, 1)")
@@ -191,35 +234,59 @@ def cutoffs(
         .drop("other")
     )
     bins = [bin_of(F.expr(sql)).alias(name) for name, sql in RULES.items()]
+    tests = (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1).alias("tests")
     # the base rule decides alone on what it rejects: the learned rules never see it
     held = (
-        measured.where(~base_failed()).select("doc_id", "stratum", *bins).join(known, "doc_id")
+        measured.where(~base_failed()).select("doc_id", "stratum", tests, *bins).join(known, "doc_id")
     )
+    held = stored(held.drop("doc_id"), "quality-labelled")  # a few numbers per labelled text
+    amounts = [F.sum(F.col("quality")).alias("good"), F.sum(1 - F.col("quality")).alias("bad")]
     counted = (
-        held.unpivot(["stratum", "quality"], list(RULES), "rule", "bin")
+        held.where("NOT tests")
+        .unpivot(["stratum", "quality"], list(RULES), "rule", "bin")
         .groupBy("stratum", "rule", "bin")
-        .agg(
-            F.sum(F.col("quality")).alias("good"),
-            F.sum(1 - F.col("quality")).alias("bad"),
-        )
+        .agg(*amounts)
+    )
+
+    def designed(group: pd.DataFrame) -> pd.DataFrame:
+        good, bad = ({rule: [0] * BINS for rule in RULES} for _ in range(2))
+        for rule, i, g, b in zip(group["rule"], group["bin"], group["good"], group["bad"]):
+            good[rule][i], bad[rule][i] = int(g), int(b)
+        path = design(good, bad)
+        row = {"stratum": group["stratum"].iloc[0]}
+        row |= {rule: [[step[rule] for step in path]] for rule in RULES}
+        return pd.DataFrame(row)
+
+    schema = "stratum string, " + ", ".join(f"{rule} array<int>" for rule in RULES)
+    paths = stored(counted.groupBy("stratum").applyInPandas(designed, schema), "quality-paths")
+    names = {rule: f"path_{rule}" for rule in RULES}
+    rows = _with_cutoffs(held, paths, F.col("stratum"), names).where("path_symbols IS NOT NULL")
+    # cutoffs fall along the path: as many steps as have a cutoff above the bin do not reject it
+    spared = [F.expr(f"size(filter({names[rule]}, cut -> cut > {rule}))") for rule in RULES]
+    steps = (
+        rows.select("stratum", "tests", "quality", F.least(*spared).alias("step"))
+        .groupBy("stratum", "step")
+        .agg(*amounts, F.sum(F.when(F.col("tests"), F.col("quality")).otherwise(0)).alias("tested_good"))
     )
-    counted = stored(counted, "quality-histograms")
-    tested = counted.where("good > 0").agg(F.count_distinct("stratum")).first()[0]
-    level = delta / (len(RULES) * max(1, tested))
-    share = risk / len(RULES)
-
-    def select(group: pd.DataFrame) -> pd.DataFrame:
-        row: dict = {"stratum": group["stratum"].iloc[0]}
-        for rule in RULES:
-            part = group[group["rule"] == rule]
-            good, bad = [0] * BINS, [0] * BINS
-            for i, g, b in zip(part["bin"], part["good"], part["bad"]):
-                good[i], bad[i] = int(g), int(b)
-            row[rule] = choose(good, bad, share, level)
-        return pd.DataFrame([row])
+    steps = stored(steps, "quality-steps")
+    tested = steps.where("tested_good > 0").agg(F.count_distinct("stratum")).first()[0]
+    level = delta / max(1, tested)
+
+    def select(key, counts: pd.DataFrame, path: pd.DataFrame) -> pd.DataFrame:
+        if not len(counts) or not len(path):
+            return pd.DataFrame(columns=["stratum", *RULES])
+        first = path.iloc[0]
+        size = len(first[next(iter(RULES))])
+        lists = {name: [0] * (size + 1) for name in ("tested_good", "good", "bad")}
+        for name, values in lists.items():
+            for step, n in zip(counts["step"], counts[name]):
+                values[step] = int(n)
+        step = certified(lists["tested_good"], lists["good"], lists["bad"], risk, level)
+        return pd.DataFrame([{"stratum": first["stratum"]} | {rule: int(first[rule][step]) for rule in RULES}])
 
     schema = "stratum string, " + ", ".join(f"{rule} int" for rule in RULES)
-    return stored(counted.groupBy("stratum").applyInPandas(select, schema), "quality-cutoffs")
+    chosen = steps.groupBy("stratum").cogroup(paths.groupBy("stratum")).applyInPandas(select, schema)
+    return stored(chosen, "quality-cutoffs")
 
 
 def base_failed(renamed: dict[str, str] | None = None):

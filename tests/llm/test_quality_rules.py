@@ -76,9 +76,82 @@ def test_cutoffs_respect_the_risk_and_catch_junk(spark):
 
 
 def test_a_rule_that_catches_nothing_rejects_nothing():
-    good, bad = [0] * Q.BINS, [0] * Q.BINS
-    good[0], good[300], bad[0] = 1000, 3, 50
-    assert Q.choose(good, bad, 0.05, 0.01) == Q.BINS
+    good, bad = {"r": [0] * Q.BINS}, {"r": [0] * Q.BINS}
+    good["r"][0], good["r"][300], bad["r"][0] = 1000, 3, 50
+    assert Q.design(good, bad) == [{"r": Q.BINS}]
+    # a step that loses more than it catches is certified, but not taken
+    assert Q.certified([0, 3, 997], [0, 3, 997], [0, 5, 45], 0.05, 0.01) == 0
+    assert Q.certified([0, 3, 997], [0, 3, 997], [0, 61, 45], 0.05, 0.01) == 1
+
+
+def test_paths_are_nested_and_follow_the_best_ratio():
+    rng = random.Random(11)
+    for _ in range(20):
+        good, bad = (
+            {r: [rng.choice((0, 0, 0, 1, 4)) for _ in range(Q.BINS)] for r in "abc"} for _ in range(2)
+        )
+        path = Q.design(good, bad)
+        assert path[0] == dict.fromkeys("abc", Q.BINS)
+        for before, after in zip(path, path[1:]):
+            changed = [r for r in "abc" if before[r] != after[r]]
+            assert len(changed) == 1 and 1 <= after[changed[0]] < before[changed[0]]
+
+    good, bad = ({r: [0] * Q.BINS for r in "ab"} for _ in range(2))
+    bad["a"][390], good["a"][380], bad["a"][370] = 5, 9, 50
+    bad["b"][399] = 7
+    # b first; then a down to 370 at once, as 55 / 10 beats 5 / 1; gaps below are halved
+    assert [(p["a"], p["b"]) for p in Q.design(good, bad)] == [(400, 400), (400, 200), (186, 200)]
+
+
+def test_joint_cutoffs_against_brute_force(spark):
+    """Every vector of the path is applied to every text; the bound is of the union of rules."""
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(2000)]
+
+    def text(bad):
+        some = rng.sample(words, 60)
+        for i in range(60):
+            if rng.random() < (0.5 if bad else 0.02):
+                some[i] = some[i] + "#$" if rng.random() < 0.5 else some[i].upper()
+        lines = [" ".join(some[i : i + 10]) for i in range(0, 60, 10)]
+        return "\n".join(lines + lines[:1] * rng.choice((0, 0, 2 if bad else 0)))
+
+    rows = [(i, text(i % 4 == 0), "aa" if i % 3 else "bb") for i in range(900)]
+    quality = {i: int(i % 4 != 0) if rng.random() < 0.98 else int(i % 4 == 0) for i in range(800)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, q, 0) for i, q in quality.items()], "doc_id long, quality int, toxic int")
+    tests = {r[0] for r in docs.where("pmod(xxhash64(doc_id), 2) = 1").select("doc_id").collect()}
+
+    def bins(body):
+        n_words, chars, symbols, dup, repeat, lines, upper, marks = Q.features_of(body)
+        values = (symbols / n_words / 2, marks / n_words / 2, upper / chars, dup / lines, repeat / n_words)
+        return {r: 0 if v <= 0 else min(1 + int(min(v, 1) * (Q.BINS - 1)), Q.BINS - 1) for r, v in zip(Q.RULES, values)}
+
+    expected = set()
+    for lang in ("aa", "bb"):
+        mine = {i: bins(body) for i, body, of in rows if of == lang}
+        count = lambda q: {
+            r: [sum(quality.get(i) == q and i not in tests and b[r] == at for i, b in mine.items()) for at in range(Q.BINS)]
+            for r in Q.RULES
+        }
+        path = Q.design(count(1), count(0))
+        assert len(path) > 3
+        gone = [{i for i, b in mine.items() if any(b[r] >= cuts[r] for r in Q.RULES)} for cuts in path]
+        n = sum(quality.get(i) == 1 and i in tests for i in mine)
+        tail = lambda k: sum(math.comb(n, j) * 0.05**j * 0.95 ** (n - j) for j in range(k + 1))
+        best, gain = 0, 0
+        for step, some in enumerate(gone):
+            lost = sum(quality.get(i) == 1 and i in tests for i in some)
+            if step and tail(lost) > 0.1 / 2:
+                break
+            caught = sum(quality.get(i) == 0 for i in some)
+            value = caught - Q.GOOD_WEIGHT * sum(quality.get(i) == 1 for i in some)
+            if value > gain:
+                best, gain = step, value
+        assert best > 0
+        expected |= mine.keys() - gone[best]
+    assert {r.doc_id for r in Q.judged(docs, labels).collect() if r.kept} == expected
+    assert {r.doc_id for r in Q.keep_good(docs, labels).collect()} == expected
 
 
 def test_empty_tables(spark):
