@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.keys import key_of, quoted
+from ..functions.keys import common_key_of, quoted
 from ..functions.ratios import null_ratio
 from ..schemas import local_frame
 from .columns import constraint_key
@@ -147,48 +147,16 @@ class ForeignKey:
         return f"{child} -> {self.target_table}({', '.join(self.target_columns)})"
 
 
-def _common(a: T.DataType, b: T.DataType) -> T.DataType:
-    """The type in which Spark's own equality compares the two; text if there is none."""
-    if a == b:
-        return a
-    if isinstance(a, T.StringType) or isinstance(b, T.StringType):
-        return T.StringType()
-    if isinstance(a, T.DecimalType) or isinstance(b, T.DecimalType):
-        digits = [_DIGITS.get(type(t)) for t in (a, b)]
-        scales = [getattr(t, "scale", 0) for t in (a, b)]
-        whole = [t.precision - t.scale if isinstance(t, T.DecimalType) else d
-                 for t, d in zip((a, b), digits)]
-        if None not in whole and max(whole) + max(scales) <= 38:
-            return T.DecimalType(max(whole) + max(scales), max(scales))
-        numbers = isinstance(a, T.NumericType) and isinstance(b, T.NumericType)
-        return T.DoubleType() if numbers else T.StringType()
-    for order in _ORDERS:
-        if type(a) in order and type(b) in order:
-            return order[max(order.index(type(a)), order.index(type(b)))]()
-    return T.StringType()
-
-
-# Digits of the whole numbers, and types that widen into each other.
-_DIGITS = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 20}
-_ORDERS = (
-    (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType),
-    (T.DateType, T.TimestampNTZType, T.TimestampType),
-)
-
-
 def _types(df: DataFrame, columns: tuple[str, ...]) -> list[T.DataType]:
     return [column_type(df, c) for c in columns]
 
 
 def _side(
-    df: DataFrame, columns: tuple[str, ...], types: list[T.DataType]
+    df: DataFrame, columns: tuple[str, ...], others: list[T.DataType]
 ) -> tuple[str, str]:
-    """Key class and expression of the columns, compared as ``types``."""
-    own = zip(columns, _types(df, columns), types)
-    typed = [
-        key_of(quoted(c) if have == t else f"CAST({quoted(c)} AS {t.simpleString()})", t)
-        for c, have, t in own
-    ]
+    """Key class and expression of the columns, compared with columns of the types ``others``."""
+    own = zip(columns, _types(df, columns), others, strict=True)
+    typed = [common_key_of(quoted(c), have, other) for c, have, other in own]
     if len(typed) == 1:
         return typed[0]
     # A composite key with a null part refers to nothing, like a null single key.
@@ -205,14 +173,13 @@ def fk_integrity(tables: dict[str, DataFrame], fks: list[ForeignKey]) -> DataFra
     child rows and a mark for "exists in the parent", then grouped by key. All keys
     of a table share its scans, both sides share one shuffle per key class, and a key
     value that fills a third of the child collapses to one row per map task. Columns of
-    unlike types are compared by value, in the type that Spark's equality would use (a
-    number against a text: as texts).
+    unlike types are compared by value, see `lakedoc.functions.keys.common_key_of`.
     """
     children, parents = [], []
     for i, fk in enumerate(fks):
         ends = (tables[fk.source_table], fk.source_columns), (tables[fk.target_table], fk.target_columns)
-        types = [_common(a, b) for a, b in zip(*(_types(*end) for end in ends), strict=True)]
-        child, parent = (_side(*end, types) for end in ends)
+        types = [_types(*end) for end in ends]
+        child, parent = (_side(*end, others) for end, others in zip(ends, reversed(types)))
         children.append(Slot(i, tables[fk.source_table], *child))
         parents.append(Slot(i, tables[fk.target_table], *parent))
     child_long, parent_long = long_values(children), long_values(parents)
