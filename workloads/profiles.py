@@ -10,6 +10,7 @@ from lakedoc.operators import profile as P
 from lakedoc.operators import rules
 from lakedoc.operators.columns import list_all_columns
 from lakedoc.operators.docs import is_outdated
+from lakedoc.operators.inclusion import fk_candidates
 from lakedoc.operators.keys import ForeignKey, fk_integrity
 from lakedoc.operators.render import assemble_catalog
 from lakedoc.plans.catalog import build_catalog
@@ -189,11 +190,17 @@ FKS = [
     ("lineitem", "l_orderkey", "orders_decimal", "o_orderkey"),  # unlike types
     ("lineitem", "l_partkey", "part_double", "p_partkey"),
     ("days", "day", "orders", "o_orderdate"),
+    ("order_texts", "o_orderkey", "orders", "o_orderkey"),  # '01' is 1, and 'x7' no number
+    ("lines_far", "l_orderkey", "orders_wide", "o_orderkey"),  # beyond doubles and 38 digits
 ]
 _OTHER_TYPES = {
     "orders_decimal": "(SELECT o_orderkey::DECIMAL(20, 2) AS o_orderkey FROM orders)",
     "part_double": "(SELECT p_partkey::DOUBLE AS p_partkey FROM part)",
     "days": "(SELECT l_shipdate::DATE AS day FROM lineitem)",
+    # a text that is no number stands for a key of its own
+    "order_texts": "(SELECT if(l_orderkey % 7 = 0, -1 - l_orderkey, l_orderkey) AS o_orderkey FROM lineitem)",
+    "lines_far": "(SELECT l_orderkey + 9007199254740992 AS l_orderkey FROM lineitem)",
+    "orders_wide": "(SELECT 2 * o_orderkey + 9007199254740992 AS o_orderkey FROM orders)",
 }
 _BUILDERS = "(SELECT * FROM customer WHERE c_mktsegment = 'BUILDING')"
 
@@ -225,10 +232,52 @@ def run_fk_integrity(t):
         "orders_decimal": t.orders.selectExpr("CAST(o_orderkey AS DECIMAL(20, 2)) AS o_orderkey"),
         "part_double": t.part.selectExpr("CAST(p_partkey AS DOUBLE) AS p_partkey"),
         "days": t.lineitem.selectExpr("CAST(l_shipdate AS DATE) AS day"),
+        "order_texts": t.lineitem.selectExpr(
+            "concat(if(l_orderkey % 7 = 0, 'x', '0'), l_orderkey) AS o_orderkey"
+        ),
+        "lines_far": t.lineitem.selectExpr("l_orderkey + 9007199254740992 AS l_orderkey"),
+        "orders_wide": t.orders.selectExpr(
+            "CAST(2 * o_orderkey + 9007199254740992 AS DECIMAL(38, 20)) AS o_orderkey"
+        ),
     }
     return fk_integrity(tables, [ForeignKey(a, (b,), c, (d,)) for a, b, c, d in FKS])
 
 
+# How SQL brings a column to the domain in which columns are compared.
+_DOMAINS = {
+    "int": ("number", "({c}::DOUBLE + 0.0)"),
+    "bigint": ("number", "({c}::DOUBLE + 0.0)"),
+    "double": ("number", "({c} + 0.0)"),
+    "timestamp_ntz": ("time", "{c}"),
+    "string": ("text", "{c}"),
+}
+_VALUES = " UNION ALL ".join(
+    f"SELECT '{table}' AS t, '{c}' AS c, '{_DOMAINS[kind][0]}' AS d,"
+    f" {_DOMAINS[kind][1].format(c=c)}::VARCHAR AS v FROM {table}"
+    for table in TABLES
+    for c, kind in types_of(table)
+    if kind in _DOMAINS  # lists have no column of their kind to refer to
+)
+CANDIDATES_SQL = f"""
+WITH vals AS ({_VALUES}),
+cols AS (SELECT t, c, count(*) = count(v) AND count(v) = count(DISTINCT v) AS is_key,
+                count(DISTINCT v)::BIGINT AS n FROM vals GROUP BY t, c),
+cells AS (SELECT DISTINCT t, c, d, v FROM vals WHERE v IS NOT NULL),
+keys AS (SELECT cells.*, n FROM cells JOIN cols USING (t, c) WHERE is_key),
+hits AS (SELECT a.t, a.c, b.t AS pt, b.c AS pc, any_value(b.n) AS target_distinct, count(*) AS m
+         FROM cells a JOIN keys b ON a.d = b.d AND a.v = b.v AND (a.t, a.c) <> (b.t, b.c)
+         GROUP BY a.t, a.c, b.t, b.c)
+SELECT t AS source_table, c AS source_column, pt AS target_table, pc AS target_column,
+       n AS source_distinct, target_distinct, n / target_distinct AS coverage
+FROM hits JOIN cols USING (t, c) WHERE m = n
+"""
+
+
+@query("fk_candidates", CANDIDATES_SQL)
+def run_fk_candidates(t):
+    return fk_candidates(t.all())
+
+
 def _words(column: str) -> str:
     return f"replace({column}, '_', ' ')"
 
