@@ -42,6 +42,17 @@ def column_slot(slot_id: int, df: DataFrame, column: str, key=key_of) -> Slot:
     return Slot(slot_id, df, *key(quoted(column), column_type(df, column)))
 
 
+def columns_slot(slot_id: int, df: DataFrame, columns: tuple[str, ...]) -> Slot:
+    """Slot of several columns together; null where one of them is."""
+    typed = [key_of(quoted(c), column_type(df, c)) for c in columns]
+    if len(typed) == 1:
+        return Slot(slot_id, df, *typed[0])
+    complete = " AND ".join(f"{key} IS NOT NULL" for _, key in typed)
+    packed = ", ".join(f"'k{i}', {key}" for i, (_, key) in enumerate(typed))
+    name = "struct:" + ",".join(c for c, _ in typed)
+    return Slot(slot_id, df, name, f"CASE WHEN {complete} THEN named_struct({packed}) END")
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """Union of many frames, paired up so that the plan stays shallow."""
     while len(frames) > 1:

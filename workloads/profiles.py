@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from lakedoc.operators.columns import list_all_columns
 from lakedoc.operators.docs import is_outdated
 from lakedoc.operators.inclusion import fk_candidates
 from lakedoc.operators.keys import ForeignKey, fk_integrity
+from lakedoc.operators.lattice import composite_keys
 from lakedoc.operators.render import assemble_catalog
 from lakedoc.plans.catalog import build_catalog
 from lakedoc.plans.generated import generated_catalog
@@ -177,6 +181,32 @@ def composite_key(t):
     )
 
 
+def _keys_sql(table: str, most: int = 3) -> str:
+    """All minimal keys of up to ``most`` columns, every set counted."""
+    sets = [some for n in range(1, most + 1) for some in combinations(names_of(table), n)]
+    counted = " UNION ALL ".join(
+        f"SELECT {i} AS i, count(*) > 0 AND count(*) = count(DISTINCT row({', '.join(some)}))"
+        f" AND {' AND '.join(f'count(*) = count({c})' for c in some)} AS is_key FROM {table}"
+        for i, some in enumerate(sets)
+    )
+    lists = ", ".join(f"({i}, {list(some)!r}, '{', '.join(some)}')" for i, some in enumerate(sets))
+    return (
+        f"SELECT '{table}' AS table_name, s.names AS column_names, len(s.cols)::INT AS n_columns"
+        f" FROM ({counted}) c JOIN (VALUES {lists}) s(i, cols, names) USING (i) WHERE is_key AND"
+        f" NOT EXISTS (SELECT 1 FROM ({counted}) d JOIN (VALUES {lists}) p(i, cols, names) USING (i)"
+        " WHERE d.is_key AND len(p.cols) < len(s.cols) AND list_has_all(s.cols, p.cols))"
+    )
+
+
+KEYED = ("lineitem", "orders", "events", "conversations", "nation")
+
+
+@query("composite_keys", " UNION ALL ".join(map(_keys_sql, KEYED)))
+def find_composite_keys(t):
+    found = [composite_keys(getattr(t, name), name) for name in KEYED]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
 FKS = [
     ("orders", "o_custkey", "customer", "c_custkey"),
     ("lineitem", "l_orderkey", "orders", "o_orderkey"),
