@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakedoc.operators.joins import lookup_join
+
 from .common import stored
 
 
@@ -14,9 +16,9 @@ def components(links: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps: every node connects its larger neighbours,
     then its smaller ones, to the smallest node it knows. The number of rounds grows with
     the logarithm of a component's size. The minimum of a node's neighbours is aggregated
-    before the shuffle and joined back with an equi-join that has one row per node on one
-    side, so a node with very many links is split by adaptive execution. Every round is
-    stored, so a lost executor costs no earlier round.
+    before the shuffle and joined back by `lookup_join`, so a node with very many links is
+    split by adaptive execution. Every round is stored, so a lost executor costs no earlier
+    round.
     """
 
     def least(pairs: DataFrame) -> DataFrame:
@@ -35,7 +37,7 @@ def components(links: DataFrame) -> DataFrame:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: neighbours above a node go to the smallest node around it
         large = (
-            both.join(least(both).hint("merge"), "a")
+            lookup_join(both, least(both), ["a"])
             .where("b > a")
             .select(F.col("b").alias("a"), F.col("least").alias("b"))
             .distinct()
@@ -43,7 +45,7 @@ def components(links: DataFrame) -> DataFrame:
         # small star: what is below a node, and the node, go to the smallest below it
         below = least(large)
         small = (
-            large.join(below.hint("merge"), "a")
+            lookup_join(large, below, ["a"])
             .select(F.col("b").alias("a"), F.col("least").alias("b"))
             .unionByName(below.select("a", F.col("least").alias("b")))
             .where("a != b")

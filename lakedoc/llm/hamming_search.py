@@ -322,7 +322,7 @@ def nearest(
         found = found.join(rest.select(*_KEY).hint("merge"), _KEY, "left_anti").unionByName(again)
     entry = F.struct("rank", "vec_id", "score", "same")
     answers = stored(found.groupBy(*_KEY).agg(F.array_sort(F.collect_list(entry)).alias("found")), "answers")
-    joined = lookup_join(queries.select("vec_id", *_KEY), answers, _KEY)
+    joined = lookup_join(queries.select("vec_id", *_KEY), answers, _KEY, fresh=False)
     is_own = F.transform("found", lambda x: x["same"] & x["vec_id"].eqNullSafe(F.col("vec_id")))
     own = F.array_position(is_own, True)
     others = F.slice(F.filter("found", lambda x, i: i + 1 != own), 1, k)

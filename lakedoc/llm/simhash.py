@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lakedoc.operators.joins import lookup_join
+
 from .common import fresh, slices, stored, texts
 from .components import components
 
@@ -184,7 +186,7 @@ def near_groups(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = grouped.join(smallest.hint("merge"), "root").select("fp", "component_id")
+    named = lookup_join(grouped, smallest, ["root"]).select("fp", "component_id")
     # a frequent fingerprint is split by adaptive execution: ``named`` has one row for it
     return marked.join(named.hint("merge"), "fp").select(
         "doc_id",
