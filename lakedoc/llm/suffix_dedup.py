@@ -39,6 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakedoc.operators.joins import lookup_join
+
 from . import two_stage
 from .common import fresh, slices, stored, texts
 
@@ -314,7 +316,7 @@ def _from_strings(bodies: DataFrame, length: int) -> DataFrame:
         .where("n > 1")
         .select("one", "two")
     )
-    hits = strings.join(often.hint("merge"), ["one", "two"])
+    hits = lookup_join(strings, often, ["one", "two"])
     ordered = F.array_sort(F.collect_list("at"))
     ones = F.transform(ordered, lambda i: F.array(i.cast("int"), (i + 1).cast("int")))
     return hits.groupBy("anchor", "name").agg(F.flatten(ones).alias("ranges"))
@@ -377,7 +379,7 @@ def repeats(
         _list_anchors(length), "anchor long, k1 long, k2 long"
     )
     candidates = (
-        listed.join(anchors.hint("merge"), "anchor")
+        lookup_join(listed, anchors, ["anchor"])
         .groupBy("k1", "k2")
         .agg(F.collect_set("anchor").alias("anchors"))
     )
