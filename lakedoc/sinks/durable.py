@@ -3,24 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Store ``df`` in the checkpoint folder the session names and read it from there.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that ``spark.checkpoint.dir`` names, which all machines share.
 
-    Only where no folder is configured (tests, a local run) is a temporary one made.
+    Only a local session without that setting gets a temporary one. Nothing is set or
+    changed in the session.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get(SETTING, None) or context.getConf().get(SETTING)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError(f"set {SETTING} to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="lakedoc-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    root = spark.conf.get(SETTING, None) or context.getConf().get(SETTING) or context.getCheckpointDir()
+    if not root:
+        if not context.master.startswith("local"):
+            raise ValueError(f"set {SETTING} to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="lakedoc-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Store ``df`` as Parquet in a shared folder and read it from there."""
+    folder = shared_folder(df.sparkSession, "durable")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

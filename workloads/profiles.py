@@ -19,7 +19,9 @@ from lakedoc.operators.lattice import composite_keys
 from lakedoc.operators.render import assemble_catalog
 from lakedoc.plans.catalog import build_catalog
 from lakedoc.plans.generated import generated_catalog
+from lakedoc.plans.increments import profile_from_path, sketch_to_path
 from lakedoc.schemas import local_frame
+from lakedoc.sinks.durable import shared_folder
 from lakedoc.sources.files import list_datasets, scan_files
 
 from .base import TABLES, Tables, names_of, profile_sql, query, table_profile_sql, types_of
@@ -138,14 +140,37 @@ def profile_documented(t):
 # The sketched distinct count itself differs by design; all else is exact.
 @query(
     "profile_approx",
-    "SELECT table_name, column_name, total_count, null_count, null_ratio, is_unique FROM"
-    f" {table_profile_sql('orders', 'customer', 'part', 'lineitem')}",
+    "SELECT table_name, column_name, total_count, null_count, null_ratio, is_unique, profile_status"
+    f" FROM {table_profile_sql('orders', 'customer', 'part', 'lineitem')}",
 )
 def profile_approx(t):
     names = ("orders", "customer", "part", "lineitem")
-    return P.profile_database({n: getattr(t, n) for n in names}, approx=0.05).drop(
-        "distinct_count", "profile_status"
-    )
+    return P.profile_database({n: getattr(t, n) for n in names}, approx=0.05).drop("distinct_count")
+
+
+@query(
+    "profile_increments",
+    "SELECT table_name, column_name, total_count, null_count, null_ratio, distinct_count AS exact_count,"
+    " TRUE AS within_bounds, (SELECT count(DISTINCT year(o_orderdate)) FROM orders) AS parts"
+    f" FROM {table_profile_sql('orders')}",
+)
+def profile_increments(t):
+    """Orders by year: the first years are sketched, then the table grows to all of them."""
+    store = shared_folder(t.spark, "sketches")
+    year = F.year("o_orderdate")
+    middle = t.orders.agg(F.median(year)).first()[0]
+    first = sketch_to_path(t.orders.where(year <= middle), "orders", year, store)
+    then = sketch_to_path(t.orders, "orders", year, store)
+    if set(first) & set(then):
+        raise AssertionError("a part was read twice")
+    exact = P.profile_table(t.orders, "orders").select("column_name", F.col("distinct_count").alias("exact_count"))
+    # one row per column on both sides
+    found = profile_from_path(t.spark, store).join(F.broadcast(exact), "column_name")
+    within = F.col("exact_count").between(F.col("distinct_low"), F.col("distinct_high"))
+    return found.select(
+        "table_name", "column_name", "total_count", "null_count", "null_ratio", "exact_count",
+        within.alias("within_bounds"), "parts",
+    )
 
 
 @query(
