@@ -3,6 +3,10 @@
 Documentation is a long table, one row per documented key (see DOCS). A model or
 column that is listed without any documentation still has a row, with the key
 ``name``. Blank proposals count as no proposal.
+
+Models of several projects can have one name. Where both frames of an operation have the
+column ``project`` (see `docs_of_projects`), it is part of every key and of the result;
+otherwise names alone decide.
 """
 
 from __future__ import annotations
@@ -10,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.identity import project_of
 from ..functions.ratios import null_ratio
 from ..functions.text import dirname, is_blank
 from .joins import lookup_join
@@ -17,6 +22,30 @@ from .joins import lookup_join
 _KEY = ["model_name", "entity", "doc_key"]
 
 
+def _scope(*frames: DataFrame) -> list[str]:
+    """``["project"]`` if all frames tell projects apart, else nothing."""
+    return ["project"] if all("project" in df.columns for df in frames) else []
+
+
+def docs_of_projects(docs: DataFrame, manifests: DataFrame) -> DataFrame:
+    """DOCS plus ``project``: the innermost project whose root folder holds the file.
+
+    Paths are compared as they stand, folder by folder. Files outside all projects have
+    the project null, which equals no other.
+    """
+    roots = manifests.select(project_of(F.col("manifest_path")).alias("project")).distinct()
+    files = docs.select("file_path").distinct()
+    parts = F.split("file_path", "/")
+    folders = F.transform(
+        F.sequence(F.lit(0), F.size(parts) - 1),
+        lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"),
+    )
+    inside = files.select("file_path", F.explode(folders).alias("project")).where("project != ''")
+    found = lookup_join(inside, roots, ["project"], "left_semi")
+    inner = found.groupBy("file_path").agg(F.max_by("project", F.length("project")).alias("project"))
+    return lookup_join(docs, inner, ["file_path"], "left").select(*docs.columns, "project")
+
+
 def _entity() -> Column:
     """Join key for "this column, or the model itself"."""
     return F.coalesce(F.concat(F.lit("c:"), F.col("column_name")), F.lit("m"))
@@ -24,29 +53,37 @@ def _entity() -> Column:
 
 def models_to_update(proposals: DataFrame, docs: DataFrame) -> DataFrame:
     """Models with proposals that are documented."""
-    return _model_names(proposals).join(_model_names(docs), "model_name", "left_semi")
+    scope = _scope(proposals, docs)
+    names = [_model_names(df, scope) for df in (proposals, docs)]
+    return names[0].join(names[1], [*scope, "model_name"], "left_semi")
 
 
 def models_to_create(proposals: DataFrame, docs: DataFrame) -> DataFrame:
     """Models with proposals that are documented nowhere."""
-    return _model_names(proposals).join(_model_names(docs), "model_name", "left_anti")
+    scope = _scope(proposals, docs)
+    names = [_model_names(df, scope) for df in (proposals, docs)]
+    return names[0].join(names[1], [*scope, "model_name"], "left_anti")
 
 
-def _model_names(df: DataFrame) -> DataFrame:
-    return df.select("model_name").distinct()
+def _model_names(df: DataFrame, scope: list[str]) -> DataFrame:
+    return df.select(*scope, "model_name").distinct()
 
 
 def model_file_map(docs: DataFrame) -> DataFrame:
-    """``model_name, file_path``; of several files the greatest path wins."""
-    return docs.groupBy("model_name").agg(F.max("file_path").alias("file_path"))
+    """``model_name, file_path`` (per project); of several files the greatest path wins."""
+    return _file_map(docs, _scope(docs))
+
 
+def _file_map(docs: DataFrame, scope: list[str]) -> DataFrame:
+    return docs.groupBy(*scope, "model_name").agg(F.max("file_path").alias("file_path"))
 
-def _effective_proposals(proposals: DataFrame) -> DataFrame:
+
+def _effective_proposals(proposals: DataFrame, scope: list[str]) -> DataFrame:
     """One non-blank proposal per key; repeated proposals collapse before the shuffle."""
     return (
         proposals.filter(~is_blank(F.col("proposed_value")))
         .withColumn("entity", _entity())
-        .groupBy(*_KEY)
+        .groupBy(*scope, *_KEY)
         .agg(
             F.min("proposed_value").alias("proposed_value"),
             F.first("column_name", ignorenulls=True).alias("proposed_column"),
@@ -61,19 +98,22 @@ def fill_docs(docs: DataFrame, proposals: DataFrame) -> DataFrame:
     already listed are filled (for others see `doc_stubs`). If several files list a
     model, the one of `model_file_map` is the one that is filled.
     """
-    wanted = _effective_proposals(proposals)
-    files = model_file_map(docs).select(
-        F.col("model_name"), F.col("file_path").alias("owner_file")
-    )
-    owned = lookup_join(docs.withColumn("entity", _entity()), files, ["model_name"]).withColumn(
+    scope = _scope(docs, proposals)
+    key = [*scope, *_KEY]
+    wanted = _effective_proposals(proposals, scope)
+    files = _file_map(docs, scope).withColumnRenamed("file_path", "owner_file")
+    marked = docs.withColumn("entity", _entity())
+    owned = lookup_join(marked, files, [*scope, "model_name"], "left").withColumn(
         "fillable",
-        (F.col("node_type") == "models") & (F.col("file_path") == F.col("owner_file")),
+        F.coalesce(
+            (F.col("node_type") == "models") & (F.col("file_path") == F.col("owner_file")), F.lit(False)
+        ),
     )
     blank = (
         F.col("fillable") & is_blank(F.col("doc_value")) & F.col("proposed_value").isNotNull()
     )
     columns = docs.columns
-    present = owned.join(wanted.drop("proposed_column"), _KEY, "left").select(
+    present = owned.join(wanted.drop("proposed_column"), key, "left").select(
         *[
             F.when(blank, F.col("proposed_value")).otherwise(F.col(c)).alias(c)
             if c == "doc_value"
@@ -83,15 +123,19 @@ def fill_docs(docs: DataFrame, proposals: DataFrame) -> DataFrame:
         blank.alias("changed"),
     )
     listed = owned.filter("fillable")
-    absent = wanted.join(listed.select(*_KEY).distinct(), _KEY, "left_anti")
-    homes = listed.groupBy("model_name", "entity").agg(F.max("file_path").alias("file_path"))
-    added = absent.join(homes, ["model_name", "entity"]).select(
-        F.lit("models").alias("node_type"),
-        "model_name",
-        F.col("proposed_column").alias("column_name"),
-        "doc_key",
-        F.col("proposed_value").alias("doc_value"),
-        "file_path",
+    absent = wanted.join(listed.select(*key).distinct(), key, "left_anti")
+    homes = listed.groupBy(*scope, "model_name", "entity").agg(F.max("file_path").alias("file_path"))
+    values = {
+        "node_type": F.lit("models"),
+        "column_name": F.col("proposed_column"),
+        "doc_value": F.col("proposed_value"),
+    }
+    own = [*scope, "model_name", "doc_key", "file_path", *values]
+    added = absent.join(homes, [*scope, "model_name", "entity"]).select(
+        *[
+            values.get(c, F.col(c)).alias(c) if c in own else F.lit(None).cast(docs.schema[c].dataType).alias(c)
+            for c in columns
+        ],
         F.lit(True).alias("changed"),
     )
     return present.unionByName(added)
@@ -99,13 +143,15 @@ def fill_docs(docs: DataFrame, proposals: DataFrame) -> DataFrame:
 
 def check_docs(docs: DataFrame, proposals: DataFrame) -> DataFrame:
     """FINDINGS: one per key that could be filled, one per undocumented model."""
+    scope = _scope(docs, proposals)
     values = (
         fill_docs(docs, proposals)
         .filter("changed")
-        .select("model_name", "column_name", "doc_key", F.lit("missing_value").alias("finding"))
+        .select(*scope, "model_name", "column_name", "doc_key", F.lit("missing_value").alias("finding"))
     )
     none = F.lit(None).cast("string")
     models = models_to_create(proposals, docs).select(
+        *scope,
         "model_name",
         none.alias("column_name"),
         none.alias("doc_key"),
@@ -116,9 +162,10 @@ def check_docs(docs: DataFrame, proposals: DataFrame) -> DataFrame:
 
 def drift_findings(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """FINDINGS of described columns whose verdict is DRIFT; nothing is changed."""
+    scope = _scope(docs, verdicts)
     drifted = (
         verdicts.filter(F.col("verdict") == "DRIFT")
-        .select("model_name", "column_name")
+        .select(*scope, "model_name", "column_name")
         .distinct()
     )
     described = docs.filter(
@@ -127,8 +174,8 @@ def drift_findings(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
         & F.col("column_name").isNotNull()
         & ~is_blank(F.col("doc_value"))
     )
-    return described.join(drifted, ["model_name", "column_name"], "left_semi").select(
-        "model_name", "column_name", "doc_key", F.lit("drift").alias("finding")
+    return described.join(drifted, [*scope, "model_name", "column_name"], "left_semi").select(
+        *scope, "model_name", "column_name", "doc_key", F.lit("drift").alias("finding")
     )
 
 
@@ -141,7 +188,9 @@ def doc_stubs(proposals: DataFrame, docs: DataFrame) -> DataFrame:
     """
     folder = dirname(F.col("original_file_path"))
     target = F.when(folder == "", "schema.yml").otherwise(F.concat(folder, F.lit("/schema.yml")))
-    stubs = lookup_join(proposals, _model_names(docs), ["model_name"], "left_anti").filter(
+    scope = _scope(proposals, docs)
+    models = _model_names(docs, scope)
+    stubs = lookup_join(proposals, models, [*scope, "model_name"], "left_anti").filter(
         ~F.coalesce(F.col("original_file_path") == "", F.lit(True))
     )
     known = docs.select(F.col("file_path").alias("target_file")).distinct()
@@ -153,6 +202,7 @@ def doc_stubs(proposals: DataFrame, docs: DataFrame) -> DataFrame:
     )
     value = F.col("proposed_value")
     return located.select(
+        *scope,
         "target_file",
         F.when(F.col("known"), "append").otherwise("create").alias("action"),
         "model_name",
@@ -167,9 +217,10 @@ def review(proposals: DataFrame, decisions: DataFrame) -> DataFrame:
 
     An edited text of just ``s`` skips, as at a prompt.
     """
+    key = [*_scope(proposals, decisions), *_KEY]
     decided = (
         decisions.withColumn("entity", _entity())
-        .groupBy(*_KEY)
+        .groupBy(*key)
         .agg(F.max(F.struct("decision", "edited_value")).alias("choice"))
     )
     edited = F.col("choice.edited_value")
@@ -179,7 +230,7 @@ def review(proposals: DataFrame, decisions: DataFrame) -> DataFrame:
     )
     return (
         proposals.withColumn("entity", _entity())
-        .join(decided, _KEY, "left")
+        .join(decided, key, "left")
         .filter(~skipped)
         .withColumn(
             "proposed_value", F.when(is_edit, edited).otherwise(F.col("proposed_value"))

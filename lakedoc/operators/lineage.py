@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import formats as fmt
+from ..functions.identity import project_of, qualified_id
 from ..schemas import local_frame
 from .longform import union_all
 
@@ -77,10 +78,56 @@ def lineage_edges(fks: DataFrame, deps: DataFrame) -> DataFrame:
     return keys.unionByName(logical).distinct()
 
 
-def node_line(nodes_id: Column, style: Column) -> Column:
+def _origin(fks: DataFrame) -> Column:
+    """Where the tables of foreign keys belong, as far as the keys tell it."""
+    known = [F.col(c) for c in ("source", "table_schema") if c in fks.columns]
+    return F.concat_ws("/", *known) if known else F.lit("")
+
+
+def _parent_kind() -> Column:
+    return F.when(F.col("dep_kind") == "source", "source").otherwise("box")
+
+
+def qualified_nodes(fks: DataFrame, models: DataFrame, deps: DataFrame) -> DataFrame:
+    """NODES plus ``origin``: objects of unlike origin or kind are nodes of their own."""
+    project = project_of(F.col("manifest_path"))
+    ends = [
+        fks.select(F.lit("db").alias("style"), _origin(fks).alias("origin"), F.col(c).alias("label"))
+        for c in ("source_table", "target_table")
+    ]
+    named = [
+        models.select(F.lit("box").alias("style"), project.alias("origin"), F.col("name").alias("label")),
+        deps.select(F.lit("box").alias("style"), project.alias("origin"), F.col("model_name").alias("label")),
+        deps.select(_parent_kind().alias("style"), project.alias("origin"), F.col("dependency").alias("label")),
+    ]
+    nodes = union_all([*ends, *named]).where("label IS NOT NULL").distinct()
+    return nodes.select(qualified_id(F.col("style"), F.col("origin"), F.col("label")).alias("id"), "label", "style", "origin")
+
+
+def qualified_edges(fks: DataFrame, deps: DataFrame) -> DataFrame:
+    """EDGES between the nodes of `qualified_nodes`; the id is made of both ends and the label."""
+    project, origin = project_of(F.col("manifest_path")), _origin(fks)
+    keys = fks.select(
+        qualified_id("db", origin, F.col("source_table")).alias("source"),
+        qualified_id("db", origin, F.col("target_table")).alias("target"),
+        F.lit(fmt.FK_LABEL).alias("label"),
+    )
+    logical = deps.select(
+        qualified_id(_parent_kind(), project, F.col("dependency")).alias("source"),
+        qualified_id("box", project, F.col("model_name")).alias("target"),
+        F.lit("").alias("label"),
+    )
+    edges = keys.unionByName(logical).distinct()
+    return edges.select(
+        qualified_id(F.col("source"), F.col("target"), F.col("label")).alias("id"), "source", "target", "label"
+    )
+
+
+def node_line(nodes_id: Column, style: Column, label: Column | None = None) -> Column:
     line = F.lit(None).cast("string")
+    shown = nodes_id if label is None else label
     for name, pattern in fmt.NODE_FORMATS.items():
-        line = F.when(style == name, F.format_string(pattern, nodes_id, nodes_id)).otherwise(line)
+        line = F.when(style == name, F.format_string(pattern, nodes_id, shown)).otherwise(line)
     return line
 
 
@@ -101,7 +148,7 @@ def lineage_mermaid(nodes: DataFrame, edges: DataFrame, doc_name: str = "lineage
         F.lit(1).alias("section"),
         F.col("id").alias("part"),
         F.lit(0).cast("long").alias("ordinal"),
-        node_line(F.col("id"), F.col("style")).alias("line"),
+        node_line(F.col("id"), F.col("style"), F.col("label")).alias("line"),
     )
     source, target, label = F.col("source"), F.col("target"), F.col("label")
     edge_lines = edges.select(

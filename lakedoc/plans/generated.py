@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import prompts
 from ..functions.formats import MAX_TOKENS
+from ..functions.identity import project_of
 from ..functions.text import is_blank, profile_text, verdict
 from ..operators.columns import column_list
 from ..operators.docs import plan_columns
@@ -118,10 +119,11 @@ def model_prompts(models: DataFrame, columns: DataFrame) -> DataFrame:
 def generated_proposals(
     models: DataFrame, columns: DataFrame, fn: Generator, partitions: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """``(PROPOSALS, charts)`` of models from a generator's answers.
+    """``(PROPOSALS, charts)`` of models from a generator's answers, with their ``project``.
 
     A failed call gives no proposal; its ``error`` is kept with the charts: all rows of
-    the answers that failed have a null chart.
+    the answers that failed have a null chart, and ``kind`` and ``column_name`` tell what
+    was asked.
     """
     answers = generate(model_prompts(models, columns), fn, partitions=partitions, keep=True)
     summaries = answers.filter("kind = 'model' AND answer IS NOT NULL").select(
@@ -149,11 +151,15 @@ def generated_proposals(
     paths = models.groupBy("manifest_path", F.col("name").alias("model_name")).agg(
         F.max("original_file_path").alias("original_file_path")
     )
+    project = project_of(F.col("manifest_path")).alias("project")
     proposals = lookup_join(
         summaries.unionByName(fields), paths, ["manifest_path", "model_name"]
-    ).drop("manifest_path")
+    ).select("model_name", "column_name", "doc_key", "proposed_value", "original_file_path", project)
     charts = answers.filter("kind = 'lineage' OR error IS NOT NULL").select(
+        project,
+        "kind",
         F.col("node").alias("name"),
+        "column_name",
         F.when(F.col("kind") == "lineage", F.col("answer")).alias("chart"),
         "error",
     )

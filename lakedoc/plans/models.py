@@ -6,9 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.docs import plan_columns
-from ..operators.lineage import lineage_edges, lineage_mermaid, lineage_nodes
+from ..operators.lineage import (
+    lineage_edges,
+    lineage_mermaid,
+    lineage_nodes,
+    qualified_edges,
+    qualified_nodes,
+)
 from ..operators.longform import union_all
 from ..operators.manifest import model_columns, model_deps, models_of
+from ..functions.identity import project_of
 from ..functions.text import is_blank
 from ..operators.joins import lookup_join
 from ..operators.rules import describe_models, drift_verdict, pii_name, tags_of, tests_of
@@ -18,6 +25,10 @@ class DocumentationError(Exception):
     """Documentation is missing or contradicts the data."""
 
 
+def _with_project(df: DataFrame) -> DataFrame:
+    return df.withColumn("project", project_of(F.col("manifest_path")))
+
+
 def _json_list(items: Column) -> Column:
     """The list as JSON; an empty one is no proposal."""
     return F.when(F.size(items) > 0, F.to_json(items))
@@ -31,22 +42,29 @@ def model_proposals(
 ) -> DataFrame:
     """PROPOSALS: a summary per model, and for every undescribed column a description,
     ``meta``, ``tags`` and ``tests`` (the last need the profile of the data).
+
+    Rows with a ``manifest_path`` give proposals with their ``project``, so that models of
+    one name stay apart; a profile with a ``project`` is joined by it, too.
     """
     keys = ["model_name", "column_name", "doc_key", "proposed_value", "original_file_path"]
+    if "manifest_path" in models.columns and "manifest_path" in columns.columns:
+        keys.append("project")
+        models, columns = (_with_project(df) for df in (models, columns))
     summaries = describe_models(models).select(
         F.col("name").alias("model_name"),
         F.lit(None).cast("string").alias("column_name"),
         F.lit("description").alias("doc_key"),
         F.col("summary").alias("proposed_value"),
-        "original_file_path",
+        *keys[4:],
     )
     wanted = plan_columns(columns, drift=False).filter(F.col("action") == "propose")
     unique, nulls = F.lit(None).cast("boolean"), F.lit(None).cast("long")
     if profile is not None:
+        scope = ["project"] if "project" in profile.columns and "project" in keys else []
         facts = profile.select(
-            F.col("table_name").alias("model_name"), "column_name", "is_unique", "null_count"
+            *scope, F.col("table_name").alias("model_name"), "column_name", "is_unique", "null_count"
         )
-        wanted = wanted.join(facts, ["model_name", "column_name"], "left")
+        wanted = wanted.join(facts, [*scope, "model_name", "column_name"], "left")
         unique, nulls = F.col("is_unique"), F.col("null_count")
     name = F.col("column_name")
     words = F.replace(name, F.lit("_"), F.lit(" "))
@@ -65,7 +83,7 @@ def model_proposals(
         ]
     )
     columns_long = wanted.select(
-        "model_name", "column_name", "original_file_path", F.inline(entries)
+        "model_name", "column_name", *keys[4:], F.inline(entries)
     )
     return union_all(
         [summaries, columns_long.select(*keys).filter(F.col("proposed_value").isNotNull())]
@@ -77,7 +95,7 @@ def document_models(
     profile: DataFrame | None = None,
     tag_rules: list[tuple[str, str]] = (),
 ) -> DataFrame:
-    """PROPOSALS straight from parsed manifests."""
+    """PROPOSALS straight from parsed manifests, with their ``project``."""
     return model_proposals(
         models_of(manifests), model_columns(manifests), profile, tag_rules
     )
@@ -87,13 +105,15 @@ def model_drift(manifests: DataFrame, profile: DataFrame) -> DataFrame:
     """Drift verdicts of the columns that the manifests describe, from their profiles.
 
     One row per described column with its ``manifest_path``; where profiling gave nothing
-    the verdict is MATCH. `lakedoc.plans.generated.generated_verdicts` asks a generator.
+    the verdict is MATCH. A profile with a ``project`` is joined by it, too.
+    `lakedoc.plans.generated.generated_verdicts` asks a generator.
     """
-    columns = model_columns(manifests).filter(~is_blank(F.col("description")))
+    columns = _with_project(model_columns(manifests)).filter(~is_blank(F.col("description")))
+    scope = ["project"] if "project" in profile.columns else []
     facts = profile.select(
-        F.col("table_name").alias("model_name"), "column_name", "is_unique", "distinct_count"
+        *scope, F.col("table_name").alias("model_name"), "column_name", "is_unique", "distinct_count"
     )
-    return lookup_join(columns, facts, ["model_name", "column_name"], "left").select(
+    return lookup_join(columns, facts, [*scope, "model_name", "column_name"], "left").select(
         "manifest_path",
         "model_name",
         "column_name",
@@ -119,6 +139,21 @@ def lineage_of_project(
     return build_lineage(fks, models_of(manifests), model_deps(manifests))
 
 
+def qualified_lineage(
+    fks: DataFrame, manifests: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lineage of many databases and projects whose objects can have equal names.
+
+    Like `lineage_of_project`, but a table is one of its source and schema (where the keys
+    tell them), a model or source one of its project, and ids are surrogates of kind,
+    origin and name (`qualified_id`); ``label`` is the name to show and ``origin`` where it
+    belongs. Nothing is merged because it is called alike.
+    """
+    nodes = qualified_nodes(fks, models_of(manifests), model_deps(manifests))
+    edges = qualified_edges(fks, model_deps(manifests))
+    return nodes, edges, lineage_mermaid(nodes, edges)
+
+
 def gate(findings: DataFrame) -> None:
     """Raise if there is any finding, or a row with an ``error``; for scheduled checks."""
     if "error" in findings.columns:

@@ -78,7 +78,8 @@ def test_proposals_from_a_manifest(spark, project):
         "table_name string, column_name string, is_unique boolean, null_count long",
     )
     got = document_models(scan_manifests(spark, str(project)), facts, [("id$", "key")])
-    proposed = {(m, c, k): v for m, c, k, v, _ in rows(got)}
+    proposed = {(m, c, k): v for m, c, k, v, _, _ in rows(got)}
+    assert {str(project)} == {p.removeprefix("file:") for (p,) in rows(got.select("project").distinct())}
     assert proposed["customers", "z_id", "tests"] == '["unique","not_null"]'
     assert proposed["customers", "z_id", "tags"] == '["key"]'
     assert ("customers", "a", "tests") not in proposed  # nothing to propose

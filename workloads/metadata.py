@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lakedoc.functions import prompts
 from lakedoc.functions.formats import MAX_TOKENS
-from lakedoc.functions.text import basename, dirname, escape_quotes, strip_fences, verdict
+from lakedoc.functions.text import basename, dirname, escape_quotes, is_blank, strip_fences, verdict
 from lakedoc.operators import columns as C
 from lakedoc.operators import docs as D
 from lakedoc.operators import keys as K
@@ -15,8 +15,15 @@ from lakedoc.operators import manifest as M
 from lakedoc.operators import render as R
 from lakedoc.operators import rules
 from lakedoc.operators.generate import generate, json_metadata, parse_yaml_metadata
+from lakedoc.operators.joins import lookup_join
 from lakedoc.plans.generated import generated_proposals
-from lakedoc.plans.models import build_lineage, document_models, lineage_of_project, model_drift
+from lakedoc.plans.models import (
+    build_lineage,
+    document_models,
+    lineage_of_project,
+    model_drift,
+    qualified_lineage,
+)
 from lakedoc.sources.manifests import parse_manifests
 
 from . import frames as f
@@ -205,6 +212,39 @@ def docs_fill(t):
     return D.fill_docs(f.docs(t), f.proposals(t))
 
 
+# In SQL the project is the first part of the model's name, and is cut off at the end.
+_BOTH = (
+    ", both_docs AS (SELECT node_type, 'a/' || model_name AS model_name, column_name, doc_key,"
+    " doc_value, file_path FROM docs UNION ALL SELECT node_type, 'b/' || model_name, column_name,"
+    " doc_key, CASE WHEN doc_key = 'name' THEN doc_value ELSE ' ' END, file_path FROM docs),"
+    " both_good AS (SELECT 'a/' || model_name AS model_name, column_name, doc_key, proposed_value"
+    f" FROM proposals WHERE NOT {blank_sql('proposed_value')} UNION ALL SELECT 'b/' || model_name,"
+    " column_name, doc_key, 'In b: ' || proposed_value FROM proposals WHERE NOT"
+    f" {blank_sql('proposed_value')})"
+)
+
+
+@query(
+    "docs_fill_projects",
+    with_(
+        f.DOCS_SQL + _BOTH,
+        "SELECT * REPLACE (model_name[3:] AS model_name), model_name[1:1] AS project FROM ("
+        + _FILLED.replace("FROM docs", "FROM both_docs").replace("JOIN good", "JOIN both_good").replace("FROM good", "FROM both_good")
+        + ")",
+    ),
+)
+def docs_fill_projects(t):
+    """Two projects with models of the same names; in ``b`` nothing is documented yet."""
+    docs, proposals = f.docs(t), f.proposals(t)
+    empty = F.when(c("doc_key") == "name", c("doc_value")).otherwise(" ")
+    told = F.concat(F.lit("In b: "), c("proposed_value"))
+    in_a, in_b = F.lit("a").alias("project"), F.lit("b").alias("project")
+    both_docs = docs.select("*", in_a).unionByName(docs.withColumn("doc_value", empty).select("*", in_b))
+    good = proposals.where(~is_blank(c("proposed_value")))
+    both = good.select("*", in_a).unionByName(good.withColumn("proposed_value", told).select("*", in_b))
+    return D.fill_docs(both_docs, both)
+
+
 _CHECK = (
     f"SELECT model_name, column_name, doc_key, 'missing_value' AS finding FROM ({_FILLED})"
     " WHERE changed UNION ALL SELECT DISTINCT model_name, NULL, NULL, 'missing_model' FROM"
@@ -415,8 +455,8 @@ def manifest_deps(t):
 
 _META = " ".join(
     [
-        "SELECT model_name, column_name, doc_key, value AS proposed_value, original_file_path FROM",
-        "(SELECT 'doc_' || doc_id AS model_name, 'models/' || lang || '/doc_' || doc_id || '.sql'",
+        "SELECT model_name, column_name, doc_key, value AS proposed_value, original_file_path, project FROM",
+        "(SELECT 'p/' || doc_id AS project, 'doc_' || doc_id AS model_name, 'models/' || lang || '/doc_' || doc_id || '.sql'",
         f"AS original_file_path, text, lang, source FROM {_PROJECTS}) m, LATERAL (",
         "SELECT NULL AS column_name, 'description' AS doc_key, CASE WHEN lang = 'fr' THEN model_name",
         "|| ' is derived from fr_base, ' || source || '.fr.' ELSE model_name ||",
@@ -596,6 +636,28 @@ def graph_json(t):
     return L.lineage_json(nodes, edges)
 
 
+@query(
+    "qualified_lineage",
+    with_(
+        f.LINEAGE_SQL,
+        "SELECT 'db' AS s_style, source_table AS s_label, 'db' AS t_style, target_table AS t_label,"
+        " 'FK' AS label, '' AS origin FROM (SELECT DISTINCT source_table, target_table FROM fks)"
+        " UNION ALL SELECT 'box', lang || '_base', 'box', 'doc_' || doc_id, '', 'p/' || doc_id"
+        " FROM documents WHERE lang <> 'de' UNION ALL SELECT 'source', source || '.' || lang,"
+        " 'box', 'doc_' || doc_id, '', 'p/' || doc_id FROM documents WHERE lang <> 'de'",
+    ),
+)
+def run_qualified_lineage(t):
+    """Edges with the names of their ends: every project has its own ``fr_base``."""
+    nodes, edges, _ = qualified_lineage(f.fks(t).drop("source", "table_schema"), parse_manifests(f.manifest_texts(t)))
+    end = lambda side: nodes.select(
+        c("id").alias({"s": "source", "t": "target"}[side]), c("style").alias(f"{side}_style"),
+        c("label").alias(f"{side}_label"), c("origin").alias(f"{side}_origin"),
+    )
+    named = lookup_join(lookup_join(edges.drop("id"), end("s"), ["source"]), end("t"), ["target"])
+    return named.select("s_style", "s_label", "t_style", "t_label", "label", c("t_origin").alias("origin"))
+
+
 @query(
     "project_lineage",
     with_(
@@ -923,14 +985,14 @@ _MODEL_PROMPT_LENGTH = (
 
 @query(
     "generated_proposals",
-    "WITH m AS (SELECT 'doc_' || doc_id AS name, CASE WHEN lang = 'fr' THEN 'select * from"
+    "WITH m AS (SELECT 'p/' || doc_id AS project, 'doc_' || doc_id AS name, CASE WHEN lang = 'fr' THEN 'select * from"
     " {{ ref(''fr_base'') }}, {{ source(''' || source || ''', ''fr'') }}' ELSE"
     " '-- SQL code not available --' END AS raw_sql, 'models/' || lang || '/doc_' || doc_id ||"
     f" '.sql' AS original_file_path FROM {_PROJECTS} d) SELECT name AS model_name, NULL AS"
     f" column_name, 'description' AS doc_key, 'words: ' || {_MODEL_PROMPT_LENGTH} AS"
-    " proposed_value, original_file_path FROM m UNION ALL SELECT name, 'doc_id', v.k, CASE v.k"
+    " proposed_value, original_file_path, project FROM m UNION ALL SELECT name, 'doc_id', v.k, CASE v.k"
     f" WHEN 'description' THEN 'Text ' || {_METADATA_PROMPT_LENGTH} WHEN 'meta' THEN"
-    " '{\"pii\":false}' ELSE '[\"a\",\"250\"]' END, original_file_path FROM m,"
+    " '{\"pii\":false}' ELSE '[\"a\",\"250\"]' END, original_file_path, project FROM m,"
     " (VALUES ('description'), ('meta'), ('tags')) v(k)",
 )
 def run_generated_proposals(t):
