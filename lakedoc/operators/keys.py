@@ -40,7 +40,8 @@ def foreign_keys(
     ``ordinal_position``. Without positions the pairing is unknown; such a key is one row
     that lists the columns of each side, in order of name. A constraint name may occur on
     several tables: where the constraints name the table it tells the keys apart, and the
-    parent extract may carry the child's name as ``constraint_table``.
+    parent extract may carry the child's name as ``constraint_table``. Without that, keys
+    of one name are paired across their tables; `ambiguous_keys` lists them.
     """
     keys = constraints.filter(F.col("constraint_type") == "FOREIGN KEY")
     if schema is not None:
@@ -79,6 +80,19 @@ def foreign_keys(
     )
 
 
+def ambiguous_keys(key_usage: DataFrame, ref_usage: DataFrame) -> DataFrame:
+    """Keys that the extracts cannot tell apart: ``source, table_schema, constraint_name, tables``.
+
+    One name on several child tables, with a parent extract that does not say which child
+    it means. What `foreign_keys` gives for them includes pairs that nobody declared.
+    """
+    if "constraint_table" in ref_usage.columns:
+        ref_usage = ref_usage.where(F.col("constraint_table").isNull())
+    children = key_usage.select(*_CONSTRAINT, "table_name").distinct()
+    several = children.groupBy(*_CONSTRAINT).agg(F.count(F.lit(1)).alias("tables")).where("tables > 1")
+    return lookup_join(several, ref_usage.select(*_CONSTRAINT).distinct(), _CONSTRAINT, "left_semi")
+
+
 def fks_from_constraint_lists(constraints: DataFrame) -> DataFrame:
     """FKS rows from constraints that list their columns in arrays.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators.docs import plan_columns
@@ -154,6 +154,10 @@ def qualified_lineage(
     return nodes, edges, lineage_mermaid(nodes, edges)
 
 
+#: The kinds of findings that the operators make.
+FINDINGS = ("missing_value", "missing_model", "drift")
+
+
 def gate(findings: DataFrame) -> None:
     """Raise if there is any finding, or a row with an ``error``; for scheduled checks."""
     if "error" in findings.columns:
@@ -164,3 +168,26 @@ def gate(findings: DataFrame) -> None:
     if not findings.isEmpty():
         kinds = findings.groupBy("finding").count().orderBy("finding").toLocalIterator()
         raise DocumentationError(", ".join(f"{r['count']} x {r['finding']}" for r in kinds))
+
+
+def write_gated(findings: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
+    """Write the findings, then raise as `gate` does if there are any.
+
+    What is written is counted while it passes, so the check costs no job of its own, and
+    the report is there for whoever has to act on it.
+    """
+    seen = Observation()
+    kinds = {f"n{i}": F.count_if(F.col("finding") == kind) for i, kind in enumerate(FINDINGS)}
+    if "error" in findings.columns:
+        kinds |= {"failed": F.count("error"), "first_error": F.min("error")}
+    counted = findings.observe(
+        seen, F.count("finding").alias("total"), *[count.alias(name) for name, count in kinds.items()]
+    )
+    counted.write.mode(mode).format(fmt).save(path)
+    found = seen.get
+    if found.get("failed"):
+        raise DocumentationError(f"calls failed, among them: {found['first_error']}")
+    if found["total"]:
+        known = [(kind, found[f"n{i}"]) for i, kind in enumerate(FINDINGS)]
+        known.append(("other", found["total"] - sum(n for _, n in known)))
+        raise DocumentationError(", ".join(f"{n} x {kind}" for kind, n in sorted(known) if n))

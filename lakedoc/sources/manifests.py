@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import spark_uri
+
 _NODE = (
     "struct<resource_type:string,name:string,source_name:string,description:string,"
     "path:string,original_file_path:string,raw_code:string,raw_sql:string,"
@@ -38,7 +40,7 @@ def scan_manifests(spark: SparkSession, paths: str | list[str], strict: bool = F
     paths = [paths] if isinstance(paths, str) else paths
     files = [p if p.endswith(".json") else p.rstrip("/") + "/target/manifest.json" for p in paths]
     try:
-        texts = spark.read.text(files, wholetext=True)
+        texts = spark.read.text([spark_uri(file) for file in files], wholetext=True)
     except AnalysisException as problem:
         raise FileNotFoundError(
             f"no manifest at {', '.join(files)}; compile the project first"

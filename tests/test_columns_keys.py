@@ -270,3 +270,16 @@ def test_integrity_with_a_hot_key(spark):
     tables = {"child": child, "parent": spark.range(100)}
     fk = K.ForeignKey("child", ("k",), "parent", ("id",))
     assert fk_rows(tables, fk) == [(9000, 0, 3000, 1, 0.33)]
+
+
+def test_ambiguous_keys_are_listed(spark):
+    ddl = "source string, table_schema string, constraint_name string, table_name string, column_name string"
+    usage = spark.createDataFrame(
+        [("d", "s", "fk", "a", "x"), ("d", "s", "fk", "b", "x"), ("d", "s", "own", "a", "y"), ("d", "t", "fk", "a", "x")], ddl
+    )
+    parents = spark.createDataFrame(
+        [("d", "s", "fk", "p", "id"), ("d", "s", "own", "p", "id"), ("d", "t", "fk", "p", "id")], ddl
+    )
+    assert rows(K.ambiguous_keys(usage, parents)) == [("d", "s", "fk", 2)]
+    named = parents.withColumn("constraint_table", F.lit("a"))
+    assert rows(K.ambiguous_keys(usage, named)) == []

@@ -2,7 +2,7 @@ import pytest
 
 from lakedoc.operators import docs as D
 from lakedoc.operators.rules import drift_verdicts
-from lakedoc.plans.models import DocumentationError, gate
+from lakedoc.plans.models import DocumentationError, gate, write_gated
 from lakedoc.schemas import local_frame
 from tests.conftest import rows
 
@@ -132,6 +132,28 @@ def test_gate(spark, listed, wanted):
     gate(D.check_docs(D.fill_docs(listed, wanted).drop("changed"), wanted))
 
 
+def test_gated_write_counts_while_it_writes(spark, tmp_path, listed, wanted):
+    path = str(tmp_path / "findings")
+    findings = D.check_docs(listed, wanted)
+    findings.write.parquet(str(tmp_path / "stored"))
+    stored = spark.read.parquet(str(tmp_path / "stored"))
+    spark.sparkContext.setJobGroup("gated", "")
+    try:
+        with pytest.raises(DocumentationError, match="^2 x missing_value$"):
+            write_gated(stored, path)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("gated")) == 1
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert rows(spark.read.parquet(path)) == rows(findings)
+    write_gated(findings.limit(0), path)
+    assert spark.read.parquet(path).count() == 0
+    odd = local_frame(spark, [("m", "odd", None), ("m", None, "timeout"), ("m", "drift", None)], "model_name string, finding string, error string")
+    with pytest.raises(DocumentationError, match="timeout"):
+        write_gated(odd, path)
+    with pytest.raises(DocumentationError, match="^1 x drift, 1 x other$"):
+        write_gated(odd.drop("error"), path)
+
+
 def test_stubs_append_create_or_nothing(spark, listed):
     new = proposals(
         spark,
