@@ -8,6 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakedoc.functions.formats import MAX_TOKENS
 from lakedoc.functions.text import profile_text
 from lakedoc.operators import profile as P
 from lakedoc.operators import rules
@@ -603,22 +604,44 @@ _COLUMN_JSON = (
 )
 
 
+# English documents stand for views (with their text as definition), orders for keys.
+_VIEWS = "SELECT 'doc_' || doc_id AS name, coalesce(text, '') AS definition FROM documents WHERE lang = 'en'"
+_KEYS = (
+    "SELECT 'order_' || o_orderkey AS name, 'custkey' AS source_column, 'customer_' || o_custkey AS"
+    " target_table, 'c_custkey' AS target_column FROM orders"
+)
+
+
+def catalog_views(t: Tables) -> DataFrame:
+    english = t.documents.filter("lang = 'en'")
+    return english.selectExpr("concat('doc_', doc_id) AS view_name", "coalesce(text, '') AS definition")
+
+
+def catalog_keys(t: Tables) -> DataFrame:
+    return t.orders.selectExpr(
+        "concat('order_', o_orderkey) AS source_table", "'custkey' AS source_column",
+        "concat('customer_', o_custkey) AS target_table", "'c_custkey' AS target_column",
+    )
+
+
 @query(
     "catalog_nested",
     "SELECT 'table' AS record, table_name AS name, 'Stores ' || table_name ||"
     " ' records with the columns ' || string_agg(column_name, ', ' ORDER BY ordinal) || '.'"
-    f" AS summary, '[' || string_agg({_COLUMN_JSON}, ',' ORDER BY ordinal) || ']' AS columns_json"
-    f" FROM {CATALOG_SQL} GROUP BY table_name",
+    f" AS summary, '[' || string_agg({_COLUMN_JSON}, ',' ORDER BY ordinal) || ']' AS columns_json,"
+    " NULL AS definition, NULL AS source_column, NULL AS target_table, NULL AS target_column"
+    f" FROM {CATALOG_SQL} GROUP BY table_name UNION ALL SELECT 'view', name, name ||"
+    f" ' has no direct parents.', NULL, definition, NULL, NULL, NULL FROM ({_VIEWS}) UNION ALL SELECT"
+    f" 'foreign_key', name, NULL, NULL, NULL, source_column, target_table, target_column FROM ({_KEYS})",
 )
 def catalog_nested(t):
     records = assemble_catalog(
-        build_catalog(t.all()),
-        local_frame(t.spark, [], "view_name string, definition string, summary string"),
-        local_frame(t.spark, [], "FKS"),
+        build_catalog(t.all()), rules.describe_views(catalog_views(t)), catalog_keys(t)
     )
     return records.select(
-        "record", "name", "summary", F.to_json("columns").alias("columns_json")
-    )
+        "record", "name", "summary", F.to_json("columns").alias("columns_json"),
+        "definition", "source_column", "target_table", "target_column",
+    )
 
 
 _PROMPT_LENGTH = (
@@ -631,17 +654,39 @@ _PROMPT_LENGTH = (
 )
 
 
+_TABLE_LENGTH = (
+    "length('Say in one or two sentences what the table ' || table_name || ' holds. Its columns"
+    " are: ' || string_agg(column_name, ', ' ORDER BY ordinal) || '.')"
+)
+_VIEW_LENGTH = (
+    "length('Say in one or two sentences what the view ' || name || ' shows. Its definition is:'"
+    " || chr(10) || definition)"
+)
+
+
 @query(
     "generated_catalog",
-    "SELECT table_name, column_name, ordinal, data_type, CASE WHEN column_name LIKE '%key' THEN"
-    f" description ELSE {_PROMPT_LENGTH} || ' in 50' END AS description FROM {CATALOG_SQL}",
+    "SELECT 'column' AS kind, table_name AS name, column_name, CASE WHEN column_name LIKE '%key' THEN"
+    f" description ELSE {_PROMPT_LENGTH} || ' in {MAX_TOKENS['column']}' END AS text FROM {CATALOG_SQL}"
+    f" UNION ALL SELECT 'table', table_name, NULL, {_TABLE_LENGTH} || ' in {MAX_TOKENS['table']}' FROM"
+    f" {CATALOG_SQL} GROUP BY table_name UNION ALL SELECT 'view', name, NULL, {_VIEW_LENGTH} ||"
+    f" ' in {MAX_TOKENS['view']}' FROM ({_VIEWS})",
 )
 def run_generated_catalog(t):
+    """The texts of all columns, tables and views; calls for keys fail."""
+
     def answer(prompt: str, budget: int) -> str:
         if "key\nType" in prompt:
             raise ValueError("no idea")
         return f"{len(prompt)} in {budget}"
 
-    views = local_frame(t.spark, [], "VIEWS")
-    described = generated_catalog(build_catalog(t.all()), views, answer)[0]
-    return described.select("table_name", "column_name", "ordinal", "data_type", "description")
+    columns, tables, views = generated_catalog(build_catalog(t.all()), catalog_views(t), answer)
+    texts = lambda df, kind, name, column, text: df.select(
+        F.lit(kind).alias("kind"), F.col(name).alias("name"), column.alias("column_name"), F.col(text).alias("text")
+    )
+    none = F.lit(None).cast("string")
+    return (
+        texts(columns, "column", "table_name", F.col("column_name"), "description")
+        .unionByName(texts(tables, "table", "table_name", none, "summary"))
+        .unionByName(texts(views, "view", "view_name", none, "summary"))
+    )
