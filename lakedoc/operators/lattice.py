@@ -3,14 +3,15 @@
 A set is looked at only if none of its subsets is a key and it can be one at all:
 
 * no column of it has a null;
-* the product of the distinct values of its parts reaches the number of rows, for every
-  way to part it into a smaller set and one column (those counts are known from below);
-* its own sketched count comes within `DEVIATIONS` standard deviations of the rows.
-
-What is left is counted exactly. Each level is two jobs for all its sets: sketches, a fixed
-number of bytes each, in one scan (more if there are very many sets), and one grouped count
-of the few sets that remain. The sketches only rule out; a key is missed only where its
-sketch falls six standard deviations short.
+* the product of the distinct values of its columns reaches the number of rows (a single
+  column's are sketched; a sketch counts with six standard deviations more);
+* no two rows agree on it among those whose values hash into one of `BUCKETS` buckets. Rows
+  that agree share a bucket, so a set that has many such rows shows some there, for a small
+  part of the rows that a count of all would shuffle. It rules out for certain.
+
+What is left, the keys and sets with hardly a row to spare, is counted exactly over all rows.
+Sketches are a fixed number of bytes each; a key is missed only where the sketches of its
+columns fall six standard deviations short.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import key_of, quoted
 from ..schemas import local_frame
-from .longform import column_type, columns_slot, countable, long_values, union_all, value_counts
+from .longform import Slot, column_type, columns_slot, countable, long_values, union_all, value_counts
 from .profile import DEVIATIONS
 
 LG_K = 14  # of the sketches: 2**LG_K registers
 SETS_PER_SCAN, SCANS_PER_JOB = 64, 16
+BUCKETS = 64  # one of them is looked at before all rows are
+SETS_PER_BUCKET_SCAN = 4  # more make a method that the JVM does not compile
 
 Columns = tuple[str, ...]
 
@@ -47,6 +50,25 @@ def _sketched(df: DataFrame, sets: list[Columns], lg_k: int, per_scan: int) -> d
     return {sets[id_]: n for job in jobs for id_, n in job.collect()}  # one number per set
 
 
+def _repeated(df: DataFrame, sets: list[Columns], per_scan: int, buckets: int) -> set[Columns]:
+    """Those of the sets that have rows that agree in one bucket of their values."""
+    slots = []
+    for i, columns in enumerate(sets):
+        whole = columns_slot(i, df, columns)
+        keys = ", ".join(key_of(quoted(c), column_type(df, c))[1] for c in columns)
+        inside = f"pmod(xxhash64({keys}), {buckets}) = 0"
+        slots.append(Slot(i, df, whole.key_class, f"CASE WHEN {inside} THEN {whole.key} END"))
+    grouped = [
+        long.where("value IS NOT NULL").groupBy("slot", "value").agg(F.count(F.lit(1)).alias("n"))
+        for long in long_values(slots, min(per_scan, SETS_PER_BUCKET_SCAN)).values()
+    ]
+    found = set()
+    for start in range(0, len(grouped), SCANS_PER_JOB):
+        some = union_all([g.where("n > 1").select("slot") for g in grouped[start : start + SCANS_PER_JOB]])
+        found |= {sets[slot] for (slot,) in some.distinct().collect()}  # one number per set
+    return found
+
+
 def _exact(df: DataFrame, sets: list[Columns], n_rows: int) -> set[Columns]:
     """Those of the sets that tell all rows apart."""
     found = set()
@@ -68,6 +90,7 @@ def composite_keys(
     columns: list[str] | None = None,
     lg_k: int = LG_K,
     sets_per_scan: int = SETS_PER_SCAN,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """All minimal keys of up to ``max_columns`` columns.
 
@@ -95,8 +118,12 @@ def composite_keys(
                 most[some] = min((most[rest] * most[one] for rest, one in rests if rest), default=n_rows)
                 if most[some] >= n_rows:
                     possible.append(some)
-            for some, n in _sketched(df, possible, lg_k, sets_per_scan).items():
-                most[some] = min(most[some], n * slack)
-            keys |= _exact(df, [some for some in possible if most[some] >= n_rows], n_rows)
+            if size == 1:
+                for some, n in _sketched(df, possible, lg_k, sets_per_scan).items():
+                    most[some] = min(most[some], n * slack)
+                possible = [some for some in possible if most[some] >= n_rows]
+            if possible:
+                repeated = _repeated(df, possible, sets_per_scan, buckets)
+                keys |= _exact(df, [some for some in possible if some not in repeated], n_rows)
     listed = [(table_name, ", ".join(some), len(some)) for some in sorted(keys)]
     return local_frame(df.sparkSession, listed, "table_name string, column_names string, n_columns int")

@@ -5,6 +5,7 @@ from itertools import combinations
 
 import pytest
 
+from lakedoc.operators import lattice
 from lakedoc.operators.lattice import composite_keys
 from tests.conftest import rows
 
@@ -57,3 +58,19 @@ def test_small_parts_do_not_hide_a_key(spark):
     """A pair whose product is below the rows still counts as part of a key of three."""
     frame = spark.range(1000).selectExpr("id % 10 AS a", "id DIV 10 % 10 AS b", "id DIV 100 AS c")
     assert rows(composite_keys(frame, "t"), "column_names") == [("a, b, c",)]
+
+
+def test_sets_that_nearly_are_keys_are_not_counted_over_all_rows(spark, monkeypatch):
+    """A few rows in a hundred agree: too few for a sketch to tell, enough for one bucket."""
+    counted, exact = [], lattice._exact
+    monkeypatch.setattr(lattice, "_exact", lambda df, sets, n: counted.extend(sets) or exact(df, sets, n))
+    frame = spark.range(20_800).selectExpr(
+        "id AS k", "id % 20000 % 200 AS a", "id % 20000 DIV 200 AS b", "id % 20000 % 3 AS c"
+    )
+    assert rows(composite_keys(frame, "t"), "column_names") == [("k",)]
+    assert counted == [("k",)]
+    # a single pair of rows may lie in another bucket: then the count decides
+    assert rows(composite_keys(frame.where("id <= 20000").drop("k"), "t")) == []
+    for buckets in (1, 7):
+        kept = frame.where("id < 20000")
+        assert rows(composite_keys(kept, "t", buckets=buckets), "column_names") == [("a, b",), ("k",)]
