@@ -47,6 +47,21 @@ def models_of(manifests: DataFrame) -> DataFrame:
     )
 
 
+def model_names(manifests: DataFrame) -> DataFrame:
+    """``manifest_path, name`` of every model."""
+    return _model_nodes(manifests).select("manifest_path", F.col("node.name").alias("name"))
+
+
+def lineage_fields(manifests: DataFrame) -> DataFrame:
+    """The manifests with only those fields that `model_names` and `model_deps` read."""
+    fields = ("resource_type", "name", "source_name", "depends_on")
+    nodes = F.transform_values(
+        "manifest.nodes", lambda _, node: F.struct(*[node[f].alias(f) for f in fields])
+    )
+    kept = F.struct(nodes.alias("nodes"), F.col("manifest.sources").alias("sources"))
+    return manifests.select("manifest_path", kept.alias("manifest"))
+
+
 def model_columns(manifests: DataFrame) -> DataFrame:
     """MODEL_COLUMNS rows: one per declared column, in declared order.
 

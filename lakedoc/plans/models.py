@@ -14,11 +14,12 @@ from ..operators.lineage import (
     qualified_nodes,
 )
 from ..operators.longform import union_all
-from ..operators.manifest import model_columns, model_deps, models_of
+from ..operators.manifest import lineage_fields, model_columns, model_deps, model_names, models_of
 from ..functions.identity import project_of
 from ..functions.text import is_blank
 from ..operators.joins import lookup_join
 from ..operators.rules import describe_models, drift_verdict, pii_name, tags_of, tests_of
+from ..sinks.durable import durable
 
 
 class DocumentationError(Exception):
@@ -136,7 +137,14 @@ def lineage_of_project(
     fks: DataFrame, manifests: DataFrame
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Lineage of a database's foreign keys and a project's manifests."""
-    return build_lineage(fks, models_of(manifests), model_deps(manifests))
+    return build_lineage(fks, *_parsed_once(manifests))
+
+
+def _parsed_once(manifests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Names and parents of all models. What lineage needs of the manifests is stored first:
+    each use would parse the texts again."""
+    slim = durable(lineage_fields(manifests))
+    return model_names(slim), durable(model_deps(slim))
 
 
 def qualified_lineage(
@@ -149,8 +157,8 @@ def qualified_lineage(
     origin and name (`qualified_id`); ``label`` is the name to show and ``origin`` where it
     belongs. Nothing is merged because it is called alike.
     """
-    nodes = qualified_nodes(fks, models_of(manifests), model_deps(manifests))
-    edges = qualified_edges(fks, model_deps(manifests))
+    models, deps = _parsed_once(manifests)
+    nodes, edges = qualified_nodes(fks, models, deps), qualified_edges(fks, deps)
     return nodes, edges, lineage_mermaid(nodes, edges)
 
 

@@ -11,7 +11,7 @@ from lakedoc.operators.manifest import model_columns, models_of
 from lakedoc.plans.generated import generated_proposals
 from lakedoc.plans.models import document_models, lineage_of_project, model_drift, qualified_lineage
 from lakedoc.schemas import local_frame
-from lakedoc.sources.manifests import scan_manifests
+from lakedoc.sources.manifests import parse_manifests, scan_manifests
 from tests.conftest import rows
 
 
@@ -151,3 +151,19 @@ def test_edges_whose_names_run_together_have_ids_of_their_own(spark):
     assert L.qualified_edges(fks, deps).select("id").distinct().count() == 2
     pairs = spark.createDataFrame([("a", "b-c"), ("a-b", "c"), ("a", None), (None, "a")], "x string, y string")
     assert pairs.select(qualified_id(F.col("x"), F.col("y"))).distinct().count() == 4
+
+
+def test_lineage_parses_manifests_once(spark):
+    """What nodes and edges are made of is stored: neither plan holds the parser."""
+    value = json.dumps({"nodes": {
+        "model.p.a": {"resource_type": "model", "name": "a", "depends_on": {"nodes": ["seed.p.s", "x.p.gone"]}},
+        "seed.p.s": {"resource_type": "seed", "name": "s"}, "model.p.none": None,
+    }, "sources": {"source.p.q": {"resource_type": "source", "source_name": "raw", "name": "q"}}})
+    texts = spark.createDataFrame([("m1", value), ("m2", "{"), ("m3", "{}")], "manifest_path string, value string")
+    fks = spark.createDataFrame([("t", "k", "u", "k")], "source_table string, source_column string, target_table string, target_column string")
+    for lineage in (qualified_lineage, lineage_of_project):
+        nodes, edges, _ = lineage(fks, parse_manifests(texts))
+        assert rows(nodes, "label", "style") == [("a", "box"), ("s", "box"), ("t", "db"), ("u", "db")]
+        assert edges.count() == 2
+        for frame in (nodes, edges):
+            assert "from_json" not in frame._jdf.queryExecution().optimizedPlan().toString()
