@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,8 @@ from ..functions.text import trim_all
 from ..schemas import schema
 from ..sinks.durable import durable
 
+ROWS_AT_ONCE = 64  # prompts that Python holds as objects, whatever the size of a batch
+
 
 def generate(
     prompts: DataFrame,
@@ -34,19 +37,24 @@ def generate(
     answered = T.StructType(list(prompts.schema.fields))
     answered = answered.add("answer", "string").add("error", "string")
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            answers, errors = [], []
-            for prompt, budget in zip(batch["prompt"], batch["max_tokens"]):
-                try:
-                    answers.append(fn(prompt, int(budget)))
-                    errors.append(None)
-                except Exception as problem:
-                    answers.append(None)
-                    errors.append(f"{type(problem).__name__}: {problem}")
-            yield batch.assign(answer=answers, error=errors)
-
-    result = prompts.mapInPandas(ask, answered).withColumn("answer", trim_all(F.col("answer")))
+    at, names = [prompts.columns.index(c) for c in ("prompt", "max_tokens")], answered.names
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(start, ROWS_AT_ONCE)
+                answers, errors = [], []
+                for prompt, budget in zip(*(batch.column(i).to_pylist() for i in at)):
+                    try:
+                        answers.append(fn(prompt, int(budget)))
+                        errors.append(None)
+                    except Exception as problem:
+                        answers.append(None)
+                        errors.append(f"{type(problem).__name__}: {problem}")
+                added = [pa.array(texts, pa.string()) for texts in (answers, errors)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=names)
+
+    result = prompts.mapInArrow(ask, answered).withColumn("answer", trim_all(F.col("answer")))
     return durable(result) if keep else result
 
 

@@ -153,3 +153,21 @@ def test_declared_tests(spark):
         ("k", "not_null", 0, True), ("k", "unique", 1, False),
         ("v", "not_null", 2, False), ("v", "unique", 0, True),
     ]
+
+
+def test_generator_sees_slices_of_a_batch(spark):
+    """Python holds few prompts as objects; a failed call spares the rest of its slice."""
+    import gc
+
+    def answer(prompt, budget):
+        if prompt.endswith("7"):
+            raise ValueError("no")
+        return str(sum(type(o) is str and o.startswith("prompt number") for o in gc.get_referents(*[
+            o for o in gc.get_objects() if type(o) is list
+        ])))
+
+    asked = spark.range(600).coalesce(1).selectExpr("id", "concat('prompt number ', id) AS prompt", "7 AS max_tokens")
+    got = generate(asked.where("id < 300 OR id % 10 = 7"), answer).collect()
+    assert [r.id for r in got] == [*range(300), *range(307, 600, 10)]
+    assert all((r.answer is None) == (r.id % 10 == 7) == (r.error is not None) for r in got)
+    assert max(int(r.answer) for r in got if r.answer) <= 64
