@@ -95,7 +95,12 @@ def _metadata_parser() -> Callable[[str | None], dict]:
 
 
 def parse_yaml_metadata(answers: DataFrame, text: str = "answer") -> DataFrame:
-    """Adds the METADATA struct ``metadata`` parsed from generated YAML."""
+    """Adds the METADATA struct ``metadata`` parsed from generated YAML.
+
+    Parsing is slow and the texts are short, so they are dealt out anew: by their bytes they
+    would be read by few tasks.
+    """
+    answers = answers.repartition(int(answers.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     parsed = T.StructType(list(answers.schema.fields)).add("metadata", schema("METADATA"))
     metadata = _metadata_parser()
 

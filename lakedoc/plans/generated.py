@@ -144,7 +144,8 @@ def generated_proposals(
             for k, v in values.items()
         ]
     )
-    parsed = parse_yaml_metadata(answers.filter("kind = 'column_metadata'"))
+    asked = answers.filter("kind = 'column_metadata'")
+    parsed = parse_yaml_metadata(asked.select("manifest_path", "node", "column_name", "answer"))
     fields = parsed.select(
         "manifest_path", F.col("node").alias("model_name"), "column_name", F.inline(entries)
     ).filter("proposed_value IS NOT NULL")

@@ -171,3 +171,11 @@ def test_generator_sees_slices_of_a_batch(spark):
     assert [r.id for r in got] == [*range(300), *range(307, 600, 10)]
     assert all((r.answer is None) == (r.id % 10 == 7) == (r.error is not None) for r in got)
     assert max(int(r.answer) for r in got if r.answer) <= 64
+
+
+def test_yaml_is_parsed_by_all_tasks(spark):
+    answers = spark.range(400).coalesce(1).selectExpr("id", "concat('description: d', id) AS answer")
+    parsed = parse_yaml_metadata(answers)
+    assert rows(parsed.select("id", "metadata.description")) == sorted(((i, f"d{i}") for i in range(400)), key=repr)
+    sizes = parsed.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 4 and max(n for _, n in sizes) <= 110
