@@ -4,15 +4,17 @@ Method: see `mixing`. Several hashed-context predictors of single bits are combi
 gated weights, which go on adapting inside each text that is scored.
 
 What is learned from what: the exact count of every token, the statistics of all
-predictors and the codes come from *all* training texts (crc32(doc_id as text) mod 5 is
-not 1), except that the ``fit_texts`` texts with the smallest hash of the id are kept out
-of the predictors' tables: on them, as texts the tables do not know, the initial weights
-are fitted. The ``head`` most frequent words, of those seen twice or
-more, become symbols of their own.
+predictors, the codes, the initial weights and the refinement come from *all* training texts
+(crc32(doc_id as text) mod 5 is not 1). Weights have to be fitted on texts that the tables do
+not know: a hash parts the training texts into two halves with tables of their own, and each
+half is read with the tables of the other. The final tables are the sum of both. The ``head``
+most frequent words, of those seen twice or more, become symbols of their own.
 
 Plan: tokens are counted in the map tasks, then per token. Each map task adds up its own
-tables of 2**``bits`` slots; the tables travel in chunks that are summed one row at a
-time. The model (codes and tables: a fixed size) is broadcast and one pass scores every
+tables of 2**``bits`` slots for both halves; the tables travel in chunks that are summed one
+row at a time. A second pass over the training texts counts how often the predictors said
+what, and what came (`mixing.tell`: at most 2**21 cells); the weights are fitted on these
+counts. The model (codes and tables: a fixed size) is broadcast and one pass scores every
 text. The base score needs the exact count of every token: those of the head are in the
 model; the other words of each text join the count table, which has one row per word, and
 are summed up per row. The scored table is stored before that, so its row numbers stand.
@@ -40,8 +42,8 @@ from .common import slices, stored, texts
 
 HEAD = 1 << 17
 BITS = 21
-FIT_TEXTS = 160
-BLOCK = 100_000  # characters of text that are scored together, or one text
+BLOCK = 300_000  # bytes of text that are scored together, or one text
+_ROWS = 1024  # rows of which texts of like lengths are put together
 _CHUNK = 1 << 16  # counters that travel together
 _FLUSH = 150_000  # distinct words that a task counts before it passes them on
 
@@ -87,65 +89,84 @@ def _count_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], code: mixing.Code, column: int):
-    """Parts of the batches, as blocks; small ones, whose arrays stay in a core's cache."""
-    for batch in slices(batches, 128):
-        part: list[list[bytes]] = []
-        size = first = 0
-        for at, text in enumerate(batch.column(column).to_pylist()):
-            part.append(tokens_of(text))
-            size += len(text)
-            if size > BLOCK:
-                yield batch.slice(first, len(part)), part, mixing.Block(part, code)
-                part, size, first = [], 0, at + 1
-        if part:
-            yield batch.slice(first, len(part)), part, mixing.Block(part, code)
+    """Parts of the batches, as blocks of texts of like lengths, the longest first."""
+    for batch in slices(batches, _ROWS):
+        sizes = pc.binary_length(batch.column(column)).to_numpy()
+        order = np.argsort(-sizes, kind="stable")
+        before = np.cumsum(sizes[order]) - sizes[order]
+        for part in np.split(order, np.flatnonzero(np.diff(before // BLOCK)) + 1):
+            if len(part):
+                rows = batch.take(pa.array(part))
+                words = [tokens_of(text) for text in rows.column(column).to_pylist()]
+                yield rows, words, mixing.Block(words, code)
+
+
+def _halves(batches: Iterator[pa.RecordBatch], half: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pc.equal(batch.column(0), half))
 
 
 def _count_tables(shipped, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = mixing.Code.from_parts(*shipped.value)
-        into = np.zeros((mixing.CONTEXTS, 2 << bits), np.int32)
-        for _, _, block in _blocks(batches, code, 0):
-            mixing.count(block, code, bits, into)
-        for k in range(mixing.CONTEXTS):
-            for chunk, at in enumerate(range(0, 2 << bits, _CHUNK)):
-                part = into[k, at : at + _CHUNK]
-                if part.any():
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([k], pa.int32()),
-                            pa.array([chunk], pa.int32()),
-                            pa.array([part.tobytes()], pa.binary()),
-                        ],
-                        names=["context", "chunk", "counts"],
-                    )
+        into = np.zeros((2, mixing.CONTEXTS, 2 << bits), np.int32)
+        for batch in batches:
+            for half in range(2):
+                for _, _, block in _blocks(_halves([batch], half), code, 1):
+                    mixing.count(block, code, bits, into[half])
+        for half in range(2):
+            for k in range(mixing.CONTEXTS):
+                for chunk, at in enumerate(range(0, 2 << bits, _CHUNK)):
+                    part = into[half, k, at : at + _CHUNK]
+                    if part.any():
+                        key = [pa.array([n], pa.int32()) for n in (k, chunk, half)]
+                        yield pa.RecordBatch.from_arrays(
+                            [*key, pa.array([part.tobytes()], pa.binary())],
+                            names=["context", "chunk", "half", "counts"],
+                        )
+
+    return run
+
+
+def _tell(shipped, shipped_said, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, said = mixing.Code.from_parts(*shipped.value), shipped_said.value
+        into = np.zeros(mixing.TOLD, np.int64)
+        for batch in batches:
+            for half in range(2):
+                for _, _, block in _blocks(_halves([batch], half), code, 1):
+                    mixing.tell(block, code, said[1 - half], bits, into)
+        told = np.flatnonzero(into)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(told), pa.array(into[told])], names=["told", "n"]
+        )
 
     return run
 
 
+_TABLES = ["first", "second", "both"]
+
+
 def _sum_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by context and chunk to one row each: the finished predictors."""
+    """Rows sorted by context and chunk to one row each: predictors of each half and of both."""
     key, total = None, None
 
     def done() -> pa.RecordBatch:
-        body = mixing.predictors(total[None])[0].tobytes()
+        found = (total[0], total[1], total[0] + total[1])
+        bodies = [mixing.predictors(counts[None])[0].tobytes() for counts in found]
         return pa.RecordBatch.from_arrays(
-            [
-                pa.array([key[0]], pa.int32()),
-                pa.array([key[1]], pa.int32()),
-                pa.array([body], pa.binary()),
-            ],
-            names=["context", "chunk", "predictors"],
+            [pa.array([n], pa.int32()) for n in key] + [pa.array([b], pa.binary()) for b in bodies],
+            names=["context", "chunk", *_TABLES],
         )
 
     for batch in batches:
-        for context, chunk, counts in zip(*batch.columns):
+        for context, chunk, half, counts in zip(*batch.columns):
             here, own = (context.as_py(), chunk.as_py()), np.frombuffer(counts.as_buffer(), np.int32)
             if here != key:
                 if key is not None:
                     yield done()
-                key, total = here, np.zeros(len(own), np.int64)
-            total += own
+                key, total = here, np.zeros((2, len(own)), np.int64)
+            total[half.as_py()] += own
     if key is not None:
         yield done()
 
@@ -173,11 +194,14 @@ def train(
     *,
     head: int = HEAD,
     bits: int = BITS,
-    fit_texts: int = FIT_TEXTS,
+    fit_texts: int | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> tuple[Model, DataFrame]:
-    """The model, and the exact count ``n`` of every training token ``word``."""
+    """The model, and the exact count ``n`` of every training token ``word``.
+
+    ``fit_texts`` has no effect any more: weights are fitted on all training texts.
+    """
     spark = docs.sparkSession
     rows = _rows(docs, id_col, text_col).where(~F.col("held_out"))
     counts = stored(
@@ -213,34 +237,39 @@ def train(
         np.subtract.at(byte_counts, np.frombuffer(word, np.uint8), n)
         byte_counts[256] -= n
     code = mixing.Code.build(names, often, int(byte_counts[256]), int(ends), byte_counts[:256])
-    # the texts for the weights: few, found by a threshold, and not in the tables
-    drawn = rows.withColumn("draw", F.xxhash64("doc_id"))
-    last = drawn.select("draw").orderBy("draw").limit(fit_texts).agg(F.max("draw")).first()[0]
     shipped = spark.sparkContext.broadcast(code.parts())
-    counted = drawn.where(F.col("draw") > F.lit(last)).select("text")
+    half = F.pmod(F.xxhash64("doc_id", "text"), F.lit(2)).cast("int")
+    counted = rows.select(half.alias("half"), "text")
     few = max(1, counted.rdd.getNumPartitions() // 4)  # fewer tables to add up
+    found = ", ".join(f"{name} binary" for name in _TABLES)
     summed = (
         counted.coalesce(few)
-        .mapInArrow(_count_tables(shipped, bits), "context int, chunk int, counts binary")
+        .mapInArrow(_count_tables(shipped, bits), "context int, chunk int, half int, counts binary")
         .repartition("context", "chunk")
         .sortWithinPartitions("context", "chunk")
-        .mapInArrow(_sum_tables, "context int, chunk int, predictors binary")
+        .mapInArrow(_sum_tables, f"context int, chunk int, {found}")
         .toArrow()
     )
-    tables = np.zeros((mixing.CONTEXTS, 1 << bits), np.int16)
-    half = min(_CHUNK, 2 << bits) // 2
-    for context, chunk, body in zip(*summed.columns):
-        at = chunk.as_py() * half
-        tables[context.as_py(), at : at + half] = np.frombuffer(body.as_buffer(), np.int16)
-    known = (
-        drawn.where(F.col("draw") <= F.lit(last)).orderBy("draw", "text").limit(fit_texts)
-    ).select("text")
-    sample = [tokens_of(text) for text in known.toArrow()["text"].to_pylist()]
-    weights, refine = mixing.initial_weights(), mixing.refinement()
-    if sample:
-        block = mixing.Block(sample, code)
-        weights = mixing.fit_weights(block, code, tables, bits, weights)
-        refine = mixing.fit_refinement(block, code, tables, bits, weights)
+    tables = np.zeros((len(_TABLES), mixing.CONTEXTS, 1 << bits), np.int16)
+    width = min(_CHUNK, 2 << bits) // 2
+    for context, chunk, *bodies in zip(*summed.columns):
+        at = chunk.as_py() * width
+        for table, body in zip(tables, bodies):
+            table[context.as_py(), at : at + width] = np.frombuffer(body.as_buffer(), np.int16)
+    del summed
+    said = spark.sparkContext.broadcast([mixing.opinions(table) for table in tables[:2]])
+    tables = tables[2].copy()
+    told = (
+        counted.mapInArrow(_tell(shipped, said, bits), "told long, n long")
+        .groupBy("told")
+        .agg(F.sum("n").alias("n"))
+        .orderBy("told")
+        .toArrow()  # at most mixing.TOLD rows
+    )
+    said.unpersist()
+    weights, refine = mixing.fit(
+        told["told"].to_numpy(), told["n"].to_numpy(), mixing.initial_weights()
+    )
     model = Model(code, tables, weights, refine, bits, often, int(ends), n_tokens, n_types)
     return model, counts
 

@@ -27,6 +27,8 @@ GATES = 32  # trust in two contexts, tokens and bytes
 DEEPEST = 64  # more decisions than any code has: all of them are predicted in context
 STEP = 128  # decisions of a text between two moves of its weights and its refinement
 CELLS = 33  # of the refinement table, by mixed logit
+LEVEL, _MIDDLE = 0.6, 15  # where weights are fitted: distance of the levels of a logit, the middle one
+TOLD = 1 << 21  # cells of `tell`
 RATE = 0.03
 END_WORD = b"\n"  # stands for the end among words, none of which holds it
 
@@ -157,22 +159,45 @@ class Block:
             both[is_token], both[~is_token] = a, b
             self.contexts.append(_spread(both))
 
-    def decisions(self, code: Code, bits: int):
-        """Slot of each context in a table of 2**bits, outcome, and symbol, per decision."""
+    def decisions(self, code: Code, bits: int, by_step: bool = False):
+        """Slot of each context in a table of 2**bits, outcome, and symbol, per decision.
+
+        ``by_step`` orders them by the step of their text, then by text, and also returns how
+        many decisions each step has."""
         sizes = code.sizes[self.symbols]
         ends = np.cumsum(sizes, dtype=np.int32)
         total = int(ends[-1]) if len(ends) else 0
         owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         at = np.arange(total, dtype=np.int32)
+        steps = None
+        if by_step:
+            of_text = np.bincount(self.text, sizes, self.n_texts).astype(np.int64)
+            order, steps = _step_order(of_text)
+            owner, at = owner[order], at[order]
         at += (code.first[self.symbols] - (ends - sizes))[owner]
-        nodes = code.nodes[at]
+        nodes = code.nodes.take(at, mode="clip")
         slots = []
         for hashes in self.contexts:
-            mixed = hashes[owner]  # spread already, as the nodes are
+            mixed = hashes.take(owner, mode="clip")  # spread already, as the nodes are
             mixed += nodes
             mixed >>= np.uint32(32 - bits)
-            slots.append(mixed)
-        return slots, code.bits[at], owner
+            slots.append(mixed.astype(np.int64))  # what takes and additions index by
+        found = slots, code.bits[at], owner
+        return (*found, steps) if by_step else found
+
+
+def _step_order(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Decisions of all texts, ``sizes`` of each, by step and text; and how many a step has."""
+    pieces = -(-sizes // STEP)
+    text = np.repeat(np.arange(len(sizes)), pieces)
+    step = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin = (np.cumsum(sizes) - sizes)[text] + step * STEP
+    width = np.minimum(sizes[text] - step * STEP, STEP)
+    order = np.argsort(step, kind="stable")
+    step, begin, width = step[order], begin[order], width[order]
+    shift = (begin - (np.cumsum(width) - width)).astype(np.int32)
+    where = np.arange(int(width.sum()), dtype=np.int32) + np.repeat(shift, width)
+    return where, np.bincount(step, width).astype(np.int64)
 
 
 def _spread(hashes: np.ndarray) -> np.ndarray:
@@ -224,8 +249,28 @@ _ODD_INVERSE = pow(_ODD, -1, 1 << 64)
 def count(block: Block, code: Code, bits: int, into: np.ndarray) -> None:
     """Add the outcomes to ``into[context, 2 * slot + outcome]``."""
     slots, outcome, _ = block.decisions(code, bits)
-    for k, slot in enumerate(slots):
-        np.add.at(into[k], (slot.astype(np.int64) << 1) + outcome, np.int32(1))
+    one = np.where(outcome > 0, np.int64(1 << 32), np.int64(1))
+    for pair, slot in zip(into.view(np.int64), slots):  # no in the lower half, yes in the upper
+        np.add.at(pair, slot, one)
+
+
+def opinions(tables: np.ndarray) -> np.ndarray:
+    """Per slot of `predictors` the level of its logit (five bits) and the trust in it (two)."""
+    packed = np.arange(-(1 << 15), 1 << 15)
+    level = np.clip(np.rint((packed >> 2) / (512 * LEVEL)), -_MIDDLE, _MIDDLE) + _MIDDLE
+    known = (level.astype(np.int64) << 2 | packed & 3).astype(np.uint8)
+    return known.take(tables.astype(np.int64) + (1 << 15))
+
+
+def tell(block: Block, code: Code, said: np.ndarray, bits: int, into: np.ndarray) -> None:
+    """Count the decisions of a block in ``into[told]``: by kind (token, byte), outcome, the
+    level of the first context and the opinions of both others."""
+    slots, outcome, owner = block.decisions(code, bits)
+    at = block.spelt[owner].astype(np.int64)
+    for width, part in zip((1, 5, 7, 7), (outcome, *(s.take(i) for s, i in zip(said, slots)))):
+        at <<= width
+        at |= part >> 2 if width == 5 else part
+    np.add.at(into, at, np.int64(1))
 
 
 def predictors(counts: np.ndarray) -> np.ndarray:
@@ -261,60 +306,75 @@ def cost(
     rate: float = RATE,
     refine: np.ndarray | None = None,
 ) -> np.ndarray:
-    """Coding cost (natural logarithm) of each text of the block."""
-    slots, outcome, owner = block.decisions(code, bits)
+    """Coding cost (natural logarithm) of each text of the block.
+
+    It is quickest for texts of like lengths, the longest first: a step then has many of them.
+    """
+    slots, outcome, owner, steps = block.decisions(code, bits, by_step=True)
     n_texts, text = block.n_texts, block.text[owner]
     total = np.bincount(block.text, code.rest[block.symbols], n_texts)
     if not len(text):
         return total
     packed = [tables[k].take(slot, mode="clip") for k, slot in enumerate(slots)]
-    gate = ((packed[1] & 3) << 2 | (packed[2] & 3)).astype(np.int32)
-    spelt = block.spelt[owner]
-    gate += 16 * spelt
-    gate += text * np.int32(GATES)  # now the row of the text's own weights
-    cell = spelt * np.int32(CELLS) + text * np.int32(2 * CELLS)
-    sign = np.where(outcome > 0, np.float32(-1), np.float32(1))
-    # step by step: the decisions that all texts take in their first step, in their second
-    first = np.searchsorted(text, np.arange(n_texts))
-    at = (np.arange(len(text)) - first[text]) // STEP
-    order = np.argsort(at.astype(np.uint16) if at.max() < 1 << 16 else at, kind="stable")
-    edges = np.cumsum(np.bincount(at))
-    text, gate, cell, sign = text[order], gate[order], cell[order], sign[order]
-    logits = [(p[order] >> 2).astype(np.float32) * np.float32(1 / 512) for p in packed]
+    # the row of the text's own weights and of its refinement, which a step reads and moves
+    kind = block.spelt[owner].view(np.int8) + text * np.int32(2)
+    gate = kind * np.int64(16)
+    gate += (packed[1] & 3) << 2 | (packed[2] & 3)
+    cell = kind * np.int64(CELLS)
+    sign = np.float32(1) - np.float32(2) * outcome
+    logits = [(p >> 2) * np.float32(1 / 512) for p in packed]
+    del slots, packed, kind, owner
     weights = [np.tile(start[:, k], n_texts) for k in range(CONTEXTS)]
     shift = np.tile(refinement() if refine is None else refine, n_texts)
+    below = np.empty(len(text), np.float32)
+    pace = rate / np.sqrt(np.maximum(np.arange(STEP + 1), 1))
+    edges = np.cumsum(steps).tolist()
     low = 0
-    for end in edges.tolist():
+    for end in edges:
         part = slice(low, end)
-        own, flip = gate[part], sign[part]
+        low = end
+        own, flip, bucket = gate[part], sign[part], cell[part]
         parts = [logit[part] for logit in logits]
-        z = parts[0] * weights[0][own]
+        z = weights[0].take(own)
+        z *= parts[0]
         for k in range(1, CONTEXTS):
-            z += parts[k] * weights[k][own]
-        bucket = cells(z) + cell[part]
-        z += shift[bucket]
+            more = weights[k].take(own)
+            more *= parts[k]
+            z += more
+        bucket += cells(z)
+        z += shift.take(bucket)
         z *= flip
-        np.clip(z, -30, 30, out=z)
-        e = np.exp(z)
-        below = e + np.float32(1)
-        total += np.bincount(text[part], np.log(below), n_texts)
-        if end < edges[-1]:
-            miss = e / below * flip  # the cost by the sum of logits
-            for k in range(CONTEXTS):
-                weights[k] -= _move(own, miss * parts[k], rate, n_texts * GATES)
-            shift -= _move(bucket, miss, rate, n_texts * 2 * CELLS)
-        low = end
+        np.maximum(z, -30, out=z)
+        np.minimum(z, 30, out=z)
+        np.exp(z, out=z)
+        one = np.add(z, np.float32(1), out=below[part])
+        if end == edges[-1]:
+            break
+        z /= one  # the cost by the sum of logits
+        z *= flip
+        gates, moved = np.bincount(own), np.bincount(bucket)
+        for k in range(CONTEXTS):
+            _move(weights[k], own, z * parts[k], pace, gates)
+        _move(shift, bucket, z, pace, moved)
+    total += np.bincount(text, np.log(below), n_texts)
     return total
 
 
-def _move(rows: np.ndarray, slopes: np.ndarray, rate: float, n: int) -> np.ndarray:
-    norm = np.sqrt(np.maximum(np.bincount(rows, minlength=n), 1))
-    return (rate * np.bincount(rows, slopes, n) / norm).astype(np.float32)
+def _move(of: np.ndarray, rows: np.ndarray, slopes: np.ndarray, pace: np.ndarray, seen: np.ndarray):
+    """Move the rows against their slopes, by a pace for how often each of them was seen."""
+    by = np.bincount(rows, slopes)
+    by *= pace.take(seen)
+    part = of[: len(by)]
+    part -= by.astype(np.float32)
 
 
 def cells(z: np.ndarray) -> np.ndarray:
     """Cell of the refinement table for each mixed logit."""
-    return np.clip(np.rint(z * np.float32(1.5)) + CELLS // 2, 0, CELLS - 1).astype(np.int32)
+    at = np.rint(z * np.float32(1.5))
+    at += np.float32(CELLS // 2)
+    np.maximum(at, 0, out=at)
+    np.minimum(at, CELLS - 1, out=at)
+    return at.astype(np.int64)
 
 
 def refinement() -> np.ndarray:
@@ -328,42 +388,47 @@ def fit_refinement(
     """The refinement table from texts that the tables have not seen, after the weights."""
     slots, outcome, owner = block.decisions(code, bits)
     packed = [tables[k].take(slot, mode="clip") for k, slot in enumerate(slots)]
-    gate = ((packed[1] & 3) << 2 | (packed[2] & 3)).astype(np.int64) + 16 * block.spelt[owner]
+    spelt = block.spelt[owner]
+    gate = ((packed[1] & 3) << 2 | (packed[2] & 3)).astype(np.int64) + 16 * spelt
     z = sum((p >> 2) / 512 * weights[gate, k] for k, p in enumerate(packed))
-    cell = cells(z) + block.spelt[owner] * CELLS
+    return _refined(z, spelt, outcome, np.ones(len(z)), rounds)
+
+
+def _refined(z, spelt, ones, times, rounds: int = 8) -> np.ndarray:
+    """Refinement of logits that were met some ``times`` and were right in ``ones`` of them."""
+    cell = cells(z) + spelt * CELLS
     shift = np.zeros(2 * CELLS)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z + shift[cell], -30, 30)))
-        slope = np.bincount(cell, p - outcome, 2 * CELLS) + 10.0 * shift
-        shift -= np.clip(slope / (np.bincount(cell, p * (1 - p), 2 * CELLS) + 10.0), -1, 1)
+        slope = np.bincount(cell, p * times - ones, 2 * CELLS) + 10.0 * shift
+        curve = np.bincount(cell, p * (1 - p) * times, 2 * CELLS) + 10.0
+        shift -= np.clip(slope / curve, -1, 1)
     return shift.astype(np.float32)
 
 
-def fit_weights(
-    block: Block, code: Code, tables: np.ndarray, bits: int, start: np.ndarray, rounds: int = 12
-) -> np.ndarray:
-    """Weights of every gate from texts that the tables have not seen.
+def fit(
+    told: np.ndarray, times: np.ndarray, start: np.ndarray, rounds: int = 12
+) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of every gate, and the refinement, from cells of `tell` and how often they were met.
 
     Per gate this is a logistic regression, solved by Newton steps; a small penalty holds it
     near ``start``.
     """
-    slots, outcome, owner = block.decisions(code, bits)
-    packed = [tables[k].take(slot, mode="clip") for k, slot in enumerate(slots)]
-    gate = ((packed[1] & 3) << 2 | (packed[2] & 3)).astype(np.int64) + 16 * block.spelt[owner]
-    x = np.stack([(p >> 2) / 512 for p in packed], 1)
-    weights = start.astype(np.float64)
-    order = np.argsort(gate, kind="stable")
-    edges = np.searchsorted(gate[order], np.arange(GATES + 1))
+    spelt, outcome = told >> 20, (told >> 19 & 1).astype(np.float64)
+    gate = spelt << 4 | (told >> 7 & 3) << 2 | told & 3
+    levels = np.stack([told >> 14 & 31, told >> 9 & 31, told >> 2 & 31], 1)
+    x, weights = (levels - _MIDDLE) * LEVEL, start.astype(np.float64)
     for g in range(GATES):
-        some = order[edges[g] : edges[g + 1]]
-        features, target, w = x[some], outcome[some].astype(np.float64), weights[g].copy()
+        some = gate == g
+        features, n, yes, w = x[some], times[some], (outcome * times)[some], weights[g].copy()
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-np.clip(features @ w, -30, 30)))
-            slope = features.T @ (p - target) + 10.0 * (w - start[g])
-            curve = (features * (p * (1 - p) + 1e-6)[:, None]).T @ features + 10.0 * np.eye(CONTEXTS)
-            step = np.clip(np.linalg.solve(curve, slope), -1, 1)
+            slope = features.T @ (p * n - yes) + 10.0 * (w - start[g])
+            curve = (features * (n * (p * (1 - p) + 1e-6))[:, None]).T @ features
+            step = np.clip(np.linalg.solve(curve + 10.0 * np.eye(CONTEXTS), slope), -1, 1)
             w -= step
             if np.abs(step).max() < 1e-4:
                 break
         weights[g] = w
-    return weights.astype(np.float32)
+    z = (x * weights[gate]).sum(1)
+    return weights.astype(np.float32), _refined(z, spelt, outcome * times, times)

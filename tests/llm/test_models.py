@@ -205,3 +205,32 @@ def test_a_repeated_id_does_not_fill_the_sample(spark, monkeypatch):
     for fit_rows in (20, 60, 120):
         M.classify(documents(spark, *rows), labels, fit_rows=fit_rows).collect()
     assert sizes == [15, 45, 90]  # a quarter is kept out
+
+
+def test_weights_are_fitted_on_all_training_texts(spark, monkeypatch):
+    """Every training text is in the tables and is read once for the weights."""
+    rows = texts(120) + [(7, "one id many texts"), (7, "one id many texts more"), (None, "no id")]
+    met = {}
+    fit = mixing.fit
+    monkeypatch.setattr(mixing, "fit", lambda told, n, *a: met.update(n=n.sum()) or fit(told, n, *a))
+    model, _ = lm_score.train(documents(spark, *rows), head=64, bits=14)
+    training = [lm_score.tokens_of(t) for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
+    block = mixing.Block(training, model.code)
+    assert met["n"] == len(block.decisions(model.code, 14)[1])
+    table = np.zeros((mixing.CONTEXTS, 2 << 14), np.int32)
+    mixing.count(block, model.code, 14, table)
+    assert (mixing.predictors(table) == model.tables).all()
+
+
+def test_fitted_weights_code_better_than_timid_ones():
+    code, tables = small_model()
+    block = mixing.Block([lm_score.tokens_of(t) for _, t in texts(60, 11)], code)
+    told, timid = np.zeros(mixing.TOLD, np.int64), 0.3 * mixing.initial_weights()
+    mixing.tell(block, code, mixing.opinions(tables), 12, told)
+    cells = np.flatnonzero(told)
+    weights, refine = mixing.fit(cells, told[cells], timid)
+    plain, fitted, refined = (
+        mixing.cost(block, code, tables, 12, w, 0.0, r).sum()
+        for w, r in ((timid, None), (weights, None), (weights, refine))
+    )
+    assert fitted < 0.95 * plain and refined < fitted
