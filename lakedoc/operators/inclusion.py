@@ -29,6 +29,11 @@ _BITS = 63
 _TIMES = (T.DateType, T.TimestampNTZType, T.TimestampType)
 _PAIR = ["source_table", "source_column", "target_table", "target_column"]
 
+_SIGNATURES = (
+    "slot int, table_name string, column_name string, domain string,"
+    " rows long, nulls long, distincts long, hashes array<bigint>"
+)
+
 Name = tuple[str, str]  # table and column
 
 
@@ -72,12 +77,13 @@ def signatures(tables: dict[str, DataFrame], size: int = SIGNATURE) -> DataFrame
         F.expr("coalesce(sum(CASE WHEN value IS NULL THEN n END), 0L)").alias("nulls"),
         F.count("value").alias("distincts"),
     )
-    nth = F.row_number().over(W.partitionBy("slot").orderBy("value"))
-    least = grouped.where("value IS NOT NULL").select("slot", "value", nth.alias("nth"))
+    # Both read all of ``grouped``, and no filter reaches below it: Spark groups only once for them.
+    nth = F.row_number().over(W.partitionBy("slot").orderBy(F.asc_nulls_first("value")))
+    least = grouped.withColumn("nth", nth).where(F.col("nth") <= size + 1)  # one may be null
     hashes = (
-        least.where(F.col("nth") <= size)
-        .groupBy("slot")
-        .agg(F.array_sort(F.collect_list("value")).alias("hashes"))
+        least.groupBy("slot")
+        .agg(F.array_sort(F.collect_list(F.expr("IF(value IS NULL, NULL, struct(value, n))"))).alias("kept"))
+        .select("slot", F.slice("kept.value", 1, size).alias("hashes"))
     )
     # All three have one row per column.
     joined = inventory.join(F.broadcast(counts), "slot", "left").join(F.broadcast(hashes), "slot", "left")
@@ -91,6 +97,8 @@ def _possible(found: DataFrame, size: int) -> dict[tuple[Name, Name], int]:
 
     With the number of rows that the second one has.
     """
+    # One row per column, read by both sides: as a plan each would scan all tables for itself.
+    found = local_frame(found.sparkSession, [tuple(r) for r in found.collect()], _SIGNATURES)
     side = lambda name: found.select(
         "domain", *[F.col(c).alias(f"{name}_{c}") for c in ("slot", "table_name", "column_name",
                                                             "rows", "nulls", "distincts", "hashes")]

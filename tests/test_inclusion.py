@@ -87,3 +87,16 @@ def test_signatures_hold_the_smallest_hashes(spark):
 def test_no_tables_with_comparable_columns(spark):
     frame = spark.sql("SELECT parse_json('1') AS v")
     assert rows(fk_candidates({"t": frame})) == []
+
+
+def test_signatures_group_all_values_once(spark, tmp_path, capsys):
+    """Counts and smallest hashes share one scan of a table, and so do children and parents."""
+    spark.range(500).selectExpr("id", "IF(id % 3 = 0, NULL, id % 7) AS part").write.parquet(str(tmp_path / "t"))
+    found = signatures({"t": spark.read.parquet(str(tmp_path / "t"))}, 5)
+    got = {r.column_name: r for r in found.collect()}
+    found.explain()
+    final = capsys.readouterr().out.split("== Initial Plan ==")[0]
+    assert "Final Plan" in final and final.count("FileScan parquet") == 1
+    assert (got["part"].rows, got["part"].nulls, got["part"].distincts) == (500, 167, 7)
+    assert [len(got[c].hashes) for c in ("id", "part")] == [5, 5]
+    assert None not in got["part"].hashes and got["part"].hashes == sorted(got["part"].hashes)
