@@ -89,7 +89,10 @@ def encoder(path: str):
                 shown = "Ġ" + letters if letters.isascii() else visible(" " + letters)
                 return pack([token.id for token in tokenize(shown)])
 
-            return guarded(SpacePieces(unit, word).encode)
+            def bare(letters: str) -> bytes:
+                return pack([token.id for token in tokenize(visible(letters))])
+
+            return guarded(SpacePieces(unit, word, bare=bare).encode)
 
         if kinds == ["Split", "ByteLevel"] and normal == ["NFC", "Replace", "Lowercase"]:
 

@@ -101,6 +101,40 @@ class Marked(Cache):
         return found
 
 
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+class Lines(Marked):
+    """`Marked` that also takes any run of ASCII marks off a Latin word, and parts a piece at a
+    single line end.
+
+    For patterns that take such a run as one match and a line end between two other characters
+    as a match of its own. ``bare`` encodes what begins a line, ``line`` is the line end.
+    """
+
+    def __init__(self, word, mark, other, size: int, regular, line: bytes, bare: Lines | None = None):
+        super().__init__(word, mark, other, size, regular)
+        self.runs, self.line = Cache(mark, 10_000), line
+        self.bare = self if bare is None else bare
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece.isalpha():
+            return super().__missing__(piece)
+        front = piece.rstrip(MARKS)
+        if front.isalpha() and (front.isascii() or max(front) < TOP and "\u0130" not in front):
+            found = self[front] + self.runs[piece[len(front) :]]
+        else:
+            left, end, right = piece.partition("\n")
+            if not (end and _inside(left) and _inside(right)):
+                return super().__missing__(piece)
+            found = self[left] + self.line + self.bare[right]
+        if len(piece) <= 64:
+            if len(self) >= self.size:
+                self.clear()
+            self[piece] = found
+        return found
+
+
 class Words(Cache):
     """Encodings by word, for words that recur in pieces with other punctuation."""
 
@@ -117,13 +151,18 @@ class SpacePieces:
     """``encode(text)``: ids as bytes, for patterns that glue one space to what follows.
 
     ``unit(text)`` encodes a string by itself, ``word(w)`` Latin letters after a space.
-    ``between`` separates the results of two pieces.
+    ``between`` separates the results of two pieces. ``bare(w)``, if given, encodes Latin
+    letters that no space goes before; then line ends are cuts as well (see `Lines`).
     """
 
-    def __init__(self, unit, word, between: bytes = b"", size: int = 600_000):
+    def __init__(self, unit, word, between: bytes = b"", size: int = 600_000, bare=None):
         self.unit, self.between = unit, between
         other = lambda piece: unit(" " + piece)
-        self.cache = Marked(word, unit, other, size, _inside, between)
+        if bare is None:
+            self.cache = Marked(word, unit, other, size, _inside, between)
+        else:
+            begun = Lines(bare, unit, unit, size // 6, _inside, unit("\n"))
+            self.cache = Lines(word, unit, other, size, _inside, unit("\n"), begun)
 
     def encode(self, text: str) -> bytes:
         if not text:

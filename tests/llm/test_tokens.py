@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -7,6 +8,7 @@ import public_tokenizers
 import pytest
 
 from lakedoc.llm import byte_bpe, hf, packing, token_files
+from lakedoc.llm.pieces import SpacePieces
 from tests.llm.conftest import documents
 
 ODD = [
@@ -166,3 +168,26 @@ def test_added_tokens_encode_like_a_fresh_tokenizer(path, mark):
         expected = library.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(encode(text), "<u4").tolist() == expected, text
     assert library.token_to_id(mark) in np.frombuffer(encode(texts[0]), "<u4")
+
+
+def test_line_ends_and_runs_of_marks_part_known_words():
+    """Pieces are put together from words met before, with the library's ids."""
+    library, encode = hf._load(BYTE), hf.encoder(BYTE)
+    words = ["one", "Two", "élan", "ıx", "it's", "x9", "", "你"]
+    ends = ["", ".", "###", ".'", "''", "…", "\n", ".\n", "\n\n", "\r\n", " \n", "\n.", "$\n$"]
+    for first, end, last in itertools.product(words, ends, words):
+        for text in (f"a {first}{end}{last} b", f"{first}{end}{last}{end}"):
+            ids = library.encode(text, add_special_tokens=False).ids
+            assert encode(text) == np.array(ids, "<u4").tobytes(), text
+    asked = []
+
+    def said(kind):
+        return lambda piece: asked.append(piece) or f"[{kind}{piece}]".encode()
+
+    pieces = SpacePieces(said("u"), said("w"), bare=said("b"))
+    assert pieces.encode("go one two\nthree four### five.\nsix") == (
+        b"[ugo][wone][wtwo][u\n][bthree][wfour][u###][wfive][u.][u\n][bsix]"
+    )
+    asked.clear()
+    pieces.encode("go two\nsix five### one\nthree")
+    assert asked == ["go"]
