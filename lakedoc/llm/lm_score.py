@@ -28,7 +28,6 @@ columns are ignored. Texts are taken whole.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,10 +41,12 @@ from .common import slices, stored, texts
 
 HEAD = 1 << 17
 BITS = 21
-BLOCK = 300_000  # bytes of text that are scored together, or one text
-_ROWS = 1024  # rows of which texts of like lengths are put together
+BLOCK = 1_000_000  # bytes of text that are scored together, or one text
+_POOL = 8 << 20  # bytes of text that are split together, or one text
+_KEPT = 1_500_000  # tokens of which a task keeps trigrams before it counts them
+_WORDS = 1 << 16  # rows of the word counts that are spelt together
+_MOST = 1 << 30  # what a task counts before it passes its tables on
 _CHUNK = 1 << 16  # counters that travel together
-_FLUSH = 150_000  # distinct words that a task counts before it passes them on
 
 
 def tokens_of(text: str) -> list[bytes]:
@@ -58,23 +59,30 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return texts(docs, id_col, text_col).select("doc_id", held.alias("held_out"), "text")
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[bytes] = Counter()
+def _pools(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of some bytes of text, or one row."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(column)).to_numpy().astype(np.int64)
+        cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // _POOL)) + 1
+        for low, high in zip([0, *cuts], [*cuts, len(sizes)]):
+            if high > low:
+                yield batch.slice(low, high - low)
 
-    def passed_on() -> pa.RecordBatch:
-        words, n = list(counts), list(counts.values())
-        counts.clear()
-        return pa.RecordBatch.from_arrays(
-            [pa.array(words, pa.binary()), pa.array(n, pa.int64())], names=["word", "n"]
-        )
 
-    for batch in slices(batches, 64):
-        for text in batch.column(0).to_pylist():
-            counts.update(tokens_of(text))
-            counts[mixing.END_WORD] += 1
-        if len(counts) > _FLUSH:
-            yield passed_on()
-    yield passed_on()
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of `tokens_of` and the ends, counted per slice: in all, and in the second half."""
+    for batch in _pools(batches, 1):
+        half = batch.column(0).to_numpy().astype(np.int64)
+        words, sizes = mixing.split(batch.column(1))
+        words = words.dictionary_encode()
+        at = words.indices.to_numpy().astype(np.int64) << 1
+        at |= np.repeat(half, sizes)
+        n = np.bincount(at, minlength=2 * len(words.dictionary)).reshape(-1, 2)
+        n = np.concatenate([n, [[len(half) - half.sum(), half.sum()]]]).astype(np.int64)
+        names = pa.concat_arrays([words.dictionary, pa.array([mixing.END_WORD], pa.binary())])
+        yield pa.RecordBatch.from_arrays(
+            [names, pa.array(n.sum(1)), pa.array(n[:, 1].copy())], names=["word", "n", "other"]
+        )
 
 
 def _count_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,56 +98,128 @@ def _count_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _blocks(batches: Iterator[pa.RecordBatch], code: mixing.Code, column: int):
     """Parts of the batches, as blocks of texts of like lengths, the longest first."""
-    for batch in slices(batches, _ROWS):
-        sizes = pc.binary_length(batch.column(column)).to_numpy()
+    for pool in _pools(batches, column):
+        sizes = pc.binary_length(pool.column(column)).to_numpy().astype(np.int64)
         order = np.argsort(-sizes, kind="stable")
-        before = np.cumsum(sizes[order]) - sizes[order]
-        for part in np.split(order, np.flatnonzero(np.diff(before // BLOCK)) + 1):
-            if len(part):
-                rows = batch.take(pa.array(part))
-                words = [tokens_of(text) for text in rows.column(column).to_pylist()]
-                yield rows, words, mixing.Block(words, code)
-
+        rows, bytes_of = pool.take(pa.array(order)), sizes[order]
+        words, sizes = mixing.split(rows.column(column))
+        known, ends = code.find(words), np.append(0, np.cumsum(sizes))
+        cuts = np.flatnonzero(np.diff((np.cumsum(bytes_of) - bytes_of) // BLOCK)) + 1
+        for low, high in zip([0, *cuts], [*cuts, len(sizes)]):
+            own = slice(ends[low], ends[high])
+            block = mixing.Block.of(words[own], known[own], sizes[low:high], code)
+            yield rows.slice(low, high - low), sizes[low:high], block
+
+
+def _trigrams(batches: Iterator[pa.RecordBatch], code: mixing.Code):
+    """Per half of the rows the trigrams of some millions of tokens."""
+    kept: list[list] = [[], []]
+
+    def met(half: int):
+        parts = [np.concatenate(column) for column in zip(*kept[half])]
+        kept[half].clear()
+        return half, parts
+
+    for pool in _pools(batches, 1):
+        halves = pool.column(0).to_numpy()
+        for half in range(2):
+            rows = pool.column(1).filter(pa.array(halves == half))
+            if len(rows):
+                words, sizes = mixing.split(rows)
+                found = mixing.trigrams(code.find(words), sizes, code)
+                kept[half].append([column.astype(np.int32) for column in found])
+                if sum(len(part[0]) for part in kept[half]) > _KEPT:
+                    yield met(half)
+    yield from (met(half) for half in range(2) if kept[half])
+
+
+def _words(batches: Iterator[pa.RecordBatch]):
+    """Words of the count table, and how often each half has them: in all `_MOST` times at most."""
+
+    def parts(words: pa.Array, times: np.ndarray):
+        if times.sum() <= _MOST:
+            yield words, times
+        elif len(words) > 1:
+            middle = len(words) // 2
+            yield from parts(words[:middle], times[:, :middle])
+            yield from parts(words[middle:], times[:, middle:])
+        else:
+            some = np.minimum(times, _MOST // 2)
+            yield words, some
+            yield from parts(words, times - some)
+
+    for batch in slices(batches, _WORDS):
+        n, other = (batch.column(k).to_numpy() for k in (1, 2))
+        yield from parts(batch.column(0), np.stack([n - other, other]))
+
+
+def _passed_on(into: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The tables that a task has counted, in chunks."""
+    for half, context in np.ndindex(into.shape[:2]):
+        for chunk, at in enumerate(range(0, into.shape[2], _CHUNK)):
+            part = into[half, context, at : at + _CHUNK]
+            if part.any():
+                key = [pa.array([n], pa.int32()) for n in (context, chunk, half)]
+                yield pa.RecordBatch.from_arrays(
+                    [*key, pa.array([part.tobytes()], pa.binary())],
+                    names=["context", "chunk", "half", "counts"],
+                )
+
+
+_COUNTED = "context int, chunk int, half int, counts binary"
+
+
+def _count_texts(shipped, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = mixing.Code.from_parts(*shipped.value)
+        into = np.zeros((2, mixing.CONTEXTS, 2 << bits), np.int32)
+        for half, met in _trigrams(batches, code):
+            mixing.count_trigrams(*met, code, bits, into[half])
+        yield from _passed_on(into)
 
-def _halves(batches: Iterator[pa.RecordBatch], half: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield batch.filter(pc.equal(batch.column(0), half))
+    return run
 
 
-def _count_tables(shipped, bits: int):
+def _count_spellings(shipped, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = mixing.Code.from_parts(*shipped.value)
-        into = np.zeros((2, mixing.CONTEXTS, 2 << bits), np.int32)
-        for batch in batches:
+        into, held = np.zeros((2, mixing.CONTEXTS, 2 << bits), np.int32), 0
+        for words, times in _words(batches):
+            if held + times.sum() > _MOST:
+                yield from _passed_on(into)
+                into[:], held = 0, 0
+            held += times.sum()
             for half in range(2):
-                for _, _, block in _blocks(_halves([batch], half), code, 1):
-                    mixing.count(block, code, bits, into[half])
-        for half in range(2):
-            for k in range(mixing.CONTEXTS):
-                for chunk, at in enumerate(range(0, 2 << bits, _CHUNK)):
-                    part = into[half, k, at : at + _CHUNK]
-                    if part.any():
-                        key = [pa.array([n], pa.int32()) for n in (k, chunk, half)]
-                        yield pa.RecordBatch.from_arrays(
-                            [*key, pa.array([part.tobytes()], pa.binary())],
-                            names=["context", "chunk", "half", "counts"],
-                        )
+                mixing.count_words(words, times[half], code, bits, into[half])
+        yield from _passed_on(into)
+
+    return run
+
+
+def _told(into: np.ndarray) -> pa.RecordBatch:
+    told = np.flatnonzero(into)
+    return pa.RecordBatch.from_arrays([pa.array(told), pa.array(into[told])], names=["told", "n"])
+
+
+def _tell_texts(shipped, shipped_said, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, said = mixing.Code.from_parts(*shipped.value), shipped_said.value
+        into = np.zeros(mixing.TOLD, np.int64)
+        for half, met in _trigrams(batches, code):
+            mixing.tell_trigrams(*mixing.distinct(*met, code), code, said[1 - half], bits, into)
+        yield _told(into)
 
     return run
 
 
-def _tell(shipped, shipped_said, bits: int):
+def _tell_spellings(shipped, shipped_said, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, said = mixing.Code.from_parts(*shipped.value), shipped_said.value
         into = np.zeros(mixing.TOLD, np.int64)
-        for batch in batches:
+        for words, times in _words(batches):
             for half in range(2):
-                for _, _, block in _blocks(_halves([batch], half), code, 1):
-                    mixing.tell(block, code, said[1 - half], bits, into)
-        told = np.flatnonzero(into)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(told), pa.array(into[told])], names=["told", "n"]
-        )
+                mixing.tell_words(words, times[half], code, said[1 - half], bits, into)
+        yield _told(into)
 
     return run
 
@@ -203,12 +283,16 @@ def train(
     ``fit_texts`` has no effect any more: weights are fitted on all training texts.
     """
     spark = docs.sparkSession
-    rows = _rows(docs, id_col, text_col).where(~F.col("held_out"))
+    half = F.pmod(F.xxhash64("doc_id", "text"), F.lit(2)).cast("int")
+    rows = (
+        _rows(docs, id_col, text_col)
+        .where(~F.col("held_out"))
+        .select(half.alias("half"), "text")
+    )
     counts = stored(
-        rows.select("text")
-        .mapInArrow(_count_words, "word binary, n long")
+        rows.mapInArrow(_count_words, "word binary, n long, other long")
         .groupBy("word")
-        .agg(F.sum("n").alias("n")),
+        .agg(F.sum("n").alias("n"), F.sum("other").alias("other")),
         "lm-counts",
     )
     sums = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
@@ -226,6 +310,7 @@ def train(
     ends = counts.where(F.col("word") == F.lit(mixing.END_WORD)).agg(F.sum("n")).first()[0] or 0
     all_bytes = (
         counts.where(F.col("word") != F.lit(mixing.END_WORD))
+        .select("word", "n")
         .mapInArrow(_count_bytes, "byte long, n long")
         .groupBy("byte")
         .agg(F.sum("n").alias("n"))
@@ -238,13 +323,15 @@ def train(
         byte_counts[256] -= n
     code = mixing.Code.build(names, often, int(byte_counts[256]), int(ends), byte_counts[:256])
     shipped = spark.sparkContext.broadcast(code.parts())
-    half = F.pmod(F.xxhash64("doc_id", "text"), F.lit(2)).cast("int")
-    counted = rows.select(half.alias("half"), "text")
-    few = max(1, counted.rdd.getNumPartitions() // 4)  # fewer tables to add up
+
+    def fewer(df: DataFrame, by: int) -> DataFrame:  # fewer tables to add up
+        return df.coalesce(max(1, df.rdd.getNumPartitions() // by))
+
     found = ", ".join(f"{name} binary" for name in _TABLES)
     summed = (
-        counted.coalesce(few)
-        .mapInArrow(_count_tables(shipped, bits), "context int, chunk int, half int, counts binary")
+        fewer(rows, 4)
+        .mapInArrow(_count_texts(shipped, bits), _COUNTED)
+        .union(fewer(counts, 8).mapInArrow(_count_spellings(shipped, bits), _COUNTED))
         .repartition("context", "chunk")
         .sortWithinPartitions("context", "chunk")
         .mapInArrow(_sum_tables, f"context int, chunk int, {found}")
@@ -260,7 +347,8 @@ def train(
     said = spark.sparkContext.broadcast([mixing.opinions(table) for table in tables[:2]])
     tables = tables[2].copy()
     told = (
-        counted.mapInArrow(_tell(shipped, said, bits), "told long, n long")
+        rows.mapInArrow(_tell_texts(shipped, said, bits), "told long, n long")
+        .union(counts.mapInArrow(_tell_spellings(shipped, said, bits), "told long, n long"))
         .groupBy("told")
         .agg(F.sum("n").alias("n"))
         .orderBy("told")
@@ -271,14 +359,25 @@ def train(
         told["told"].to_numpy(), told["n"].to_numpy(), mixing.initial_weights()
     )
     model = Model(code, tables, weights, refine, bits, often, int(ends), n_tokens, n_types)
-    return model, counts
+    return model, counts.drop("other")
 
 
 _SCORED = (
     "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double,"
     " score double, n_bytes long, rare array<struct<word:binary,times:long>>"
 )
-_RARE = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
+_RARE = [pa.field("word", pa.binary()), pa.field("times", pa.int64())]
+
+
+def _listed(block: mixing.Block, n: int) -> pa.Array:
+    """Per text the words outside the head, and how often it has them."""
+    words = block.rare.dictionary_encode()
+    kinds = max(len(words.dictionary), 1)
+    keys = block.escaped_text * np.int64(kinds) + words.indices.to_numpy()
+    found, times = np.unique(keys, return_counts=True)
+    ends = np.searchsorted(found // kinds, np.arange(n + 1)).astype(np.int32)
+    own = words.dictionary.take(pa.array(found % kinds)), pa.array(times.astype(np.int64))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(own, fields=_RARE))
 
 
 def _score(shipped):
@@ -288,20 +387,15 @@ def _score(shipped):
         below = model.n_tokens + 0.5 * (model.n_types + 1)
         of_head = np.log10((model.head_counts + 0.5) / below)
         of_end = math.log10((model.ends + 0.5) / below)
-        for batch, part, block in _blocks(batches, code, 3):
-            n = len(part)
+        for batch, sizes, block in _blocks(batches, code, 3):
+            n = len(sizes)
             spent = mixing.cost(
                 block, code, model.tables, model.bits, model.weights, refine=model.refine
             )
-            sizes = np.fromiter(map(len, part), np.int64, n)
             owner = np.repeat(np.arange(n), sizes)
             there = block.known >= 0
             known = np.bincount(owner[there], minlength=n) + (1 if model.ends else 0)
             base = np.bincount(owner[there], of_head[block.known[there]], n) + of_end
-            rare: list[Counter] = [Counter() for _ in part]
-            for text, word in zip(block.escaped_text.tolist(), block.rare):
-                rare[text][word] += 1
-            listed = [[{"word": w, "times": c} for w, c in own.items()] for own in rare]
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[:3],
@@ -310,7 +404,7 @@ def _score(shipped):
                     pa.array(base),
                     pa.array(-spent / math.log(10)),
                     pc.binary_length(batch.column(3)).cast(pa.int64()),
-                    pa.array(listed, _RARE),
+                    _listed(block, n),
                 ],
                 names=[part.split()[0] for part in _SCORED.split(", ")],
             )
