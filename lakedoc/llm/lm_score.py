@@ -42,7 +42,8 @@ from .common import slices, stored, texts
 HEAD = 1 << 17
 BITS = 21
 BLOCK = 1_000_000  # bytes of text that are scored together, or one text
-_POOL = 8 << 20  # bytes of text that are split together, or one text
+_POOL = 4 << 20  # bytes of text that are split together, or one text
+_COUNTED = 16 << 20  # bytes of text whose words are counted together, or one text
 _KEPT = 1_500_000  # tokens of which a task keeps trigrams before it counts them
 _WORDS = 1 << 16  # rows of the word counts that are spelt together
 _MOST = 1 << 30  # what a task counts before it passes its tables on
@@ -59,11 +60,13 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return texts(docs, id_col, text_col).select("doc_id", held.alias("held_out"), "text")
 
 
-def _pools(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+def _pools(
+    batches: Iterator[pa.RecordBatch], column: int, much: int = _POOL
+) -> Iterator[pa.RecordBatch]:
     """The batches in slices of some bytes of text, or one row."""
     for batch in batches:
         sizes = pc.binary_length(batch.column(column)).to_numpy().astype(np.int64)
-        cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // _POOL)) + 1
+        cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // much)) + 1
         for low, high in zip([0, *cuts], [*cuts, len(sizes)]):
             if high > low:
                 yield batch.slice(low, high - low)
@@ -71,7 +74,7 @@ def _pools(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Record
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of `tokens_of` and the ends, counted per slice: in all, and in the second half."""
-    for batch in _pools(batches, 1):
+    for batch in _pools(batches, 1, _COUNTED):
         half = batch.column(0).to_numpy().astype(np.int64)
         words, sizes = mixing.split(batch.column(1))
         words = words.dictionary_encode()
@@ -122,11 +125,12 @@ def _trigrams(batches: Iterator[pa.RecordBatch], code: mixing.Code):
 
     for pool in _pools(batches, 1):
         halves = pool.column(0).to_numpy()
+        words, sizes = mixing.split(pool.column(1))
+        known = code.find(words)
         for half in range(2):
-            rows = pool.column(1).filter(pa.array(halves == half))
-            if len(rows):
-                words, sizes = mixing.split(rows)
-                found = mixing.trigrams(code.find(words), sizes, code)
+            own = halves == half
+            if own.any():
+                found = mixing.trigrams(known[np.repeat(own, sizes)], sizes[own], code)
                 kept[half].append([column.astype(np.int32) for column in found])
                 if sum(len(part[0]) for part in kept[half]) > _KEPT:
                     yield met(half)
@@ -166,7 +170,7 @@ def _passed_on(into: np.ndarray) -> Iterator[pa.RecordBatch]:
                 )
 
 
-_COUNTED = "context int, chunk int, half int, counts binary"
+_CHUNKS = "context int, chunk int, half int, counts binary"
 
 
 def _count_texts(shipped, bits: int):
@@ -330,8 +334,8 @@ def train(
     found = ", ".join(f"{name} binary" for name in _TABLES)
     summed = (
         fewer(rows, 4)
-        .mapInArrow(_count_texts(shipped, bits), _COUNTED)
-        .union(fewer(counts, 8).mapInArrow(_count_spellings(shipped, bits), _COUNTED))
+        .mapInArrow(_count_texts(shipped, bits), _CHUNKS)
+        .union(fewer(counts, 8).mapInArrow(_count_spellings(shipped, bits), _CHUNKS))
         .repartition("context", "chunk")
         .sortWithinPartitions("context", "chunk")
         .mapInArrow(_sum_tables, f"context int, chunk int, {found}")

@@ -32,8 +32,8 @@ GATES = 32  # trust in two contexts, tokens and bytes
 DEEPEST = 64  # more decisions than any code has: all of them are predicted in context
 STEP = 128  # decisions of a text between two moves of its weights and its refinement
 TREE, _INSIDE = 4, 15  # levels of a tree whose nodes lie side by side in a table, bits for the place there
-RUN = 2048  # symbols whose decisions are made at a time
-MANY = 32768  # decisions of some steps that are made at a time
+RUN = 4096  # symbols whose decisions are made at a time
+MANY = 16384  # decisions of some steps that are made at a time
 CELLS = 33  # of the refinement table, by mixed logit
 LEVEL, _MIDDLE = 0.6, 15  # where weights are fitted: distance of the levels of a logit, the middle one
 TOLD = 1 << 21  # cells of `tell`
@@ -94,6 +94,11 @@ def code_paths(
     return sizes, nodes, bits.astype(np.uint8), rest
 
 
+def _group(bits: int) -> np.uint32:
+    """The bits of a hash that choose a group of slots in a table of 2**bits."""
+    return ~np.uint32((_INSIDE + 1 << 32 - bits) - 1)
+
+
 class Code:
     """Symbols: ``words``, escape, end, then 256 bytes and the terminator."""
 
@@ -125,20 +130,20 @@ class Code:
         at += np.arange(len(at))
         nodes, slots = self._side_by_side(bits).take(at, mode="clip"), []
         outcome = nodes & np.uint32(1)
-        for hashes in contexts:
-            mixed = np.repeat(hashes, sizes)  # spread already, as the nodes are
+        for hashes in contexts:  # spread already, as the nodes are
+            mixed = np.repeat(hashes & _group(bits), sizes)
             mixed += nodes
             mixed >>= np.uint32(32 - bits)
             slots.append(mixed.astype(np.int64))  # what takes and additions index by
         return sizes, outcome, slots
 
     def _side_by_side(self, bits: int) -> np.ndarray:
-        """The nodes, those that share a hash at neighbouring slots of a table of 2**bits. The
-        last bit is the outcome; as hashes of contexts are even, no slot depends on it."""
+        """The nodes, those that share a hash within one group of 16 slots of a table of 2**bits.
+        The last bit is the outcome, on which no slot depends: hashes only choose the group."""
         if self.placed[0] != bits:
             inside = self.nodes & np.uint32(_INSIDE)
-            placed = (self.nodes - inside) + (inside << np.uint32(32 - bits))
-            self.placed = bits, placed & ~np.uint32(1) | self.bits
+            placed = (self.nodes & _group(bits)) + (inside << np.uint32(32 - bits))
+            self.placed = bits, placed | self.bits
         return self.placed[1]
 
     def parts(self) -> tuple:
@@ -245,12 +250,11 @@ def _by_step(block: Block, code: Code):
 
 
 def _spread(hashes: np.ndarray) -> np.ndarray:
-    """Every bit of the result depends on every bit of the hash, in place; the last one is 0."""
+    """Every bit of the result depends on every bit of the hash, in place."""
     for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B)):
         hashes ^= hashes >> np.uint32(shift)
         hashes *= np.uint32(factor)
     hashes ^= hashes >> np.uint32(16)
-    hashes &= ~np.uint32(1)
     return hashes
 
 

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from lakedoc.llm import lm_score, mixing
 from lakedoc.llm import quality_model as M
@@ -234,3 +235,63 @@ def test_fitted_weights_code_better_than_timid_ones():
         for w, r in ((timid, None), (weights, None), (weights, refine))
     )
     assert fitted < 0.95 * plain and refined < fitted
+
+
+def test_decisions_of_four_levels_lie_in_one_group_of_slots():
+    code, _ = small_model()
+    block = mixing.Block([lm_score.tokens_of(t) for _, t in texts(20, 7)], code)
+    slots, _, owner = block.decisions(code, 12)
+    depth = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    assert depth.max() >= mixing.TREE
+    for slot in slots:
+        root = slot[np.arange(len(owner)) - depth % mixing.TREE]
+        assert (root % 16 == 0).all() and (slot >> 4 == root >> 4).all()
+
+
+def test_no_slot_depends_on_the_outcome():
+    code, _ = small_model()
+    first = mixing.Block([[word] for word in code.words] + [[]], code)
+    slots, outcome, owner = first.decisions(code, 12)
+    begins = np.searchsorted(owner, np.flatnonzero(np.append(True, first.text[1:] != first.text[:-1])))
+    assert set(outcome[begins]) == {0, 1}
+    assert all(len(set(slot[begins])) == 1 for slot in slots)
+
+
+def test_distinct_words_and_trigrams_count_and_tell_as_all_texts_do(monkeypatch):
+    """Windows of a few tokens, portions of a few counts: tables and cells stay the same."""
+    code, tables = small_model()
+    rows = [t for _, t in texts(60, 8)] + ["again and again\x0b\x85 X x"] * 7 + ["", "y" * 300]
+    halves = np.arange(len(rows), dtype=np.int32) % 2
+    batch = pa.RecordBatch.from_arrays([pa.array(halves), pa.array(rows)], names=["half", "text"])
+    monkeypatch.setattr(lm_score, "_KEPT", 40)
+    monkeypatch.setattr(lm_score, "_MOST", 50)
+    monkeypatch.setattr(mixing, "_TOGETHER", 64)
+    said = mixing.opinions(tables)
+    plain, table = np.zeros((2, 2, mixing.CONTEXTS, 2 << 12), np.int32)
+    cells, told = np.zeros((2, mixing.TOLD), np.int64)
+    for half in range(2):
+        own = [lm_score.tokens_of(t) for t, h in zip(rows, halves) if h == half]
+        mixing.count(block := mixing.Block(own, code), code, 12, plain[half])
+        mixing.tell(block, code, said, 12, cells)
+        slots, outcome, _ = block.decisions(code, 12)
+        for row, slot in zip(plain[half], slots):  # `count` itself against one addition each
+            np.subtract.at(row, 2 * slot + outcome, 1)
+    assert not plain.any()
+    for half in range(2):
+        own = [lm_score.tokens_of(t) for t, h in zip(rows, halves) if h == half]
+        mixing.count(mixing.Block(own, code), code, 12, plain[half])
+    counted = pa.Table.from_batches(lm_score._count_words([batch])).to_pandas()
+    n = counted.groupby("word").sum()
+    expected = Counter(w for t in rows for w in [*lm_score.tokens_of(t), mixing.END_WORD])
+    assert dict(n["n"]) == expected
+    words = pa.RecordBatch.from_pandas(n.reset_index(), preserve_index=False)
+    for half, met in lm_score._trigrams([batch], code):
+        mixing.count_trigrams(*met, code, 12, table[half])
+        mixing.tell_trigrams(*mixing.distinct(*met, code), code, said, 12, told)
+    portions = list(lm_score._words([words]))
+    assert len(portions) > 5 and max(times.sum() for _, times in portions) <= 50
+    for word, times in portions:
+        for half in range(2):
+            mixing.count_words(word, times[half], code, 12, table[half])
+            mixing.tell_words(word, times[half], code, said, 12, told)
+    assert (plain == table).all() and (cells == told).all()
