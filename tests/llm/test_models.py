@@ -237,7 +237,7 @@ def test_fitted_weights_code_better_than_timid_ones():
     assert fitted < 0.95 * plain and refined < fitted
 
 
-def test_decisions_of_four_levels_lie_in_one_group_of_slots():
+def test_decisions_of_four_levels_lie_side_by_side():
     code, _ = small_model()
     block = mixing.Block([lm_score.tokens_of(t) for _, t in texts(20, 7)], code)
     slots, _, owner = block.decisions(code, 12)
@@ -245,7 +245,8 @@ def test_decisions_of_four_levels_lie_in_one_group_of_slots():
     assert depth.max() >= mixing.TREE
     for slot in slots:
         root = slot[np.arange(len(owner)) - depth % mixing.TREE]
-        assert (root % 16 == 0).all() and (slot >> 4 == root >> 4).all()
+        assert ((slot - root) % (1 << 12) < 15).all()
+        assert len(set(root % 16)) > 8  # the roots, which are met most, lie anywhere
 
 
 def test_no_slot_depends_on_the_outcome():
