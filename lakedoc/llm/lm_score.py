@@ -10,9 +10,10 @@ not know: a hash parts the training texts into two halves with tables of their o
 half is read with the tables of the other. The final tables are the sum of both. The ``head``
 most frequent words, of those seen twice or more, become symbols of their own.
 
-Plan: tokens are counted in the map tasks, then per token. Each map task adds up its own
-tables of 2**``bits`` slots for both halves; the tables travel in chunks that are summed one
-row at a time. A second pass over the training texts counts how often the predictors said
+Plan: tokens are counted in the map tasks, then per token and half. Each map task adds up its
+own tables of 2**``bits`` slots for both halves, from the trigrams of its texts or, for what
+depends on a word alone (its spelling), from rows of the token counts; the tables travel in
+chunks that are summed one row at a time. A second pass over the training texts counts how often the predictors said
 what, and what came (`mixing.tell`: at most 2**21 cells); the weights are fitted on these
 counts. The model (codes and tables: a fixed size) is broadcast and one pass scores every
 text. The base score needs the exact count of every token: those of the head are in the
