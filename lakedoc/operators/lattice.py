@@ -41,6 +41,7 @@ LEAST_ROWS, MOST_ROWS = 2**12, 2**18  # in one bucket: small tables have fewer b
 SETS_PER_HASHING = 8  # sorted side by side in a task
 HASHED_ROWS = 2**20  # of a task that are sorted at once, and of a part that are compared
 REPEATS = 2**18  # hashes of a set that are kept; a shared subset should have a quarter of them
+COMPARED = 2**12  # hashes of a set itself that are looked at: if more repeat, rows agree in these
 
 Columns = tuple[str, ...]
 
@@ -263,13 +264,13 @@ def _hash_repeats(df: DataFrame, sets: list[Columns], n_rows: int) -> dict[Colum
     return {some: (kept, len(kept) == n) for some, kept, n in zip(sets, hashes, counts)}
 
 
-def _among(df: DataFrame, subset: Columns, hashes: np.ndarray, sets: list[Columns], n_rows: int) -> DataFrame:
-    """`_agreeing` among the rows with one of these hashes of the subset."""
+def _rows_with(df: DataFrame, subset: Columns, hashes: np.ndarray, n_rows: int) -> DataFrame:
+    """The rows with one of these hashes of the subset."""
+    name = "h" + "_" * max(map(len, df.columns))  # no column has it
     whole = " ^ ".join(_code(df, c) for c in subset)
-    keys = _keys(df, {c for columns in sets for c in columns})
-    rows = df.selectExpr(f"shiftrightunsigned({whole}, {64 - _bits(n_rows)}) AS h", *keys)
-    asked = df.sparkSession.createDataFrame(pa.table({"h": pa.array(hashes, pa.int64())}))
-    return _agreeing(df, rows.join(F.broadcast(asked), "h", "left_semi").drop("h"), sets)
+    hashed = df.withColumn(name, F.expr(f"shiftrightunsigned({whole}, {64 - _bits(n_rows)})"))
+    asked = df.sparkSession.createDataFrame(pa.table({name: pa.array(hashes, pa.int64())}))
+    return hashed.join(F.broadcast(asked), name, "left_semi").select(*map(quoted, df.columns))
 
 
 def _refined(df: DataFrame, shared: dict[Columns, list[Columns]], n_rows: int) -> set[Columns]:
@@ -282,20 +283,32 @@ def _refined(df: DataFrame, shared: dict[Columns, list[Columns]], n_rows: int) -
     for start in range(0, len(subsets), SETS_PER_HASHING):
         part = subsets[start : start + SETS_PER_HASHING]
         repeats = _hash_repeats(df, part, n_rows)
+        for some in part:
+            hashes, whole = repeats[some]
+            if shared[some] == [some]:
+                repeats[some] = hashes[:COMPARED], whole and len(hashes) <= COMPARED
+        alike = [some for some in part if len(repeats[some][0])]
+        rows = {some: _rows_with(df, some, repeats[some][0], n_rows) for some in alike}
+        lower = [some for some in alike if shared[some] != [some] and repeats[some][1]]
+        counts = [rows[some].agg(F.lit(i).alias("i"), F.count(F.lit(1))) for i, some in enumerate(lower)]
+        sizes = {lower[i]: n for i, n in union_all(counts).collect()} if counts else {}
         jobs, order = [], []
-        for subset in part:
-            if len(repeats[subset][0]):
-                sets = shared[subset]
-                rows = _among(df, subset, repeats[subset][0], sets, n_rows)
-                jobs.append(rows.select((F.col("slot") + len(order)).alias("slot")))
+        for some in alike:
+            sets = shared[some]
+            if sets != [some] and some not in sizes:  # more hashes repeat than were kept
+                found -= set(sets) - _exact(df, sets, n_rows)
+            elif some in sizes and len(sets) * sizes[some] > max(MOST_ROWS, n_rows // 8):
+                found -= set(sets) - _exact(rows[some], sets, sizes[some])
+            else:  # few rows, or rows that mostly agree
+                keyed = rows[some].selectExpr(*_keys(df, {c for columns in sets for c in columns}))
+                agree = _agreeing(df, keyed, sets)
+                jobs.append(agree.select((F.col("slot") + len(order)).alias("slot")))
                 order += sets
         if jobs:
             found -= {order[slot] for (slot,) in union_all(jobs).collect()}  # one number per set
-        for subset in part:
-            left = [some for some in shared[subset] if some in found]
-            if left and not repeats[subset][1]:  # more hashes repeat than were kept
-                sure = _counted(df, left, n_rows) if left == [subset] else _exact(df, left, n_rows)
-                found -= set(left) - sure
+        for some in part:
+            if shared[some] == [some] and some in found and not repeats[some][1]:
+                found -= {some} - _counted(df, [some], n_rows)
     return found
 
 

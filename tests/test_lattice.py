@@ -87,7 +87,7 @@ def as_if_large(monkeypatch, **limits):
 # hashes as they are, so short that unlike rows share them, and with more repeats than are kept
 @pytest.mark.parametrize("bits, kept", [(32, 2**18), (7, 2**18), (5, 4)])
 def test_hashes_against_brute_force(spark, monkeypatch, bits, kept):
-    as_if_large(monkeypatch, REPEATS=kept)
+    as_if_large(monkeypatch, REPEATS=kept, COMPARED=kept // 2)
     monkeypatch.setattr(lattice, "_bits", lambda n_rows: bits)
     rng = random.Random(bits)
     names = ["a", "b", "c", "d", "e"]
@@ -160,3 +160,17 @@ def test_bucket_of_a_hot_value_is_not_taken(spark, monkeypatch):
     taken = lattice._buckets_taken(frame, ["hot", "few"], 4000, 64)
     hot = frame.where(f"pmod({lattice._code(frame, 'hot')}, 64) = {taken['hot']}").count()
     assert 0 < hot < 100 and "few" not in taken
+
+
+def test_rows_that_repeat_on_a_subset_are_many(spark, monkeypatch):
+    """A hot pair of values: its rows are hashed once more, and only they."""
+    as_if_large(monkeypatch, HASHED_ROWS=256)
+    frame = spark.range(3000).selectExpr(
+        "CASE WHEN id < 1000 THEN 1 ELSE id END AS a", "CASE WHEN id < 1000 THEN 1 ELSE id % 9 END AS b",
+        "id % 1000 AS c", "id % 500 AS d", "id % 300 AS `a h`",
+    )
+    hashed, run = [], lattice._hash_repeats
+    monkeypatch.setattr(lattice, "_hash_repeats", lambda df, sets, n: hashed.append((sets, n)) or run(df, sets, n))
+    sets = [("a", "b", "c"), ("a", "b", "d"), ("a", "b", "a h")]
+    assert lattice._refined(frame, {("a", "b"): sets}, 3000) == {("a", "b", "c")}
+    assert hashed == [([("a", "b")], 3000), (sets, 1000)]
